@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, packing
+from . import language, packing, private
 from .shared import table
 
 
@@ -18,5 +18,9 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_language": op1_language, "op4_pack": op4_pack}
+def op8_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_language": op1_language, "op4_pack": op4_pack, "op8_private": op8_private}
 ORACLES: dict[str, str] = {}
