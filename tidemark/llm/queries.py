@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, packing, private
+from . import language, mixing, packing, private
 from .shared import table
 
 
@@ -14,6 +14,10 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(table(spark, sf_dir, "documents"))
 
 
+def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -22,5 +26,5 @@ def op8_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_language": op1_language, "op4_pack": op4_pack, "op8_private": op8_private}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_language": op1_language, "op3_mix": op3_mix, "op4_pack": op4_pack, "op8_private": op8_private}
 ORACLES: dict[str, str] = {}
