@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, nearjoin, packing, private
+from . import jpeg, language, mixing, nearjoin, packing, private
 from .shared import table
 
 
@@ -26,9 +26,13 @@ def op5_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearjoin.near_groups(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.media_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_language": op1_language, "op3_mix": op3_mix, "op4_pack": op4_pack, "op5_near": op5_near, "op8_private": op8_private}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_language": op1_language, "op3_mix": op3_mix, "op4_pack": op4_pack, "op5_near": op5_near, "op6_media": op6_media, "op8_private": op8_private}
 ORACLES: dict[str, str] = {}
