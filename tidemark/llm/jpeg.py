@@ -355,7 +355,7 @@ def features(rgb: np.ndarray) -> str:
     cells = np.add.reduceat(np.add.reduceat(grey, rows, 0), columns, 1) / area
     flat = rgb.reshape(-1, 3).T
     mean = flat.mean(1)
-    spread = np.sqrt((flat.astype(np.float32) ** 2).mean(1, dtype=np.float64) - mean**2)
+    spread = np.sqrt(np.maximum(0, (flat.astype(np.float32) ** 2).mean(1, dtype=np.float64) - mean**2))
     light = "".join("%x" % int("".join("01"[int(x)] for x in half), 2) for half in (cells > cells.mean()).reshape(16, 4))
     return "%dx%d;" % (rgb.shape[1], rgb.shape[0]) + ";".join("%.2f/%.2f" % x for x in zip(mean, spread, strict=True)) + ";" + light
 

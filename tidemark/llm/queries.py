@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jpeg, language, mixing, nearjoin, packing, private
+from . import jpeg, language, mixing, nearjoin, packing, private, sketch
 from .shared import table
 
 
@@ -30,9 +30,13 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.media_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_language": op1_language, "op3_mix": op3_mix, "op4_pack": op4_pack, "op5_near": op5_near, "op6_media": op6_media, "op8_private": op8_private}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_language": op1_language, "op3_mix": op3_mix, "op4_pack": op4_pack, "op5_near": op5_near, "op6_media": op6_media, "op7_fingerprint": op7_fingerprint, "op8_private": op8_private}
 ORACLES: dict[str, str] = {}
