@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jpeg, language, mixing, nearjoin, packing, private, sketch
+from . import jpeg, language, mixing, nearjoin, packing, private, sketch, urls
 from .shared import table
 
 
@@ -14,6 +14,10 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(table(spark, sf_dir, "documents"))
 
 
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -38,5 +42,5 @@ def op8_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_language": op1_language, "op3_mix": op3_mix, "op4_pack": op4_pack, "op5_near": op5_near, "op6_media": op6_media, "op7_fingerprint": op7_fingerprint, "op8_private": op8_private}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_language": op1_language, "op2_urls": op2_urls, "op3_mix": op3_mix, "op4_pack": op4_pack, "op5_near": op5_near, "op6_media": op6_media, "op7_fingerprint": op7_fingerprint, "op8_private": op8_private}
 ORACLES: dict[str, str] = {}
