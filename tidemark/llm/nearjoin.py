@@ -5,8 +5,9 @@
    and with them nearly all documents.
 3. Each node that is left goes, with its set, to the block of the least node it shares a number with. Within a block a
    T-occurrence search (shingles.Search) links similar sets. A large block is dealt over shards that all hold its first node.
-4. Numbers whose nodes are still in several components may hide links between them: these groups are searched as well,
-   the nodes outside a group's largest component as queries against all its nodes, in tiles of bounded size.
+4. A number is settled when its nodes have one component or were searched in one place. For the others, blocks are formed
+   anew, and in the end each group that is left is searched: the nodes outside its largest component as queries against
+   all its nodes, in tiles of bounded size.
 5. Links become components; a document's component is the least doc_id of its nodes'.
 
 Every link is found: similar sets share a number, and in the end each number's nodes are in one component, or were
@@ -27,6 +28,9 @@ from .shingles import Classes, Search, set_digest, shingle_sets
 
 #: Nodes of a shard or of one side of a tile.
 TILE = 4_096
+#: Rounds of blocks before the groups that are left are searched one by one.
+ROUNDS = 3
+FILTER_BITS = 1 << 25
 LINKS = "a binary, b binary"
 
 
@@ -118,39 +122,88 @@ def near_groups(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) ->
     return prints.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def shared_numbers(prints: DataFrame) -> DataFrame:
+    """(number, node) of every number that more than one node emits.
+
+    A node goes by a 64-bit hash until few are left. Numbers are counted with a partial aggregate, and only then joined.
+    """
+    nodes = prints.where("node is not null").groupBy(F.xxhash64("node").alias("nid"), "node").agg(F.first("numbers").alias("numbers"))
+    rows = prints.where("node is not null").select(F.xxhash64("node").alias("nid"), F.explode("numbers").alias("number"))
+    common = rows.groupBy("number").agg(F.min("nid").alias("l"), F.max("nid").alias("m")).where("l <> m").select("number")
+    few = rows.join(common, "number").distinct()
+    return few.join(nodes.select("nid", "node"), "nid").select("number", "node")
+
+
+def member_sets(docs: DataFrame, prints: DataFrame, members: DataFrame, words: int) -> DataFrame:
+    """node and hashes of each member: the texts of one document for each, read again.
+
+    A bit map of fixed size keeps most other texts out of the join; where it is too small it lets more through.
+    """
+    wanted = cut(prints.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep")).join(members, "node"))
+    place = F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(FILTER_BITS))
+    spots = wanted.select(place.alias("at")).selectExpr("shiftright(at, 5) as w", "shiftleft(1L, cast(at % 32 as int)) as b")
+    filled = spots.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(FILTER_BITS // 32, np.uint32)
+    bits[filled["w"].to_numpy()] = filled["b"].to_numpy().astype(np.uint32)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)  # FILTER_BITS, however many members
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("_at").to_numpy()
+            yield batch.filter(pa.array(shared.value[at >> 5] >> (at & 31).astype(np.uint32) & 1 == 1))
+
+    near = docs.where("doc_id is not null").withColumn("_at", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(FILTER_BITS)))
+    near = near.mapInArrow(likely, near.schema).drop("_at")
+    return node_sets(near.join(wanted, near["doc_id"] == wanted["rep"]).select("text", "node"), words).dropDuplicates(["node"])
+
+
 def component_labels(docs: DataFrame, prints: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """node and label of every node that is linked with another."""
-    emitted = prints.where("node is not null").groupBy("node").agg(F.first("numbers").alias("numbers"), F.min("doc_id").alias("rep")).where("rep is not null")
-    rows = emitted.select("node", F.explode("numbers").alias("number"))
-    least = rows.groupBy("number").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("number", "least")
-    shared = cut(rows.join(least, "number"))
-    member = cut(shared.groupBy("node").agg(F.min("least").alias("block")))
-    wanted = member.select("node").join(emitted.select("node", "rep"), "node")
-    sets = cut(node_sets(docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("text", "node"), words).dropDuplicates(["node"]))
-
-    size = member.groupBy("block").agg(F.ceil(F.count("*") / TILE).cast("long").alias("shards"))
-    dealt = member.join(size, "block").select("block", F.expr(f"pmod(xxhash64(node, {TILE}), shards)").alias("shard"), "node")
-    heads = size.select("block", F.explode(F.expr("sequence(0L, shards - 1)")).alias("shard"), F.col("block").alias("node"))
-    blocks = dealt.unionByName(heads).join(sets, "node").withColumn("label", F.col("node"))
-    links = cut(blocks.groupBy("block", "shard").applyInArrow(_links(num, den), LINKS))
-    labels = components(links)
-
-    known = shared.join(labels, "node", "left").select("number", "node", F.coalesce("label", "node").alias("label"))
-    parted = known.groupBy("number").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("number")
-    open_ = cut(known.join(parted, "number"))
-    if open_.isEmpty():
-        return labels
-    # Many numbers have the same nodes: one of each such group is enough.
-    alike = open_.groupBy("number").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("t"))
-    once = alike.groupBy("n", "s", "t").agg(F.min("number").alias("number")).select("number", "n")
-    weight = open_.join(once.select("number"), "number").groupBy("number", "label").agg(F.count("*").alias("k"))
-    largest = weight.groupBy("number").agg(F.max_by("label", F.struct("k", "label")).alias("largest"), F.sum("k").alias("n"), F.max("k").alias("top"))
+    shared = cut(shared_numbers(prints))
+    sets = cut(member_sets(docs, prints, shared.select("node").distinct(), words))
+    open_, links, labels = shared, None, None
+    for _ in range(ROUNDS):
+        least = open_.groupBy("number").agg(F.min("node").alias("least"))
+        open_ = cut(open_.join(least, "number"))
+        member = open_.groupBy("node").agg(F.min("least").alias("block"))
+        size = cut(member.groupBy("block").agg(F.ceil(F.count("*") / TILE).cast("long").alias("shards")))
+        dealt = cut(member.join(size, "block").select("block", F.expr(f"pmod(xxhash64(node, {TILE}), shards)").alias("shard"), "node"))
+        heads = size.select("block", F.explode(F.expr("sequence(0L, shards - 1)")).alias("shard"), F.col("block").alias("node"))
+        blocks = dealt.unionByName(heads).distinct().join(sets, "node")
+        blocks = (blocks.join(labels, "node", "left") if labels else blocks.withColumn("label", F.lit(None).cast("binary"))).withColumn("label", F.coalesce("label", "node"))
+        found = cut(blocks.groupBy("block", "shard").applyInArrow(_links(num, den), LINKS))
+        links = found if links is None else links.unionByName(found)
+        labels = components(links)
+        open_ = cut(unsettled(open_, dealt, labels))
+        if open_.isEmpty():
+            return labels
+    weight = open_.join(labels, "node", "left").select("number", "node", F.coalesce("label", "node").alias("label"))
+    count = weight.groupBy("number", "label").agg(F.count("*").alias("k"))
+    largest = count.groupBy("number").agg(F.max_by("label", F.struct("k", "label")).alias("largest"), F.sum("k").alias("n"), F.max("k").alias("top"))
     tiles = largest.select("number", "largest", F.ceil(F.col("n") / TILE).cast("long").alias("shards"), F.ceil((F.col("n") - F.col("top")) / TILE).cast("long").alias("chunks"))
-    group = open_.join(tiles, "number")
+    group = weight.join(tiles, "number")
     every = group.select("number", F.expr(f"pmod(xxhash64(node, {TILE}), shards)").alias("shard"), F.explode(F.expr("sequence(0L, chunks - 1)")).alias("chunk"), "node", "label")
     asking = group.where("label <> largest").select("number", F.explode(F.expr("sequence(0L, shards - 1)")).alias("shard"), F.expr(f"pmod(xxhash64(node, {TILE + 1}), chunks)").alias("chunk"), "node", "label")
     more = every.unionByName(asking).distinct().join(sets, "node").groupBy("number", "shard", "chunk").applyInArrow(_links(num, den), LINKS)
-    return components(links.unionByName(more))
+    return components(links.unionByName(cut(more)))
+
+
+def unsettled(open_: DataFrame, dealt: DataFrame, labels: DataFrame) -> DataFrame:
+    """(number, node) of the numbers whose nodes neither have one label nor were searched in one place.
+
+    The least node of a number is in its own block's every shard, beside the place it was dealt to.
+    """
+    rows = open_.join(dealt, "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    place = F.struct("block", "shard")
+    seen = rows.groupBy("number").agg(
+        F.min("label").alias("l"), F.max("label").alias("m"),
+        F.min(F.when(F.col("node") != F.col("least"), place)).alias("p"), F.max(F.when(F.col("node") != F.col("least"), place)).alias("q"),
+        F.max(F.when(F.col("node") == F.col("least"), place)).alias("own"), F.first("least").alias("head"),
+    )
+    still = seen.where((F.col("l") != F.col("m")) & ~((F.col("p") == F.col("q")) & ((F.col("p.block") == F.col("head")) | (F.col("p") == F.col("own"))))).select("number")
+    # Many numbers have the same nodes: one of them is enough.
+    alike = open_.join(still, "number").groupBy("number").agg(F.count("*").alias("n"), *[F.sum(F.xxhash64("node", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in (0, 1)])
+    return open_.join(alike.groupBy("n", "s0", "s1").agg(F.min("number").alias("number")).select("number"), "number").select("number", "node")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
