@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jpeg, language, mixing, nearjoin, packing, private, sketch, toolcalls, urls
+from . import jpeg, language, mixing, nearjoin, packing, private, separators, sketch, toolcalls, urls
 from .shared import table
 
 
@@ -42,9 +42,13 @@ def op8_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separators.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op10_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toolcalls.formatted(table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_language": op1_language, "op2_urls": op2_urls, "op3_mix": op3_mix, "op4_pack": op4_pack, "op5_near": op5_near, "op6_media": op6_media, "op7_fingerprint": op7_fingerprint, "op8_private": op8_private, "op10_toolcalls": op10_toolcalls}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_language": op1_language, "op2_urls": op2_urls, "op3_mix": op3_mix, "op4_pack": op4_pack, "op5_near": op5_near, "op6_media": op6_media, "op7_fingerprint": op7_fingerprint, "op8_private": op8_private, "op9_tokens": op9_tokens, "op10_toolcalls": op10_toolcalls}
 ORACLES: dict[str, str] = {"op10_toolcalls": toolcalls.FORMATTED_SQL}
