@@ -108,8 +108,11 @@ def _boundary(edges: Column, others: Column, second: bool) -> Column:
 
 
 def overlap(a: Column, b: Column) -> Column:
-    """Area that two convex quadrangles share: a boundary integral over the clipped sides of both; shared borders count once."""
-    return _boundary(_edges(a), _edges(b), False) + _boundary(_edges(b), _edges(a), True)
+    """Area that two convex quadrangles share: a boundary integral over the clipped sides of both; shared borders count once.
+
+    A quadrangle without area shares nothing.
+    """
+    return F.when((signed_area(a) == 0) | (signed_area(b) == 0), F.lit(0.0)).otherwise(_boundary(_edges(a), _edges(b), False) + _boundary(_edges(b), _edges(a), True))
 
 
 def union_area(a: Column, b: Column) -> Column:

@@ -29,11 +29,13 @@ Quad = tuple[tuple[float, float], ...]
 
 
 def clip_area(a: Quad, b: Quad) -> float:
-    """Area that two convex outlines share, corner after corner: b's sides cut a down."""
+    """Area that two convex outlines share, corner after corner: b's sides cut a down. One without area shares nothing."""
 
     def area(p: list) -> float:
         return sum(p[i - 1][0] * p[i][1] - p[i][0] * p[i - 1][1] for i in range(len(p))) / 2
 
+    if not area(list(a)) or not area(list(b)):
+        return 0.0
     a, b = (list(x) if area(list(x)) >= 0 else list(x)[::-1] for x in (a, b))
     for (px, py), (qx, qy) in zip(b, b[1:] + b[:1], strict=True):
         if (px, py) == (qx, qy):
