@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import cut, runs
@@ -31,6 +31,8 @@ TILE = 4_096
 #: Rounds of blocks before the groups that are left are searched one by one.
 ROUNDS = 3
 FILTER_BITS = 1 << 25
+#: Numbers that meet in one task.
+BUCKET = 1_000_000
 LINKS = "a binary, b binary"
 
 
@@ -122,38 +124,92 @@ def near_groups(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) ->
     return prints.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def shared_numbers(prints: DataFrame) -> DataFrame:
-    """(number, node) of every number that more than one node emits.
+def bit_map(spark: SparkSession, keys: DataFrame):
+    """A broadcast bit map of fixed size in which the places of all keys are set; keys is one column of whole numbers."""
+    place = F.pmod(F.col(keys.columns[0]), F.lit(FILTER_BITS))
+    spots = keys.select(place.alias("at")).selectExpr("shiftright(at, 5) as w", "shiftleft(1L, cast(at % 32 as int)) as b")
+    filled = spots.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(FILTER_BITS // 32, np.uint32)
+    bits[filled["w"].to_numpy()] = filled["b"].to_numpy().astype(np.uint32)
+    return spark.sparkContext.broadcast(bits)  # FILTER_BITS, however many keys
+
 
-    A node goes by a 64-bit hash until few are left. Numbers are counted with a partial aggregate, and only then joined.
+def _set_in(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys % FILTER_BITS
+    return bits[at >> 5] >> (at & 31).astype(np.uint32) & 1 == 1
+
+
+def repeated_numbers(prints: DataFrame) -> DataFrame:
+    """Every number that more than one node may emit: all that occur in two batches, or for two nodes of a batch.
+
+    Numbers travel in blocks, a block for each batch and bucket and each number once in it, so one that very many nodes emit
+    is as light as any other, and there is no row for each number.
     """
-    nodes = prints.where("node is not null").groupBy(F.xxhash64("node").alias("nid"), "node").agg(F.first("numbers").alias("numbers"))
-    rows = prints.where("node is not null").select(F.xxhash64("node").alias("nid"), F.explode("numbers").alias("number"))
-    common = rows.groupBy("number").agg(F.min("nid").alias("l"), F.max("nid").alias("m")).where("l <> m").select("number")
-    few = rows.join(common, "number").distinct()
-    return few.join(nodes.select("nid", "node"), "nid").select("number", "node")
+    total = prints.where("node is not null").agg(F.sum(F.size("numbers"))).first()[0] or 0
+    buckets = max(8, -(-total // BUCKET))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("numbers")
+            numbers, sizes = column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
+            if not len(numbers):
+                continue
+            nodes = np.repeat(np.unique(np.array(batch.column("node").to_pylist(), object), return_inverse=True)[1], sizes)
+            order = np.lexsort((nodes, numbers % buckets, numbers))
+            order = order[np.argsort((numbers % buckets)[order], kind="stable")]
+            numbers, nodes = numbers[order], nodes[order]
+            fresh = np.append(True, numbers[1:] != numbers[:-1])
+            other = np.append(False, (numbers[1:] == numbers[:-1]) & (nodes[1:] != nodes[:-1]))
+            group = np.cumsum(fresh) - 1
+            twice = np.bincount(group, other) > 0
+            kept = numbers[fresh]
+            # A number of two nodes stands twice, so that it counts as repeated.
+            kept = np.repeat(kept, 1 + twice)
+            bucket = kept % buckets
+            ends = np.flatnonzero(np.append(bucket[1:] != bucket[:-1], True)) + 1
+            starts = np.append(0, ends[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int64)), pa.array([kept[x:y].tobytes() for x, y in zip(starts, ends, strict=True)], pa.binary())], ["bucket", "block"])
+
+    def again(group: pa.Table) -> pa.Table:
+        numbers, counts = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in group["block"]]), return_counts=True)
+        return pa.table({"number": pa.array(numbers[counts > 1], pa.int64())})
+
+    blocks = prints.where("node is not null and size(numbers) > 0").select("node", "numbers").mapInArrow(deal, "bucket long, block binary")
+    return blocks.groupBy("bucket").applyInArrow(again, "number long")
+
+
+def shared_numbers(prints: DataFrame) -> DataFrame:
+    """(number, node) of every number that more than one node emits."""
+    repeated = cut(repeated_numbers(prints))
+    shared = bit_map(prints.sparkSession, repeated)
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("numbers")
+            numbers, rows = column.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), np.diff(column.offsets.to_numpy()))
+            keep = _set_in(shared.value, numbers)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers[keep]), batch.column("node").take(pa.array(rows[keep]))], ["number", "node"])
+
+    rows = prints.where("node is not null and size(numbers) > 0").select("node", "numbers").mapInArrow(likely, "number long, node binary")
+    rows = rows.distinct().join(repeated, "number")
+    several = rows.groupBy("number").agg(F.min("node").alias("l"), F.max("node").alias("m")).where("l <> m").select("number")
+    return rows.join(several, "number")
 
 
 def member_sets(docs: DataFrame, prints: DataFrame, members: DataFrame, words: int) -> DataFrame:
     """node and hashes of each member: the texts of one document for each, read again.
 
-    A bit map of fixed size keeps most other texts out of the join; where it is too small it lets more through.
+    A bit map keeps most other texts out of the join; where it is too small it lets more through.
     """
     wanted = cut(prints.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep")).join(members, "node"))
-    place = F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(FILTER_BITS))
-    spots = wanted.select(place.alias("at")).selectExpr("shiftright(at, 5) as w", "shiftleft(1L, cast(at % 32 as int)) as b")
-    filled = spots.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    bits = np.zeros(FILTER_BITS // 32, np.uint32)
-    bits[filled["w"].to_numpy()] = filled["b"].to_numpy().astype(np.uint32)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)  # FILTER_BITS, however many members
+    shared = bit_map(docs.sparkSession, wanted.select(F.xxhash64("rep").alias("key")))
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column("_at").to_numpy()
-            yield batch.filter(pa.array(shared.value[at >> 5] >> (at & 31).astype(np.uint32) & 1 == 1))
+            yield batch.filter(pa.array(_set_in(shared.value, batch.column("_key").to_numpy())))
 
-    near = docs.where("doc_id is not null").withColumn("_at", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(FILTER_BITS)))
-    near = near.mapInArrow(likely, near.schema).drop("_at")
+    near = docs.where("doc_id is not null").withColumn("_key", F.xxhash64("doc_id"))
+    near = near.mapInArrow(likely, near.schema).drop("_key")
     return node_sets(near.join(wanted, near["doc_id"] == wanted["rep"]).select("text", "node"), words).dropDuplicates(["node"])
 
 
