@@ -254,3 +254,21 @@ def test_batch_tracker_equals_windows(spark):
     one = {r.frame_no: r.track for r in tracking.track_single(screens).collect()}
     many = {r.frame_no: r.track for r in tracking.track_many(screens).where("state <> 'disappeared'").collect()}
     assert one == many
+
+
+def test_registries_views_and_configuration(spark, tmp_path):
+    from tidemark import configuration
+    from tidemark.operators import detectors
+    from tidemark.plans import views
+    from tidemark.streaming.progress import Progress
+
+    assert views.register(spark, "/root/testdata/sf0.001", ["histogram"]) == ["histogram"] and spark.table("histogram").count() > 0
+    assert round(detectors.sigmoid_distance(2.0, -1.0, 0.5), 9) == 0.5
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "id long, image array<double>")
+    assert [r.vec for r in detectors.extracted(rows, lambda: lambda x: x * 2, size=2).orderBy("id").collect()][4] == [8.0, 2.0]
+    (tmp_path / "c.ini").write_text("[a]\nscene_threshold = 0.3\nhash_threshold = 9\n")
+    c = configuration.load(f"{tmp_path}/c.ini", hash_threshold=5)
+    assert (c.scene_threshold, c.hash_threshold, c.quorum) == (0.3, 5, 0.0)
+    told = []
+    Progress(10.0, told.append).onQueryTerminated(None)
+    assert told == ["0 frames"]
