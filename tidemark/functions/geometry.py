@@ -107,12 +107,19 @@ def _boundary(edges: Column, others: Column, second: bool) -> Column:
     return F.aggregate(F.transform(edges, part), F.lit(0.0), lambda s, x: s + x)
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once: the variable of a function over an array of one element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def overlap(a: Column, b: Column) -> Column:
     """Area that two convex quadrangles share: a boundary integral over the clipped sides of both; shared borders count once.
 
     A quadrangle without area shares nothing.
     """
-    return F.when((signed_area(a) == 0) | (signed_area(b) == 0), F.lit(0.0)).otherwise(_boundary(_edges(a), _edges(b), False) + _boundary(_edges(b), _edges(a), True))
+    sides = F.struct(_edges(a).alias("a"), _edges(b).alias("b"))
+    whole = let(sides, lambda s: _boundary(s["a"], s["b"], False) + _boundary(s["b"], s["a"], True))
+    return F.when((signed_area(a) == 0) | (signed_area(b) == 0), F.lit(0.0)).otherwise(whole)
 
 
 def union_area(a: Column, b: Column) -> Column:
@@ -120,8 +127,7 @@ def union_area(a: Column, b: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    shared = overlap(a, b)
-    return shared / (area(a) + area(b) - shared)
+    return let(overlap(a, b), lambda s: s / (area(a) + area(b) - s))
 
 
 def middle(p: Column, q: Column) -> Column:
