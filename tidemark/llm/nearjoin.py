@@ -269,3 +269,18 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) ->
     keyed = docs.withColumn("_at", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")))
     rows = keyed.join(kept.groupBy("doc_id").agg(F.max("n_shingles").alias("_n")).withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
     return rows.where((F.col("_at") == 1) | (F.col("_n") == 0)).select(*docs.columns)
+
+
+#: The rows of near_groups(documents, 3, 90, 100), by joining shingles; for tables whose doc_id is unique.
+SQL = r"""
+with recursive worded as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as t from documents),
+cut as (
+  select doc_id, case when len(t) >= 3 then list_distinct([t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] for i in range(1, len(t) - 1)]) when len(t) > 0 then [array_to_string(t, ' ')] else [] end as g from worded),
+shingle as (select doc_id, len(g) as n, unnest(g) as h from cut),
+links as (
+  select a.doc_id as x, b.doc_id as y from shingle a join shingle b on a.h = b.h and a.doc_id <> b.doc_id and 100 * a.n >= 90 * b.n and 100 * b.n >= 90 * a.n
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach as (select doc_id as x, doc_id as y from cut union select r.x, l.y from reach r join links l on l.x = r.y)
+select c.doc_id, len(c.g) as n_shingles, min(r.y) as component_id from cut c join reach r on r.x = c.doc_id group by c.doc_id, c.g
+"""

@@ -51,4 +51,4 @@ def op10_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_language": op1_language, "op2_urls": op2_urls, "op3_mix": op3_mix, "op4_pack": op4_pack, "op5_near": op5_near, "op6_media": op6_media, "op7_fingerprint": op7_fingerprint, "op8_private": op8_private, "op9_tokens": op9_tokens, "op10_toolcalls": op10_toolcalls}
-ORACLES: dict[str, str] = {"op10_toolcalls": toolcalls.FORMATTED_SQL}
+ORACLES: dict[str, str] = {"op5_near": nearjoin.SQL, "op10_toolcalls": toolcalls.FORMATTED_SQL}
