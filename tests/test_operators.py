@@ -30,7 +30,7 @@ def test_areas_and_overlaps(spark):
     areas = {r.id: r.a for r in quads(spark, QUADS).select("id", G.area(F.col("quad")).alias("a")).collect()}
     assert (areas["q1"], areas["a0"], areas["a1"]) == (8, 0, 15)
     a, b = quads(spark, QUADS).toDF("a", "qa"), quads(spark, QUADS).toDF("b", "qb")
-    shared = {(r.a, r.b): r.s for r in a.crossJoin(b).select("a", "b", G.overlap(F.col("qa"), F.col("qb")).alias("s")).collect()}
+    shared = {(r.a, r.b): r.s for r in a.crossJoin(b).select("a", "b", G.overlap("qa", "qb").alias("s")).collect()}
     assert [round(shared["t1", t], 9) for t in ("t1", "t2", "t3", "t4")] == [4, 1, 0, 0]
     assert round(shared["q5", "q1"], 9) == 4 and round(shared["q5", "q2"], 9) == 0 and round(shared["m2", "m3"], 9) == 0.5
     for (x, y), s in shared.items():

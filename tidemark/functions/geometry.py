@@ -66,68 +66,51 @@ def beyond(q: Column, width: Column, height: Column) -> Column:
     return out
 
 
-def _edges(q: Column) -> Column:
-    """Sides as (p, q), counter-clockwise, without those of no length."""
-    forward = [q["tl"], q["tr"], q["br"], q["bl"]]
-    sides = lambda r: F.array(*[F.struct(r[i].alias("p"), r[(i + 1) % 4].alias("q")) for i in range(4)])
-    turned = F.when(signed_area(q) < 0, sides(forward[::-1])).otherwise(sides(forward))
-    return F.filter(turned, lambda e: e["p"] != e["q"])
-
-
-def _boundary(edges: Column, others: Column, second: bool) -> Column:
-    """Sum over the parts of the edges inside the other polygon of half the cross product of their ends."""
-
-    def part(e: Column) -> Column:
-        def against(c: Column) -> Column:
-            dx, dy = c["q"]["x"] - c["p"]["x"], c["q"]["y"] - c["p"]["y"]
-            d0 = dx * (e["p"]["y"] - c["p"]["y"]) - dy * (e["p"]["x"] - c["p"]["x"])
-            d1 = dx * (e["q"]["y"] - c["p"]["y"]) - dy * (e["q"]["x"] - c["p"]["x"])
-            along = (e["q"]["x"] - e["p"]["x"]) * dx + (e["q"]["y"] - e["p"]["y"]) * dy
-            return F.struct(d0.alias("d0"), d1.alias("d1"), along.alias("along"))
-
-        def narrow(state: Column, d: Column) -> Column:
-            on = (d["d0"] == 0) & (d["d1"] == 0)
-            out = ((d["d0"] <= 0) & (d["d1"] <= 0) & ~on) | (on & (F.lit(second) | (d["along"] < 0)))
-            at = d["d0"] / (d["d0"] - d["d1"])
-            return F.struct(
-                F.when((d["d0"] < 0) & (d["d1"] > d["d0"]), F.greatest(state["t0"], at)).otherwise(state["t0"]).alias("t0"),
-                F.when((d["d1"] < 0) & (d["d0"] > d["d1"]), F.least(state["t1"], at)).otherwise(state["t1"]).alias("t1"),
-                (state["gone"] | out).alias("gone"),
-            )
-
-        start = F.struct(F.lit(0.0).alias("t0"), F.lit(1.0).alias("t1"), F.lit(False).alias("gone"))
-
-        def measure(s: Column) -> Column:
-            x = lambda t: e["p"]["x"] + t * (e["q"]["x"] - e["p"]["x"])
-            y = lambda t: e["p"]["y"] + t * (e["q"]["y"] - e["p"]["y"])
-            return F.when(~s["gone"] & (s["t1"] > s["t0"]), (x(s["t0"]) * y(s["t1"]) - x(s["t1"]) * y(s["t0"])) / 2).otherwise(0.0)
-
-        return F.aggregate(F.transform(others, against), start, narrow, measure)
-
-    return F.aggregate(F.transform(edges, part), F.lit(0.0), lambda s, x: s + x)
-
-
-def let(value: Column, use) -> Column:
-    """use(value), with the value computed once: the variable of a function over an array of one element."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def overlap(a: Column, b: Column) -> Column:
-    """Area that two convex quadrangles share: a boundary integral over the clipped sides of both; shared borders count once.
-
-    A quadrangle without area shares nothing.
+def _sides(q: str) -> str:
+    """SQL: the sides of a quadrangle as (p, q), counter-clockwise, without those of no length."""
+    points = [f"{q}.{c}" for c in ("tl", "tr", "br", "bl")]
+    chain = lambda r: "array(" + ", ".join(f"named_struct('p', {r[i]}, 'q', {r[(i + 1) % 4]})" for i in range(4)) + ")"
+    return f"filter(if({_signed(q)} < 0, {chain(points[::-1])}, {chain(points)}), e -> e.p != e.q)"
+
+
+def _signed(q: str) -> str:
+    order = ("tl", "tr", "br", "bl")
+    return "(" + " + ".join(f"({q}.{a}.x * {q}.{b}.y - {q}.{b}.x * {q}.{a}.y)" for a, b in zip(order, order[1:] + order[:1], strict=True)) + ") / 2"
+
+
+def _inside(sides: str, others: str, second: str) -> str:
+    """SQL: sum over the parts of the sides inside the other polygon of half the cross product of their ends."""
+    dx, dy = "(c.q.x - c.p.x)", "(c.q.y - c.p.y)"
+    from_c = lambda k: f"{dx} * (e.{k}.y - c.p.y) - {dy} * (e.{k}.x - c.p.x)"
+    against = f"named_struct('d0', {from_c('p')}, 'd1', {from_c('q')}, 'along', (e.q.x - e.p.x) * {dx} + (e.q.y - e.p.y) * {dy})"
+    on = "d.d0 = 0 and d.d1 = 0"
+    step = (
+        "named_struct('t0', if(d.d0 < 0 and d.d1 > d.d0, greatest(s.t0, d.d0 / (d.d0 - d.d1)), s.t0), 't1', if(d.d1 < 0 and d.d0 > d.d1, least(s.t1, d.d0 / (d.d0 - d.d1)), s.t1), "
+        f"'gone', s.gone or (d.d0 <= 0 and d.d1 <= 0 and not ({on})) or ({on} and ({second} or d.along < 0)))"
+    )
+    at = lambda k, t: f"(e.p.{k} + s.{t} * (e.q.{k} - e.p.{k}))"
+    measure = f"if(not s.gone and s.t1 > s.t0, ({at('x', 't0')} * {at('y', 't1')} - {at('x', 't1')} * {at('y', 't0')}) / 2, 0D)"
+    part = f"aggregate(transform({others}, c -> {against}), named_struct('t0', 0D, 't1', 1D, 'gone', false), (s, d) -> {step}, s -> {measure})"
+    return f"aggregate(transform({sides}, e -> {part}), 0D, (s, x) -> s + x)"
+
+
+def overlap(a: str, b: str) -> Column:
+    """Area that two convex quadrangles, given by name, share: a boundary integral over the clipped sides of both.
+
+    Shared borders count once, and a quadrangle without area shares nothing. The sides are made once, as the variable of a
+    function over an array of one element.
     """
-    sides = F.struct(_edges(a).alias("a"), _edges(b).alias("b"))
-    whole = let(sides, lambda s: _boundary(s["a"], s["b"], False) + _boundary(s["b"], s["a"], True))
-    return F.when((signed_area(a) == 0) | (signed_area(b) == 0), F.lit(0.0)).otherwise(whole)
+    whole = f"transform(array(named_struct('a', {_sides(a)}, 'b', {_sides(b)})), v -> {_inside('v.a', 'v.b', 'false')} + {_inside('v.b', 'v.a', 'true')})[0]"
+    return F.expr(f"if({_signed(a)} = 0 or {_signed(b)} = 0, 0D, {whole})")
 
 
-def union_area(a: Column, b: Column) -> Column:
-    return area(a) + area(b) - overlap(a, b)
+def union_area(a: str, b: str) -> Column:
+    return area(F.col(a)) + area(F.col(b)) - overlap(a, b)
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    return let(overlap(a, b), lambda s: s / (area(a) + area(b) - s))
+def jaccard(a: str, b: str) -> Column:
+    both = area(F.col(a)) + area(F.col(b))
+    return F.get(F.transform(F.array(overlap(a, b)), lambda s: s / (both - s)), F.lit(0))
 
 
 def middle(p: Column, q: Column) -> Column:

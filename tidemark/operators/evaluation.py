@@ -56,5 +56,5 @@ def iou_by_frame(expected: DataFrame, found: DataFrame) -> DataFrame:
 
     both = numbered(expected, "a").join(numbered(found, "b"), ["video", "frame_no", "at"], "full")
     wrong = F.max((F.col("a").isNull() | F.col("b").isNull()).cast("int"))
-    scored = both.withColumn("_iou", F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), jaccard(F.col("a"), F.col("b"))))
+    scored = both.withColumn("_iou", F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), jaccard("a", "b")))
     return scored.groupBy("video", "frame_no").agg(F.avg("_iou").alias("_iou"), wrong.alias("wrong")).select("video", "frame_no", F.when(F.col("wrong") == 0, F.col("_iou")).alias("iou"), (F.col("wrong") == 1).alias("wrong"))

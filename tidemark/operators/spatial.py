@@ -25,5 +25,5 @@ def jaccard_join(left: DataFrame, right: DataFrame, keys: list[str], cell: float
     x, y = (F.greatest(F.col(f"a__box.{k}"), F.col(f"b__box.{k}")) for k in ("left", "top"))
     right_, bottom = (F.least(F.col(f"a__box.{k}"), F.col(f"b__box.{k}")) for k in ("right", "bottom"))
     near = a.join(b, [*keys, "_cx", "_cy"]).where((x < right_) & (y < bottom) & (F.floor(x / cell) == F.col("_cx")) & (F.floor(y / cell) == F.col("_cy")))
-    found = near.withColumn("inter", overlap(F.col("a_quad"), F.col("b_quad"))).where("inter > 0")
+    found = near.withColumn("inter", overlap("a_quad", "b_quad")).where("inter > 0")
     return found.select(*keys, F.col("a_id").alias("id"), F.col("b_id").alias("other"), "inter", (F.col("inter") / (area(F.col("a_quad")) + area(F.col("b_quad")) - F.col("inter"))).alias("jaccard"))

@@ -20,7 +20,7 @@ def track_single(screens: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy("video").orderBy("frame_no")
     rows = screens.withColumn("_before", F.lag("frame_no").over(order)).withColumn("_quad", F.lag("quad").over(order))
-    goes_on = (F.col("_before") == F.col("frame_no") - 1) & ((F.col("_quad") == F.col("quad")) | (overlap(F.col("_quad"), F.col("quad")) > 1e-9))
+    goes_on = (F.col("_before") == F.col("frame_no") - 1) & ((F.col("_quad") == F.col("quad")) | (overlap("_quad", "quad") > 1e-9))
     rows = rows.withColumn("new", ~F.coalesce(goes_on, F.lit(False)))
     return rows.withColumn("track", F.sum(F.col("new").cast("long")).over(order)).drop("_before", "_quad")
 

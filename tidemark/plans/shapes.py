@@ -59,7 +59,7 @@ def quad_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {PAIRS_SQL}, {overlap_sql('pairs')} select pair as event_id, round(inter, 6) as inter from shared_areas")
 def quad_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consecutive(spark, sf_dir).select("event_id", F.round(G.overlap(F.col("a"), F.col("b")), 6).alias("inter"))
+    return consecutive(spark, sf_dir).select("event_id", F.round(G.overlap("a", "b"), 6).alias("inter"))
 
 
 _AREA_A, _AREA_B = (f"abs(({p}tlx * {p}try_ - {p}trx * {p}tly) + ({p}trx * {p}bry - {p}brx * {p}try_) + ({p}brx * {p}bly - {p}blx * {p}bry) + ({p}blx * {p}tly - {p}tlx * {p}bly)) / 2" for p in ("a_", "b_"))
@@ -67,12 +67,12 @@ _AREA_A, _AREA_B = (f"abs(({p}tlx * {p}try_ - {p}trx * {p}tly) + ({p}trx * {p}br
 
 @query(f"with {PAIRS_SQL}, {overlap_sql('pairs')} select pair as event_id, round({_AREA_A} + {_AREA_B} - inter, 6) as area from shared_areas join pairs using (pair)")
 def quad_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consecutive(spark, sf_dir).select("event_id", F.round(G.union_area(F.col("a"), F.col("b")), 6).alias("area"))
+    return consecutive(spark, sf_dir).select("event_id", F.round(G.union_area("a", "b"), 6).alias("area"))
 
 
 @query(f"with {PAIRS_SQL}, {overlap_sql('pairs')} select pair as event_id, round(inter / ({_AREA_A} + {_AREA_B} - inter), 4) as iou from shared_areas join pairs using (pair)")
 def screen_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consecutive(spark, sf_dir).select("event_id", F.round(G.jaccard(F.col("a"), F.col("b")), 4).alias("iou"))
+    return consecutive(spark, sf_dir).select("event_id", F.round(G.jaccard("a", "b"), 4).alias("iou"))
 
 
 @query(
