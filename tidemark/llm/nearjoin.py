@@ -263,12 +263,28 @@ def unsettled(open_: DataFrame, dealt: DataFrame, labels: DataFrame) -> DataFram
 
 
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """docs' rows, one of each component: the least doc_id, and of its rows one. Rows without words all stay."""
+    """docs' rows, one of each component: the least doc_id, and of its rows one. Rows without words all stay.
+
+    Rows that a bit map shows to be neither dropped nor repeated pass at once; only the others are joined with the decision.
+    """
     groups = near_groups(docs, words, num, den)
-    kept = groups.where("n_shingles = 0 or doc_id = component_id or component_id is null").select("doc_id", "n_shingles").distinct()
-    keyed = docs.withColumn("_at", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")))
-    rows = keyed.join(kept.groupBy("doc_id").agg(F.max("n_shingles").alias("_n")).withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return rows.where((F.col("_at") == 1) | (F.col("_n") == 0)).select(*docs.columns)
+    status = groups.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"), F.max("n_shingles").alias("_n"), F.min("component_id").alias("_least"))
+    open_ = cut(status.where("_id is null or _rows > 1 or (_n > 0 and _id <> _least)"))
+    bits = bit_map(docs.sparkSession, open_.select(F.xxhash64("_id").alias("key")))
+    columns = docs.columns
+
+    def part(wanted: bool) -> DataFrame:
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(_set_in(bits.value, batch.column("_hash").to_numpy()) == wanted))
+
+        rows = docs.withColumn("_hash", F.xxhash64(F.col("doc_id").cast("long")))
+        return rows.mapInArrow(keep, rows.schema).drop("_hash")
+
+    some = part(True).join(open_, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
+    some = some.withColumn("_at", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")))
+    stays = F.col("_rows").isNull() | (F.col("_n") == 0) | ((F.col("_at") == 1) & (F.col("_id").isNull() | (F.col("_id") == F.col("_least"))))
+    return part(False).unionByName(some.where(stays).select(*columns))
 
 
 #: The rows of near_groups(documents, 3, 90, 100), by joining shingles; for tables whose doc_id is unique.
