@@ -244,10 +244,10 @@ def test_search_and_parts_lose_nothing():
     rng = random.Random(9)
     texts = []
     for _ in range(60):
-        base = [f"w{rng.randrange(80)}" for _ in range(rng.randint(1, 80))]
+        base = [f"w{rng.randrange(80)}" for _ in range(rng.choice([rng.randint(1, 80), 300, 900]))]
         for _ in range(4):
             copy = list(base)
-            for _ in range(rng.randint(0, 3)):
+            for _ in range(rng.randint(0, 3 + len(copy) // 50)):
                 copy[rng.randrange(len(copy))] = "z"
             texts.append(" ".join(copy))
     for k, num, den in ((3, 90, 100), (5, 4, 5), (2, 1, 2)):
@@ -256,7 +256,10 @@ def test_search_and_parts_lose_nothing():
         for i, a in enumerate(sets):
             want = {j for j, b in enumerate(sets) if den * len(np.intersect1d(a, b)) >= num * len(np.union1d(a, b))}
             assert set(search.similar(a).tolist()) == want
-            assert all(marks[i] & marks[j] or np.array_equal(a, sets[j]) for j in want)
+            for j in want:
+                common = marks[i] & marks[j]
+                kinds = Counter(x & (1 << 14) - 1 for x in common)
+                assert np.array_equal(a, sets[j]) or any(n >= kind & 15 for kind, n in kinds.items())
 
 
 def colour_jpeg(width, height, seed):

@@ -1,8 +1,8 @@
 """N-gram Jaccard join: components of documents whose shingle sets are similar, without making all pairs of a group.
 
 1. Each text becomes its set of shingle hashes; equal sets become one node. Only nodes go on.
-2. A node emits numbers (shingles.Classes) of which any two similar sets share one; numbers of one node alone drop out,
-   and with them nearly all documents.
+2. A node emits numbers (shingles.Classes) of which any two similar sets share several; numbers of one node alone drop out,
+   and nodes that share too few, and with them nearly all documents.
 3. Each node that is left goes, with its set, to the block of the least node it shares a number with. Within a block a
    T-occurrence search (shingles.Search) links similar sets. A large block is dealt over shards that all hold its first node.
 4. A number is settled when its nodes have one component or were searched in one place. For the others, blocks are formed
@@ -179,7 +179,7 @@ def repeated_numbers(prints: DataFrame) -> DataFrame:
 
 
 def shared_numbers(prints: DataFrame) -> DataFrame:
-    """(number, node) of every number that more than one node emits."""
+    """(number, node) of the numbers that more than one node emits, of nodes that share as many as similar sets must."""
     repeated = cut(repeated_numbers(prints))
     shared = bit_map(prints.sparkSession, repeated)
 
@@ -191,9 +191,15 @@ def shared_numbers(prints: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(numbers[keep]), batch.column("node").take(pa.array(rows[keep]))], ["number", "node"])
 
     rows = prints.where("node is not null and size(numbers) > 0").select("node", "numbers").mapInArrow(likely, "number long, node binary")
-    rows = rows.distinct().join(repeated, "number")
-    several = rows.groupBy("number").agg(F.min("node").alias("l"), F.max("node").alias("m")).where("l <> m").select("number")
-    return rows.join(several, "number")
+    rows = cut(rows.distinct().join(repeated, "number"))
+    kind = F.col("number").bitwiseAND(F.lit((1 << (Classes.NEED_BITS + Classes.CLASS_BITS)) - 1))
+    need = F.col("number").bitwiseAND(F.lit((1 << Classes.NEED_BITS) - 1))
+    for _ in range(2):  # what a node shares too little of, no partner of it can have
+        several = rows.groupBy("number").agg(F.min("node").alias("l"), F.max("node").alias("m")).where("l <> m").select("number")
+        rows = rows.join(several, "number")
+        enough = rows.groupBy("node", kind.alias("kind"), need.alias("need")).agg(F.count("*").alias("n")).where("n >= need").select("node", "kind")
+        rows = cut(rows.withColumn("kind", kind).join(enough, ["node", "kind"]).select("number", "node"))
+    return rows
 
 
 def member_sets(docs: DataFrame, prints: DataFrame, members: DataFrame, words: int) -> DataFrame:

@@ -83,15 +83,19 @@ def set_digest(hashes: np.ndarray) -> bytes:
 
 
 class Classes:
-    """Size classes of sets and the parts whose equality any two similar sets share (an exact pigeonhole scheme).
+    """Size classes of sets and the parts whose equality similar sets share (an exact pigeonhole scheme).
 
     similar: den x intersection >= num x union. Sets of one class differ from partners in it, or in the class below, by at
-    most D elements; the hash range is cut into D + 1 + spare parts, so at least 1 + spare parts are equal in both. A
-    set emits a number for each part that isn't empty, and for its empty parts only if it has more than ``spare``.
+    most D elements; the hash range is cut into D + need + spare parts, so at least need + spare parts are equal in both. A
+    set emits a number for each part that isn't empty, and for its empty parts only if it has more than ``spare``: then two
+    similar sets have at least ``need`` numbers of one class in common. The low bits of a number tell its class and need.
     """
 
+    NEED_BITS, CLASS_BITS = 4, 10
+
     def __init__(self, num: int, den: int):
         self.num, self.den, self.starts = num, den, [1]
+        self.known: dict[int, tuple[int, int, int]] = {}
 
     def of(self, size: int) -> int:
         while self.starts[-1] <= size:
@@ -99,17 +103,18 @@ class Classes:
             self.starts.append(max(last + 1, (last - 1) * self.den // self.num + 1))
         return int(np.searchsorted(self.starts, size, "right")) - 1
 
-    def parts(self, of: int) -> tuple[int, int]:
-        """(parts, spare) of a class; one part stands for equality of the whole set, which needs no search."""
-        while of + 1 >= len(self.starts):
-            self.of(self.starts[-1])
-        most = self.starts[of + 1] - 1
-        apart = (self.den - self.num) * 2 * most // (self.num + self.den)
-        if not apart:
-            return 1, 0
-        empty = apart * np.exp(-self.starts[of] / (apart + 1))
-        spare = int(np.ceil(empty + 4 * np.sqrt(empty)))
-        return apart + 1 + spare, spare
+    def parts(self, of: int) -> tuple[int, int, int]:
+        """(parts, spare, need) of a class; one part stands for equality of the whole set, which needs no search."""
+        if of not in self.known:
+            while of + 1 >= len(self.starts):
+                self.of(self.starts[-1])
+            least, most = self.starts[of], self.starts[of + 1] - 1
+            apart = (self.den - self.num) * 2 * most // (self.num + self.den)
+            need = 1 + min(8, least // 40)
+            empty = lambda spare: (apart + need + spare) * np.exp(-least / (apart + need + spare))
+            spare = next((x for x in range(least) if x >= empty(x) + 2 * np.sqrt(empty(x))), 0)  # any value is exact
+            self.known[of] = (apart + need + spare, spare, need) if apart else (1, 0, 1)
+        return self.known[of]
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """What the set emits, as a member of its own class and as the smaller partner of the class above."""
@@ -119,13 +124,15 @@ class Classes:
         sums = np.zeros(len(hashes) + 1, np.uint64)
         np.cumsum(_spread(hashes + np.uint64(0x2545F4914F6CDD1D)), out=sums[1:])
         high = hashes >> np.uint64(32)
+        low = np.uint64((1 << (self.NEED_BITS + self.CLASS_BITS)) - 1)
         for k in (own, own + 1):
-            parts, spare = self.parts(k)
+            parts, spare, need = self.parts(k)
             if parts == 1:
                 continue
             places = np.searchsorted(high, -(-(np.arange(parts + 1) << 32) // parts).astype(np.uint64))
             empty = places[1:] == places[:-1]
             value = _spread(sums[places[1:]] - sums[places[:-1]] + np.arange(parts, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25) + np.uint64(k * 0xD6E8FEB86659FD93 % (1 << 64)))
+            value = value & ~low | np.uint64((k % (1 << self.CLASS_BITS)) << self.NEED_BITS | need)
             out.append(value if empty.sum() > spare else value[~empty])
         return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
