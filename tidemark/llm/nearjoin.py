@@ -5,9 +5,9 @@
    and nodes that share too few, and with them nearly all documents.
 3. Each node that is left goes, with its set, to the block of the least node it shares a number with. Within a block a
    T-occurrence search (shingles.Search) links similar sets. A large block is dealt over shards that all hold its first node.
-4. A number is settled when its nodes have one component or were searched in one place. For the others, blocks are formed
-   anew, and in the end each group that is left is searched: the nodes outside its largest component as queries against
-   all its nodes, in tiles of bounded size.
+4. A number is settled when its nodes have one component or were searched in one place. The others join nodes to clusters,
+   and each cluster is searched: the nodes outside its largest component as queries against all its nodes, in tiles of
+   bounded size. A cluster of up to TILE nodes is one tile, which holds each set once.
 5. Links become components; a document's component is the least doc_id of its nodes'.
 
 Every link is found: similar sets share a number, and in the end each number's nodes are in one component, or were
@@ -28,8 +28,8 @@ from .shingles import Classes, Search, set_digest, shingle_sets
 
 #: Nodes of a shard or of one side of a tile.
 TILE = 4_096
-#: Rounds of blocks before the groups that are left are searched one by one.
-ROUNDS = 3
+#: Rounds of blocks before what is left is searched cluster by cluster.
+ROUNDS = 1
 FILTER_BITS = 1 << 25
 #: Numbers that meet in one task.
 BUCKET = 1_000_000
@@ -239,14 +239,16 @@ def component_labels(docs: DataFrame, prints: DataFrame, words: int, num: int, d
         open_ = cut(unsettled(open_, dealt, labels))
         if open_.isEmpty():
             return labels
-    weight = open_.join(labels, "node", "left").select("number", "node", F.coalesce("label", "node").alias("label"))
-    count = weight.groupBy("number", "label").agg(F.count("*").alias("k"))
-    largest = count.groupBy("number").agg(F.max_by("label", F.struct("k", "label")).alias("largest"), F.sum("k").alias("n"), F.max("k").alias("top"))
-    tiles = largest.select("number", "largest", F.ceil(F.col("n") / TILE).cast("long").alias("shards"), F.ceil((F.col("n") - F.col("top")) / TILE).cast("long").alias("chunks"))
-    group = weight.join(tiles, "number")
-    every = group.select("number", F.expr(f"pmod(xxhash64(node, {TILE}), shards)").alias("shard"), F.explode(F.expr("sequence(0L, chunks - 1)")).alias("chunk"), "node", "label")
-    asking = group.where("label <> largest").select("number", F.explode(F.expr("sequence(0L, shards - 1)")).alias("shard"), F.expr(f"pmod(xxhash64(node, {TILE + 1}), chunks)").alias("chunk"), "node", "label")
-    more = every.unionByName(asking).distinct().join(sets, "node").groupBy("number", "shard", "chunk").applyInArrow(_links(num, den), LINKS)
+    least = open_.groupBy("number").agg(F.min("node").alias("b"))
+    clusters = components(open_.join(least, "number").select(F.col("node").alias("a"), "b")).select("node", F.col("label").alias("cluster"))
+    weight = cut(clusters.join(labels, "node", "left").select("cluster", "node", F.coalesce("label", "node").alias("label")))
+    count = weight.groupBy("cluster", "label").agg(F.count("*").alias("k"))
+    largest = count.groupBy("cluster").agg(F.max_by("label", F.struct("k", "label")).alias("largest"), F.sum("k").alias("n"), F.max("k").alias("top")).where("n > top")
+    tiles = largest.select("cluster", "largest", F.ceil(F.col("n") / TILE).cast("long").alias("shards"), F.ceil((F.col("n") - F.col("top")) / TILE).cast("long").alias("chunks"))
+    group = weight.join(tiles, "cluster")
+    every = group.select("cluster", F.expr(f"pmod(xxhash64(node, {TILE}), shards)").alias("shard"), F.explode(F.expr("sequence(0L, chunks - 1)")).alias("chunk"), "node", "label")
+    asking = group.where("label <> largest").select("cluster", F.explode(F.expr("sequence(0L, shards - 1)")).alias("shard"), F.expr(f"pmod(xxhash64(node, {TILE + 1}), chunks)").alias("chunk"), "node", "label")
+    more = every.unionByName(asking).distinct().join(sets, "node").groupBy("cluster", "shard", "chunk").applyInArrow(_links(num, den), LINKS)
     return components(links.unionByName(cut(more)))
 
 
