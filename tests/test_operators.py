@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from tidemark.functions import geometry as G
 from tidemark.functions import images, scalars
 from tidemark.operators import asof, ensemble, evaluation, events, neighbours, pairs, postprocess, scenes, spatial, statistics, tracking
-from tidemark.sources import chunks, media, xml_io
+from tidemark.plans.catalogue import QUERIES
+from tidemark.sources import chunks, media, proxies, xml_io
 from tidemark.streaming.detector import Detector, detect_events
 
+FOLDER = "/root/testdata/sf0.001"
 QUADS = {
     "q1": ((5, 3), (3, 5), (3, 1), (1, 3)), "q2": ((4, 2), (6, 1), (6, 4), (8, 2)), "q3": ((1, 4), (0, 4), (1, 2), (0, 2)), "q4": ((0, 0), (10, 0), (0, 10), (10, 10)),
     "q5": ((0, 0), (3, 0), (0, 6), (3, 6)), "t1": ((0, 2), (2, 2), (0, 0), (2, 0)), "t2": ((-1, 1), (1, 1), (-1, -1), (1, -1)), "t3": ((-2, 0), (0, 0), (-2, -2), (0, -2)),
@@ -46,6 +48,21 @@ def test_jaccard_join_needs_overlap(spark):
         assert found == {"q1": round(4 / 22, 9), "q3": round(2 / 18, 9), "q4": 0.18, "q5": 1.0}
 
 
+def test_jaccard_join_takes_all_screens_of_a_video(spark):
+    rows = {(r.video, *((q := r.quad)[c][x] for c in G.CORNERS for x in "xy")) for r in proxies.screens(spark, FOLDER).collect()}
+    by, want = {}, {}
+    for video, *corners in sorted(rows):
+        by.setdefault(video, []).append([tuple(corners[i : i + 2]) for i in (0, 2, 4, 6)])
+    for video, found in by.items():
+        outlines = [tuple(q[i] for i in (0, 1, 3, 2)) for q in found]
+        for i, a in enumerate(outlines):
+            for j, b in enumerate(outlines):
+                if (shared := tracking.clip_area(a, b)) > 1e-9:
+                    want[video, i + 1, j + 1] = shared
+    found = {(r.video, r.id, r.other): r.inter for r in QUERIES["jaccard_join"](spark, FOLDER).collect()}
+    assert found.keys() == want.keys() and all(abs(v - want[k]) < 1e-5 for k, v in found.items())
+
+
 def test_order_bounds_split_and_corners(spark):
     rows = quads(spark, ["t1"]).crossJoin(quads(spark, ["t2"]).toDF("o", "other"))
     r = rows.select(G.precedes(F.col("other"), F.col("quad")).alias("p"), G.bounds(F.col("quad")).alias("b"), G.ratio_split(F.col("quad")).alias("s")).first()

@@ -84,9 +84,9 @@ def screen_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     from shared_areas join pairs using (pair) where inter > 0"""
 )
 def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    distinct = screens(spark, sf_dir).where("event_id % 7 < 2").select((F.col("event_id") % 40).alias("video"), "quad").distinct()
+    distinct = screens(spark, sf_dir).select("video", "quad").distinct()
     rows = distinct.withColumn("id", F.row_number().over(Window.partitionBy("video").orderBy("quad.tl", "quad.tr", "quad.bl", "quad.br")).cast("long"))
-    found = spatial.jaccard_join(rows.where("id <= 5"), rows, ["video"])
+    found = spatial.jaccard_join(rows, rows, ["video"])
     return found.select("video", "id", "other", F.round("inter", 6).alias("inter"), F.round("jaccard", 6).alias("jaccard"))
 
 
