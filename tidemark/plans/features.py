@@ -105,12 +105,12 @@ def standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def training_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     page_rows, screen_rows = features(spark, sf_dir)
-    few = screen_rows.where("id % 7 = 1").select(F.col("id").alias("screen"), "label")
+    every = screen_rows.select(F.col("id").alias("screen"), "label")
     pages = page_rows.select(F.col("label").alias("document"), F.col("id").alias("page"))
-    both = few.join(pages, F.col("label") == F.col("document"))
+    both = every.join(pages, F.col("label") == F.col("document"))
     similarity = F.when(F.col("page") % 20 == 0, "full").when(F.col("page") % 30 == 0, "incremental")
     matches = both.select("screen", "document", "page", similarity.alias("similarity")).where("similarity is not null")
-    found = pairs.training_pairs(few.select("screen"), pages, matches)
+    found = pairs.training_pairs(every.select("screen"), pages, matches)
     return found.select("screen", "page", "label", F.round("weight", 6).alias("weight"))
 
 
