@@ -43,7 +43,7 @@ _MATCHES = "matches as (select l_orderkey as screen, l_partkey as page, case whe
 
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0 and l_quantity < 30 and (l_linenumber % 3 <> 1 or l_quantity < 10)")
+    rows = load(spark, sf_dir, "lineitem").where("l_quantity < 30 and (l_linenumber % 3 <> 1 or l_quantity < 10)")
     return rows.select(F.col("l_orderkey").alias("screen"), F.col("l_partkey").alias("page"), F.when(F.col("l_linenumber") % 3 == 1, "full").otherwise("incremental").alias("similarity"), F.col("l_linenumber").alias("pos"))
 
 
@@ -59,7 +59,7 @@ def closest_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {_MATCHES}, r as (select *, rank() over (partition by screen order by case similarity when 'full' then 0 else 1 end) as k from matches) select o_orderkey as screen, arg_min(page, (pos, page)) filter (k = 1) as page from orders left join r on screen = o_orderkey where o_orderkey % 5 = 0 group by 1")
 def annotated_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = _matches(spark, sf_dir).groupBy("screen").agg(F.min(F.struct((F.col("similarity") != "full").alias("s"), "pos", "page")).alias("b"))
-    every = load(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("screen")).distinct()
+    every = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("screen")).distinct()
     return every.join(best, "screen", "left").select("screen", F.col("b.page").alias("page"))
 
 
@@ -78,7 +78,7 @@ def _notes(every: DataFrame) -> DataFrame:
     e = F.col("event_id")
     closest = F.when(e % 6 == 0, F.array().cast("array<bigint>")).when(e % 6 == 1, F.array(F.lit(1), F.lit(2)).cast("array<bigint>")).otherwise(F.array(e % 3 + 1))
     condition = F.when(e % 4 == 0, "windowed").when(e % 4 == 1, "obstacle").otherwise("pristine")
-    return every.where("event_id % 10 < 4").select("video", "frame_no", condition.alias("condition"), closest.alias("closest"), (e % 3 + 1).alias("page"))
+    return every.select("video", "frame_no", condition.alias("condition"), closest.alias("closest"), (e % 3 + 1).alias("page"))
 
 
 _SHOWN = "shown as (select n.video, n.frame_no, n.condition, n.closest, coalesce(list(distinct v.page) filter (v.page is not null), []) as pages from notes n left join (select * from valid where kind <> 'disappeared') v on v.video = n.video and v.a <= n.frame_no and (v.b is null or n.frame_no < v.b) group by all)"
@@ -92,7 +92,7 @@ def evaluate_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {EVENTS_SQL}, {_NOTES}, {_SHOWN} select s.video, s.frame_no, case when f.event_id % 7 = 0 then len(pages) = 0 else pages = [f.event_id % 3 + 1] end as success from shown s join frames f using (video, frame_no)")
 def evaluate_events_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = frames(spark, sf_dir)
-    notes = every.where("event_id % 10 < 4").select("video", "frame_no", F.when(F.col("event_id") % 7 != 0, F.col("event_id") % 3 + 1).alias("page"))
+    notes = every.select("video", "frame_no", F.when(F.col("event_id") % 7 != 0, F.col("event_id") % 3 + 1).alias("page"))
     return evaluation.evaluate_strictly(E.validity(events_log(spark, sf_dir)), notes)
 
 
