@@ -240,6 +240,17 @@ def test_near_groups_of_odd_rows(odd, empty):
     assert kept.columns == odd.columns and kept.where("doc_id = 1").count() == 1 and kept.where("doc_id = 6").count() == 0 and kept.where("doc_id in (2, 3, 4)").count() == 3
 
 
+def test_one_of_each_goes_by_text(spark):
+    base = [f"w{i}" for i in range(60)]
+    near, far = " ".join([*base[:-1], "z"]), " ".join(f"f{i}" for i in range(30))
+    base, other = " ".join(base), " ".join(f"o{i}" for i in range(30))
+    nulls = [" ".join(f"{c}{i}" for i in range(20)) for c in "pqr"]
+    rows = [(1, base), (2, near), (2, far), (3, other), (3, nulls[0] + " x"), (3, ""), (None, ""), (None, nulls[1]), (None, nulls[2]), (None, nulls[2]), (None, nulls[2].upper()), (None, far), (4, None)]
+    kept = nearjoin.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    left = Counter((r.doc_id, r.text and r.text.lower()) for r in kept.collect())
+    assert left == Counter([(1, base), (2, far), (3, other), (3, nulls[0] + " x"), (3, ""), (None, ""), (None, nulls[1]), (None, nulls[2]), (4, None)])
+
+
 def test_search_and_parts_lose_nothing():
     rng = random.Random(9)
     texts = []

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import cut, runs
@@ -37,7 +37,7 @@ LINKS = "a binary, b binary"
 
 
 def fingerprints(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, node (equal for equal sets, null for an empty one) and numbers of each text."""
+    """doc_id, key, n_shingles, node (equal for equal sets, null for an empty one) and numbers of each text."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = Classes(num, den)
@@ -48,13 +48,13 @@ def fingerprints(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 places = np.cumsum([0, *map(len, numbers)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        run.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([set_digest(x) if len(x) else None for x in sets], pa.binary()),
+                        run.column("doc_id"), run.column("key"), pa.array([len(x) for x in sets], pa.int64()), pa.array([set_digest(x) if len(x) else None for x in sets], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(places), pa.array(np.concatenate(numbers))),
                     ],
-                    ["doc_id", "n_shingles", "node", "numbers"],
+                    ["doc_id", "key", "n_shingles", "node", "numbers"],
                 )
 
-    return docs.mapInArrow(take, "doc_id long, n_shingles long, node binary, numbers array<long>")
+    return docs.mapInArrow(take, "doc_id long, key long, n_shingles long, node binary, numbers array<long>")
 
 
 def node_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -105,6 +105,18 @@ def components(links: DataFrame) -> DataFrame:
         stars = cut(small.unionByName(least.select(F.col("x").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct())
 
 
+def row_key() -> F.Column:
+    """The doc_id, and for a null one a hash of the text: it finds a row's text again, and doesn't put all null ids together."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")))
+
+
+def near_nodes(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(fingerprints of docs, node and label of every node that is linked with another)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("key"))
+    prints = cut(fingerprints(docs, words, num, den))
+    return prints, cut(component_labels(docs, prints, words, num, den))
+
+
 def near_groups(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text).
 
@@ -114,10 +126,8 @@ def near_groups(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) ->
     of its component if there is one. Rows that repeat a doc_id are documents of their own. An empty table gives an empty
     result. Other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = cut(fingerprints(docs, words, num, den))
+    prints, labels = near_nodes(docs, words, num, den)
     nodes = prints.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    labels = cut(component_labels(docs, prints, words, num, den))
     reps = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = reps.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = reps.join(least, "label").select("node", "component_id")
@@ -270,15 +280,34 @@ def unsettled(open_: DataFrame, dealt: DataFrame, labels: DataFrame) -> DataFram
     return open_.join(alike.groupBy("n", "s0", "s1").agg(F.min("number").alias("number")).select("number"), "number").select("number", "node")
 
 
+def with_nodes(docs: DataFrame, words: int) -> DataFrame:
+    """docs with _node, the node of each text."""
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run in runs(batch, "text"):
+                nodes = [set_digest(x) if len(x) else None for x in shingle_sets(run.column("text"), words)]
+                yield pa.RecordBatch.from_arrays([*run.columns, pa.array(nodes, pa.binary())], [*run.schema.names, "_node"])
+
+    return docs.mapInArrow(take, docs.withColumn("_node", F.lit(None).cast("binary")).schema)
+
+
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """docs' rows, one of each component: the least doc_id, and of its rows one. Rows without words all stay.
+    """docs' rows, one of each component: one with the least doc_id, null ids last. Rows without words all stay.
 
-    Rows that a bit map shows to be neither dropped nor repeated pass at once; only the others are joined with the decision.
+    Texts decide, not ids: rows that repeat a doc_id, or have none, stay if their texts are in components of their own.
+    Rows that a bit map shows to be alone in their component, or first in it, pass at once; only the others are joined with
+    the decision, by key and node.
     """
-    groups = near_groups(docs, words, num, den)
-    status = groups.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"), F.max("n_shingles").alias("_n"), F.min("component_id").alias("_least"))
-    open_ = cut(status.where("_id is null or _rows > 1 or (_n > 0 and _id <> _least)"))
-    bits = bit_map(docs.sparkSession, open_.select(F.xxhash64("_id").alias("key")))
+    prints, labels = near_nodes(docs, words, num, den)
+    prints = prints.where("node is not null").select("key", "node", "doc_id")
+    nodes = prints.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least"))
+    crowd = cut(nodes.join(labels, "node", "left").where("n > 1 or label is not null").withColumn("label", F.coalesce("label", "node")))
+    best = crowd.groupBy("label").agg(F.min(F.struct("least", "node")).alias("best"))
+    verdicts = prints.join(crowd.join(best, "label").select("node", "n", "best"), "node")
+    verdicts = verdicts.select("key", "node", "n", ((F.col("node") == F.col("best.node")) & (F.col("key") == F.col("best.least.key"))).alias("_wins"))
+    open_ = cut(verdicts.where("n > 1 or not _wins").select(F.col("key").alias("_k"), F.col("node").alias("_n"), "_wins").groupBy("_k", "_n", "_wins").agg(F.count("*").alias("_rows")))
+    bits = bit_map(docs.sparkSession, open_.select(F.xxhash64("_k").alias("key")))
     columns = docs.columns
 
     def part(wanted: bool) -> DataFrame:
@@ -286,13 +315,18 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) ->
             for batch in batches:
                 yield batch.filter(pa.array(_set_in(bits.value, batch.column("_hash").to_numpy()) == wanted))
 
-        rows = docs.withColumn("_hash", F.xxhash64(F.col("doc_id").cast("long")))
+        rows = docs.withColumn("_hash", F.xxhash64(row_key()))
         return rows.mapInArrow(keep, rows.schema).drop("_hash")
 
-    some = part(True).join(open_, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
-    some = some.withColumn("_at", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")))
-    stays = F.col("_rows").isNull() | (F.col("_n") == 0) | ((F.col("_at") == 1) & (F.col("_id").isNull() | (F.col("_id") == F.col("_least"))))
-    return part(False).unionByName(some.where(stays).select(*columns))
+    some = with_nodes(part(True), words).withColumn("_key", row_key())
+    same = (F.col("_key") == F.col("_k")) & (F.col("_node") == F.col("_n"))
+    kept = part(False).unionByName(some.join(open_, same, "left").where("_wins is null or (_wins and _rows = 1)").select(*columns))
+    repeated = open_.where("_wins and _rows > 1")
+    if repeated.isEmpty():
+        return kept
+    # Aggregated before it is sent, a row that very many rows repeat is as light as any other.
+    first = some.join(repeated, same).groupBy("_k", "_n").agg(F.min_by(F.struct(*columns), F.struct(F.xxhash64("text"), "text")).alias("_row"))
+    return kept.unionByName(first.select("_row.*"))
 
 
 #: The rows of near_groups(documents, 3, 90, 100), by joining shingles; for tables whose doc_id is unique.
