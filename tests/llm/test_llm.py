@@ -240,6 +240,20 @@ def test_near_groups_of_odd_rows(odd, empty):
     assert kept.columns == odd.columns and kept.where("doc_id = 1").count() == 1 and kept.where("doc_id = 6").count() == 0 and kept.where("doc_id in (2, 3, 4)").count() == 3
 
 
+def test_null_ids_join_components(spark):
+    words = [f"w{i}" for i in range(40)]
+    change = lambda at: " ".join(w if i not in at else "z" for i, w in enumerate(words))
+    ends, bridge = [change({0, 1}), change({38, 39})], change(())
+    alone = [" ".join(f"v{i}" for i in range(n)) for n in (40, 39)]
+    rows = [(7, ends[0]), (9, ends[1]), (None, bridge), (None, bridge), *((None, t) for t in alone)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets, root = brute_groups([t for _, t in rows], 3, 90, 100)
+    assert root == [0, 0, 0, 0, 4, 4] and brute_groups(ends, 3, 90, 100)[1] == [0, 1]
+    found = Counter((r.doc_id, r.n_shingles, r.component_id) for r in nearjoin.near_groups(df, 3, 90, 100).collect())
+    assert found == Counter([(7, 38, 7), (9, 38, 7), (None, 38, 7), (None, 38, 7), (None, 38, None), (None, 37, None)])
+    assert Counter(r.doc_id for r in nearjoin.one_of_each(df, 3, 90, 100).collect()) == {7: 1, None: 1}
+
+
 def test_one_of_each_goes_by_text(spark):
     base = [f"w{i}" for i in range(60)]
     near, far = " ".join([*base[:-1], "z"]), " ".join(f"f{i}" for i in range(30))

@@ -217,16 +217,22 @@ def member_sets(docs: DataFrame, prints: DataFrame, members: DataFrame, words: i
 
     A bit map keeps most other texts out of the join; where it is too small it lets more through.
     """
-    wanted = cut(prints.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep")).join(members, "node"))
+    wanted = cut(prints.where("node is not null").groupBy("node").agg(F.min("key").alias("rep"), F.min("doc_id").isNull().alias("none")).join(members, "node"))
     shared = bit_map(docs.sparkSession, wanted.select(F.xxhash64("rep").alias("key")))
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(_set_in(shared.value, batch.column("_key").to_numpy())))
 
-    near = docs.where("doc_id is not null").withColumn("_key", F.xxhash64("doc_id"))
-    near = near.mapInArrow(likely, near.schema).drop("_key")
-    return node_sets(near.join(wanted, near["doc_id"] == wanted["rep"]).select("text", "node"), words).dropDuplicates(["node"])
+    def near(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("_key", F.xxhash64("key"))
+        return rows.mapInArrow(likely, rows.schema).drop("_key")
+
+    texts = near(docs)
+    if not wanted.where("none").isEmpty():
+        # Texts without an id have a key in common where they are equal: one of them is enough, picked before texts are sent.
+        texts = near(docs.where("doc_id is not null")).unionByName(near(docs.where("doc_id is null")).dropDuplicates(["key", "text"]))
+    return node_sets(texts.join(wanted, texts["key"] == wanted["rep"]).select("text", "node"), words).dropDuplicates(["node"])
 
 
 def component_labels(docs: DataFrame, prints: DataFrame, words: int, num: int, den: int) -> DataFrame:
