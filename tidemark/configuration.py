@@ -31,4 +31,4 @@ def load(path: str | None = None, **own) -> Configuration:
         with open(path, encoding="utf-8") as file:
             parser.read_file(file)
         found = {k: kinds[k](v) for section in parser.sections() for k, v in parser[section].items() if k in kinds}
-    return replace(Configuration(), **found, **own)
+    return replace(Configuration(), **{**found, **own})
