@@ -5,22 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tracking import placed
+
 KINDS = ("disappeared", "appeared", "changed-content", "moved")
 
 
-def screen_events(tracked: DataFrame, frames: DataFrame) -> DataFrame:
+def screen_events(tracked: DataFrame, frames: DataFrame | None = None) -> DataFrame:
     """video, frame_no, phase, kind, screen_id, page, quad of every change in videos with at most one screen a frame.
 
-    tracked: video, frame_no, track, page (null: no match), quad; frames: every processed frame. One pass over one sort by
-    video gives the none to three events of a row: an event of a lost track carries the number of the next frame, if there is
-    one, and comes first in it. A match after none gets a new id, also on the same track.
+    tracked: video, frame_no, track, page (null: no match), quad and next_frame, as track_single gives it; where the processed
+    frames were not known to it, frames has them. One pass over one sort by video gives the none to three events of a row: an
+    event of a lost track carries the number of the next processed frame, if there is one, and comes first in it. A match after
+    none gets a new id, also on the same track.
     """
     order = Window.partitionBy("video").orderBy("frame_no")
-    last = frames.groupBy("video").agg(F.max("frame_no").alias("_end"))
-    rows = tracked.join(last, "video")
+    rows = tracked if frames is None else placed(tracked, frames)
     same = F.lag("track").over(order) == F.col("track")
     rows = rows.withColumn("_page", F.when(same, F.lag("page").over(order))).withColumn("_quad", F.when(same, F.lag("quad").over(order)))
-    rows = rows.withColumn("_lost", ~F.coalesce(F.lead("track").over(order) == F.col("track"), F.lit(False)) & (F.col("frame_no") < F.col("_end")))
+    rows = rows.withColumn("_lost", ~F.coalesce(F.lead("track").over(order) == F.col("track"), F.lit(False)) & F.col("next_frame").isNotNull())
     rows = rows.withColumn("_on", F.col("page").isNotNull()).withColumn("_was", F.col("_page").isNotNull())
     rows = rows.withColumn("_no", F.sum((F.col("_on") & ~F.col("_was")).cast("long")).over(order))
     on, was = F.col("_on"), F.col("_was")
@@ -34,7 +36,7 @@ def screen_events(tracked: DataFrame, frames: DataFrame) -> DataFrame:
         event(on & was & (F.col("page") != F.col("_page")), "changed-content", page=F.col("page")),
         event(on & was & (F.col("quad") != F.col("_quad")), "moved", phase=2, quad=F.col("quad")),
         event(~on & was, "disappeared", quad=F.col("_quad")),
-        event(on & F.col("_lost"), "disappeared", F.col("frame_no") + 1, 0, quad=F.col("quad")),
+        event(on & F.col("_lost"), "disappeared", F.col("next_frame"), 0, quad=F.col("quad")),
     )
     flat = rows.select("video", F.concat(F.lit("screen-"), F.col("_no").cast("string")).alias("screen_id"), F.inline(F.filter(made, lambda e: e.isNotNull())))
     return flat.select("video", "frame_no", "phase", "kind", "screen_id", "page", "quad")

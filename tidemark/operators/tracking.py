@@ -13,14 +13,28 @@ from ..functions.geometry import overlap
 TRACKED = "video long, frame_no long, ix long, track long, state string"
 
 
-def track_single(screens: DataFrame) -> DataFrame:
-    """Adds track (from 1 in each video) and new to videos with at most one screen a frame.
+def placed(screens: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+    """Adds at, the place of a screen's frame among the processed frames of its video, and next_frame, the number of the one
+    after it (null at the end).
 
-    A track goes on while each frame follows the one before and its quadrangle overlaps the last: gaps and islands.
+    Processed frames are those of screens, where a row without quad is a frame that shows none, and those of frames (video,
+    frame_no). A scene filter leaves gaps between their numbers, which don't matter. One shuffle by video.
     """
-    order = Window.partitionBy("video").orderBy("frame_no")
-    rows = screens.withColumn("_before", F.lag("frame_no").over(order)).withColumn("_quad", F.lag("quad").over(order))
-    goes_on = (F.col("_before") == F.col("frame_no") - 1) & ((F.col("_quad") == F.col("quad")) | (overlap("_quad", "quad") > 1e-9))
+    rows = screens.drop("at", "next_frame")
+    rows = rows if frames is None else rows.unionByName(frames.select("video", "frame_no"), allowMissingColumns=True)
+    rows = rows.withColumn("at", F.dense_rank().over(Window.partitionBy("video").orderBy("frame_no")))
+    after = Window.partitionBy("video").orderBy("at").rangeBetween(1, 1)
+    return rows.withColumn("next_frame", F.min("frame_no").over(after)).where("quad is not null")
+
+
+def track_single(screens: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+    """Adds track (from 1 in each video), new, at and next_frame to videos with at most one screen a frame.
+
+    A track goes on while each processed frame (see placed) shows a quadrangle that overlaps the last: gaps and islands.
+    """
+    order = Window.partitionBy("video").orderBy("at")
+    rows = placed(screens, frames).withColumn("_before", F.lag("at").over(order)).withColumn("_quad", F.lag("quad").over(order))
+    goes_on = (F.col("_before") == F.col("at") - 1) & ((F.col("_quad") == F.col("quad")) | (overlap("_quad", "quad") > 1e-9))
     rows = rows.withColumn("new", ~F.coalesce(goes_on, F.lit(False)))
     return rows.withColumn("track", F.sum(F.col("new").cast("long")).over(order)).drop("_before", "_quad")
 
@@ -99,19 +113,17 @@ def outline(q: dict) -> Quad:
 def track_many(screens: DataFrame, make: Callable[[], Tracker] = Tracker) -> DataFrame:
     """video, frame_no, ix, track, state (appeared, existing or disappeared) for any number of screens a frame (TRACKED).
 
-    Only this fold is sequential, one task for a video; a disappeared track has no ix and the number of the next frame.
+    Frames are processed in order of their numbers, whatever the gaps; a row without quad is a frame that shows none. Only this
+    fold is sequential, one task for a video; a disappeared track has no ix and the number of the frame that lacks it.
     """
 
     def fold(video: pd.DataFrame) -> pd.DataFrame:
         tracker, rows, name = make(), [], int(video["video"].iloc[0])
-        last = None
         for frame, part in video.sort_values(["frame_no", "ix"]).groupby("frame_no", sort=True):
-            if last is not None and frame != last + 1:  # a frame without screens lies between
-                rows += [(name, last + 1, None, t, "disappeared") for t in tracker.update([])[2]]
+            part = part[part["quad"].notna()]
             given, new, gone = tracker.update([outline(q) for q in part["quad"]])
             rows += [(name, frame, None, t, "disappeared") for t in gone]
             rows += [(name, frame, ix, given[i], "appeared" if i in new else "existing") for i, ix in enumerate(part["ix"])]
-            last = frame
         return pd.DataFrame(rows, columns=[x.split()[0] for x in TRACKED.split(", ")]).astype({"ix": "Int64"})
 
     return screens.select("video", "frame_no", F.col("ix").cast("long"), "quad").groupBy("video").applyInPandas(fold, TRACKED)

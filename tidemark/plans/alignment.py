@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import events as E
-from ..operators import tracking
-from ..sources.proxies import FRAMES_SQL, SCREENS_SQL, frames, overlap_sql, screens, two_screens, with_quads
+from ..operators import scenes, tracking
+from ..sources.proxies import FOLD_SQL, FRAMES_SQL, SCREENS_SQL, frames, overlap_sql, shown, two_screens, with_quads
 from .registry import query
 
 _CORNERS = ("tlx", "tly", "trx", "try_", "blx", "bly", "brx", "bry")
@@ -39,12 +39,11 @@ log as (
 
 
 def tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tracking.track_single(screens(spark, sf_dir))
+    return tracking.track_single(shown(frames(spark, sf_dir)))
 
 
 def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = frames(spark, sf_dir)
-    return E.screen_events(tracking.track_single(with_quads(every)), every)
+    return E.screen_events(tracked(spark, sf_dir))
 
 
 def _flat(log: DataFrame) -> DataFrame:
@@ -79,6 +78,22 @@ def events_disappeared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(events_log(spark, sf_dir).where("kind = 'disappeared'"))
 
 
+_SCENES_SQL = (
+    FOLD_SQL
+    + ", kept as (select video, frame_no as was, row_number() over (partition by video order by frame_no) as frame_no from fold where keep), "
+    + EVENTS_SQL.replace(FRAMES_SQL, "", 1).lstrip(", ").replace("from frames where kind <> 'error'", "from ranked where kind <> 'error'").replace("from frames group by video", "from ranked group by video")
+)
+_SCENES_SQL = _SCENES_SQL.replace("screens as (", "ranked as (select k.video, k.frame_no, event_id, ts, kind, value from kept k join frames f on f.video = k.video and f.frame_no = k.was),\nscreens as (", 1)
+
+
+@query(f"{_SCENES_SQL} select l.video, k.was as frame_no, {_COLUMNS.split('video, frame_no, ')[1]} from log l join kept k on k.video = l.video and k.frame_no = l.frame_no")
+def screen_events_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events over the frames that the scene filter keeps: the next processed frame is not the next number."""
+    every = frames(spark, sf_dir)
+    kept = scenes.scene_filter(every, 0.15).select("video", "frame_no")
+    return _flat(E.screen_events(tracking.track_single(shown(every.join(kept, ["video", "frame_no"], "left_semi")))))
+
+
 @query("select * from (values ('exclusive', 0::bigint), ('appeared once', 0::bigint), ('disappeared once', 0::bigint)) t(rule, violations)")
 def event_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.contract_violations(events_log(spark, sf_dir))
@@ -91,7 +106,8 @@ def track_single(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def track_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tracking.track_many(two_screens(spark, sf_dir))
+    errors = frames(spark, sf_dir).where("kind = 'error'").select("video", "frame_no")
+    return tracking.track_many(two_screens(spark, sf_dir).unionByName(errors, allowMissingColumns=True))
 
 
 @query(
@@ -113,7 +129,7 @@ def live_screens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {FRAMES_SQL} select f.video, f.frame_no, count(s.event_id) as screens from frames f left join (select * from frames where kind <> 'error') s on s.video = f.video and s.frame_no = f.frame_no group by all")
 def screens_by_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = frames(spark, sf_dir)
-    shown = with_quads(every).select("video", "frame_no", "event_id")
-    return every.select("video", "frame_no").join(shown, ["video", "frame_no"], "left").groupBy("video", "frame_no").agg(F.count("event_id").alias("screens"))
+    lit = with_quads(every).select("video", "frame_no", "event_id")
+    return every.select("video", "frame_no").join(lit, ["video", "frame_no"], "left").groupBy("video", "frame_no").agg(F.count("event_id").alias("screens"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import asof, evaluation, scenes, statistics
 from ..operators import events as E
-from ..sources.proxies import FRAMES_SQL, SCREENS_SQL, frames, load, screens, with_quads
+from ..sources.proxies import FOLD_SQL, FRAMES_SQL, SCREENS_SQL, frames, load, screens, with_quads
 from .alignment import EVENTS_SQL, events_log
 from .registry import query
 
@@ -28,18 +28,12 @@ def range_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.range_join(rows.select("video", "frame_no"), ranges, ["video"], "frame_no", "start", "page")
 
 
-_FOLD = f"""with recursive {FRAMES_SQL},
-fold as (select video, frame_no, value, value as kept, true as keep from frames where frame_no = 1
-  union all select f.video, f.frame_no, f.value, case when ((f.value - o.kept) / 255) * ((f.value - o.kept) / 255) > 0.15 then f.value else o.kept end, ((f.value - o.kept) / 255) * ((f.value - o.kept) / 255) > 0.15
-  from fold o join frames f on f.video = o.video and f.frame_no = o.frame_no + 1)"""
-
-
-@query(f"{_FOLD} select video, frame_no, value from fold where keep")
+@query(f"{FOLD_SQL} select video, frame_no, value from fold where keep")
 def scene_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scenes.scene_filter(frames(spark, sf_dir), 0.15)
 
 
-_MATCHES = "matches as (select l_orderkey as screen, l_partkey as page, case when l_linenumber % 3 = 1 then 'full' else 'incremental' end as similarity, l_linenumber as pos, l_quantity as q from lineitem where l_orderkey % 5 = 0 and l_quantity < 30 and (l_linenumber % 3 <> 1 or l_quantity < 10))"
+_MATCHES = "matches as (select l_orderkey as screen, l_partkey as page, case when l_linenumber % 3 = 1 then 'full' else 'incremental' end as similarity, l_linenumber as pos, l_quantity as q from lineitem where l_quantity < 30 and (l_linenumber % 3 <> 1 or l_quantity < 10))"
 
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +50,7 @@ def closest_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("screen", *[F.array_join(c, ",").alias(c) for c in ("full", "incremental", "closest")])
 
 
-@query(f"with {_MATCHES}, r as (select *, rank() over (partition by screen order by case similarity when 'full' then 0 else 1 end) as k from matches) select o_orderkey as screen, arg_min(page, (pos, page)) filter (k = 1) as page from orders left join r on screen = o_orderkey where o_orderkey % 5 = 0 group by 1")
+@query(f"with {_MATCHES}, r as (select *, rank() over (partition by screen order by case similarity when 'full' then 0 else 1 end) as k from matches) select o_orderkey as screen, arg_min(page, (pos, page)) filter (k = 1) as page from orders left join r on screen = o_orderkey group by 1")
 def annotated_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = _matches(spark, sf_dir).groupBy("screen").agg(F.min(F.struct((F.col("similarity") != "full").alias("s"), "pos", "page")).alias("b"))
     every = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("screen")).distinct()
@@ -70,7 +64,7 @@ def keyref_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NOTES = """notes as (select video, frame_no, case event_id % 4 when 0 then 'windowed' when 1 then 'obstacle' else 'pristine' end as condition,
-  case event_id % 6 when 0 then []::bigint[] when 1 then [1::bigint, 2::bigint] else [(event_id % 3 + 1)::bigint] end as closest from frames where event_id % 10 < 4),
+  case event_id % 6 when 0 then []::bigint[] when 1 then [1::bigint, 2::bigint] else [(event_id % 3 + 1)::bigint] end as closest from frames),
 valid as (select video, screen_id, page, kind, frame_no as a, lead(frame_no) over (partition by video, screen_id order by frame_no, phase) as b from log where kind <> 'moved')"""
 
 

@@ -41,6 +41,12 @@ def with_quads(frame_rows: DataFrame) -> DataFrame:
     return frame_rows.where("kind <> 'error'").withColumn("page", page_of()).withColumn("quad", box()).withColumn("condition", condition)
 
 
+def shown(frame_rows: DataFrame) -> DataFrame:
+    """The same with every frame; those of errors have neither page nor quad."""
+    error = F.col("kind") == "error"
+    return frame_rows.withColumn("page", page_of()).withColumn("quad", F.when(~error, box()))
+
+
 def screens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_quads(frames(spark, sf_dir))
 
@@ -74,6 +80,11 @@ SCREENS_SQL = (
     (event_id * 7 % 40 + 20 + event_id % 11)::double as brx, (event_id * 5 % 30 + 15 + event_id % 7)::double as bry
   from frames where kind <> 'error')"""
 )
+#: The scene filter over the values of frames.
+FOLD_SQL = f"""with recursive {FRAMES_SQL},
+fold as (select video, frame_no, value, value as kept, true as keep from frames where frame_no = 1
+  union all select f.video, f.frame_no, f.value, case when ((f.value - o.kept) / 255) * ((f.value - o.kept) / 255) > 0.15 then f.value else o.kept end, ((f.value - o.kept) / 255) * ((f.value - o.kept) / 255) > 0.15
+  from fold o join frames f on f.video = o.video and f.frame_no = o.frame_no + 1)"""
 VECTORS_SQL = """vectors as (select vec_id as id, label, list_transform(embedding, lambda x: x::double) as vec from embeddings),
 pages_f as (select * from vectors where id % 10 = 0), screens_f as (select * from vectors where id % 10 <> 0)"""
 
