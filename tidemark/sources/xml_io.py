@@ -68,26 +68,36 @@ def read_positions(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def event_elements(log: DataFrame, fps: int, document: str = "document") -> DataFrame:
-    """video, frame_no, phase and element: the text of one event's XML element, attributes in a fixed order."""
+    """video, frame_no, phase and element: the text of one event's XML element, attributes in a fixed order.
+
+    The document's uri is the log's column document_uri if it has one, else ``document``.
+    """
     from ..functions.scalars import elapsed_micros
 
     text = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "<", "&lt;"), '"', "&quot;")
     attribute = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f' {name}="'), text(value.cast("string")), F.lit('"'))).otherwise("")
     corners = [attribute(k + str(i), F.col(f"quad.{c}.{k}")) for i, c in enumerate(("tl", "tr", "bl", "br")) for k in "xy"]
     placed = F.when(F.col("kind").isin("appeared", "moved"), F.concat(*corners)).otherwise("")
-    paged = F.when(F.col("page").isNotNull(), F.concat(attribute("document-uri", F.lit(document)), attribute("page-number", F.col("page")))).otherwise("")
-    name = F.concat(F.when(F.col("kind") == "changed-content", "screen-changed-content").otherwise(F.concat(F.lit("screen-"), F.col("kind"))))
+    uri = F.col("document_uri") if "document_uri" in log.columns else F.lit(document)
+    paged = F.when(F.col("page").isNotNull(), F.concat(attribute("document-uri", uri), attribute("page-number", F.col("page")))).otherwise("")
+    name = F.concat(F.lit("screen-"), F.col("kind"), F.lit("-event"))
     head = [attribute("screen-id", F.col("screen_id")), attribute("frame-number", F.col("frame_no")), attribute("frame-duration", xsd_duration(elapsed_micros(F.col("frame_no"), fps)))]
-    return log.select("video", "frame_no", "phase", "screen_id", "kind", F.concat(F.lit("<"), name, *head, placed, paged, F.lit("/>")).alias("element"))
+    return log.select("video", "frame_no", "phase", "screen_id", "kind", F.concat(F.lit("<"), name, *head, paged, placed, F.lit("/>")).alias("element"))
+
 
+def event_documents(log: DataFrame, fps: int, uris: DataFrame | None = None, document: str = "document") -> DataFrame:
+    """video and xml: one whole document for each video, its events in order.
 
-def event_documents(log: DataFrame, fps: int) -> DataFrame:
-    """video and xml: one whole document for each video, its events in order."""
+    uris (video, video_uri) names the videos; without it a video's uri is its key.
+    """
     lines = F.array_sort(F.collect_list(F.struct("frame_no", "phase", "screen_id", "kind", "element")))
     body = F.array_join(F.transform(lines, lambda e: e["element"]), "\n")
-    return event_elements(log, fps).groupBy("video").agg(F.concat(F.lit('<events video-uri="'), F.col("video").cast("string"), F.lit('">\n'), body, F.lit("\n</events>")).alias("xml"))
+    rows = event_elements(log, fps, document).groupBy("video").agg(body.alias("body"))
+    rows = rows.withColumn("uri", F.col("video").cast("string")) if uris is None else rows.join(uris.select("video", F.col("video_uri").alias("uri")), "video", "left")
+    uri = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce("uri", F.col("video").cast("string")), "&", "&amp;"), "<", "&lt;"), '"', "&quot;")
+    return rows.select("video", F.concat(F.lit('<events video-uri="'), uri, F.lit('">\n'), F.col("body"), F.lit("\n</events>")).alias("xml"))
 
 
-def write_events(log: DataFrame, fps: int, path: str) -> None:
+def write_events(log: DataFrame, fps: int, path: str, uris: DataFrame | None = None, document: str = "document", mode: str = "errorifexists") -> None:
     """One text file part for each partition of videos; a document is never split between files."""
-    event_documents(log, fps).select("xml").write.mode("overwrite").text(path)
+    event_documents(log, fps, uris, document).select("xml").write.mode(mode).text(path)
