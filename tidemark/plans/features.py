@@ -96,7 +96,7 @@ def standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with {VECTORS_SQL}, s as (select id as screen, label from screens_f where id % 7 = 1), p as (select label as document, id as page from pages_f),
+    f"""with {VECTORS_SQL}, s as (select id as screen, label from screens_f), p as (select label as document, id as page from pages_f),
     e as (select screen, page, case when label = document and page % 20 = 0 then 2 when label = document and page % 20 = 10 and page % 30 = 0 then 1 end as hit, document,
       max(case when label = document and (page % 20 = 0 or page % 30 = 0) then 1 else 0 end) over (partition by screen, document) as near from s, p),
     f as (select *, sum(case when hit is null then case when near = 1 then 5.0 else 2.0 end end) over (partition by screen) as others, count(hit) over (partition by screen) as n from e),

@@ -76,10 +76,10 @@ def screen_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with {SCREENS_SQL}, members as (select distinct event_id % 40 as video, tlx, tly, trx, try_, blx, bly, brx, bry from screens where event_id % 7 < 2),
+    f"""with {SCREENS_SQL}, members as (select distinct video, tlx, tly, trx, try_, blx, bly, brx, bry from screens),
     numbered as (select *, row_number() over (partition by video order by tlx, tly, trx, try_, blx, bly, brx, bry) as id from members),
     pairs as (select a.video * 1000000 + a.id * 1000 + b.id as pair, a.video, a.id as aid, b.id as bid, {", ".join(f"a.{c} as a_{c}, b.{c} as b_{c}" for c in ("tlx", "tly", "trx", "try_", "blx", "bly", "brx", "bry"))}
-      from numbered a join numbered b on a.video = b.video and a.id <= 5), {overlap_sql("pairs")}
+      from numbered a join numbered b on a.video = b.video and a.tlx < b.brx and b.tlx < a.brx and a.tly < b.bry and b.tly < a.bry), {overlap_sql("pairs")}
     select video, aid as id, bid as other, round(inter, 6) as inter, round(inter / ({_AREA_A} + {_AREA_B} - inter), 6) as jaccard
     from shared_areas join pairs using (pair) where inter > 0"""
 )
