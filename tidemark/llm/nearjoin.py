@@ -4,7 +4,8 @@
 2. A node emits numbers (shingles.Classes) of which any two similar sets share several; numbers of one node alone drop out,
    and nodes that share too few, and with them nearly all documents.
 3. Each node that is left goes, with its set, to the block of the least node it shares a number with. Within a block a
-   T-occurrence search (shingles.Search) links similar sets. A large block is dealt over shards that all hold its first node.
+   T-occurrence search (shingles.Search) links similar sets. A large block is dealt over shards, bounded in nodes and in
+   hashes, that all hold its first node.
 4. A number is settled when its nodes have one component or were searched in one place. The others join nodes to clusters,
    and each cluster is searched: the nodes outside its largest component as queries against all its nodes, in tiles of
    bounded size. A cluster of up to TILE nodes is one tile, which holds each set once.
@@ -20,53 +21,63 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, runs
+from .shared import Scratch, runs, text_buffers
 from .shingles import Classes, Search, set_digest, shingle_sets
 
-#: Nodes of a shard or of one side of a tile.
-TILE = 4_096
+#: Nodes of a shard or of one side of a tile, and hashes in their sets.
+TILE, TILE_HASHES = 4_096, 2_000_000
 #: Rounds of blocks before what is left is searched cluster by cluster.
 ROUNDS = 1
-FILTER_BITS = 1 << 25
+#: Bit maps have 32 bits a key, up to so many bits; beyond, they let more rows through to the exact joins behind them.
+FILTER_BITS = 1 << 27
 #: Numbers that meet in one task.
 BUCKET = 1_000_000
+#: Bytes of numbers that are handled at once.
+NUMBER_BYTES = 8_000_000
+#: Nodes a task remembers, so as not to emit the numbers of their copies.
+REMEMBERED = 100_000
+#: A number's low bits tell its kind, so the others deal it out.
+KIND_BITS = Classes.NEED_BITS + Classes.CLASS_BITS
 LINKS = "a binary, b binary"
 
 
 def fingerprints(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """doc_id, key, n_shingles, node (equal for equal sets, null for an empty one) and numbers of each text."""
+    """doc_id, key, n_shingles, node (equal for equal sets, null for an empty one) and numbers of each text, eight bytes each.
+
+    A task emits the numbers of equal sets once, as long as it remembers them.
+    """
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = Classes(num, den)
+        classes, seen = Classes(num, den), set()
         for batch in batches:
             for run in runs(batch, "text"):
                 sets = shingle_sets(run.column("text"), words)
-                numbers = [classes.numbers(x) for x in sets]
-                places = np.cumsum([0, *map(len, numbers)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        run.column("doc_id"), run.column("key"), pa.array([len(x) for x in sets], pa.int64()), pa.array([set_digest(x) if len(x) else None for x in sets], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(places), pa.array(np.concatenate(numbers))),
-                    ],
-                    ["doc_id", "key", "n_shingles", "node", "numbers"],
-                )
+                nodes, numbers = [set_digest(x) if len(x) else None for x in sets], []
+                for node, x in zip(nodes, sets, strict=True):
+                    numbers.append(b"" if node is None or node in seen else classes.numbers(x).tobytes())
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(node)
+                columns = [run.column("doc_id"), run.column("key"), pa.array([len(x) for x in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(numbers, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n_shingles", "node", "numbers"])
 
-    return docs.mapInArrow(take, "doc_id long, key long, n_shingles long, node binary, numbers array<long>")
+    return docs.mapInArrow(take, "doc_id long, key long, n_shingles long, node binary, numbers binary")
 
 
 def node_sets(docs: DataFrame, words: int) -> DataFrame:
-    """node and its set's bytes for rows (text, node); a row whose text has another node drops out."""
+    """node, size and bytes of its set for rows (text, node); a row whose text has another node drops out."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for run in runs(batch, "text"):
                 pairs = [(n, x.tobytes()) for n, x in zip(run.column("node").to_pylist(), shingle_sets(run.column("text"), words), strict=True) if len(x) and set_digest(x) == n]
-                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in pairs], pa.binary()), pa.array([x for _, x in pairs], pa.binary())], ["node", "hashes"])
+                columns = [pa.array([n for n, _ in pairs], pa.binary()), pa.array([len(x) // 8 for _, x in pairs], pa.int64()), pa.array([x for _, x in pairs], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "n", "hashes"])
 
-    return docs.mapInArrow(take, "node binary, hashes binary")
+    return docs.mapInArrow(take, "node binary, n long, hashes binary")
 
 
 def _links(num: int, den: int):
@@ -84,37 +95,41 @@ def _links(num: int, den: int):
     return search
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """node and label (the least node joined with it) of every node in links (a, b): alternating large and small stars.
 
     Each round joins the links with a minimum for each node, and is cut; the rounds are about the logarithm of the longest
     chain. Nothing of it comes to the driver but a count and a checksum.
     """
-    stars = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    stars = scratch.cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     state = None
     while True:
         now = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state or not now[0]:
             return stars.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
-        state = now
+        state, old = now, stars
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
         large = both.join(least, both["u"] == least["x"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), "m")
         small = large.join(least, large["u"] == least["x"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = cut(small.unionByName(least.select(F.col("x").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct())
+        stars = scratch.cut(small.unionByName(least.select(F.col("x").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct())
+        scratch.drop(old)
 
 
-def row_key() -> F.Column:
-    """The doc_id, and for a null one a hash of the text: it finds a row's text again, and doesn't put all null ids together."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")))
+def text_key() -> F.Column:
+    """A hash of the text: what a text is found by again. Ids may be null or repeated."""
+    return F.xxhash64(F.col("text").cast("string"))
 
 
-def near_nodes(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(fingerprints of docs, node and label of every node that is linked with another)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key().alias("key"))
-    prints = cut(fingerprints(docs, words, num, den))
-    return prints, cut(component_labels(docs, prints, words, num, den))
+def near_nodes(docs: DataFrame, words: int, num: int, den: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, n_shingles and node of each row of docs; node and label of every node that is linked with another)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("key"))
+    prints = scratch.cut(fingerprints(docs, words, num, den))
+    shared = shared_numbers(prints, scratch)
+    slim = scratch.cut(prints.drop("numbers"))
+    scratch.drop(prints)
+    return slim, component_labels(docs, slim, shared, words, num, den, scratch)
 
 
 def near_groups(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -126,7 +141,7 @@ def near_groups(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) ->
     of its component if there is one. Rows that repeat a doc_id are documents of their own. An empty table gives an empty
     result. Other columns are ignored.
     """
-    prints, labels = near_nodes(docs, words, num, den)
+    prints, labels = near_nodes(docs, words, num, den, Scratch(docs.sparkSession))
     nodes = prints.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
     reps = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = reps.groupBy("label").agg(F.min("rep").alias("component_id"))
@@ -134,138 +149,164 @@ def near_groups(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) ->
     return prints.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def bit_map(spark: SparkSession, keys: DataFrame):
-    """A broadcast bit map of fixed size in which the places of all keys are set; keys is one column of whole numbers."""
-    place = F.pmod(F.col(keys.columns[0]), F.lit(FILTER_BITS))
-    spots = keys.select(place.alias("at")).selectExpr("shiftright(at, 5) as w", "shiftleft(1L, cast(at % 32 as int)) as b")
-    filled = spots.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    bits = np.zeros(FILTER_BITS // 32, np.uint32)
-    bits[filled["w"].to_numpy()] = filled["b"].to_numpy().astype(np.uint32)
-    return spark.sparkContext.broadcast(bits)  # FILTER_BITS, however many keys
+class BitMap:
+    """A broadcast bit map in which the places of all keys (one column of long numbers, mixed above KIND_BITS) are set.
+
+    Its size follows their number up to FILTER_BITS, so it is bounded whatever the input.
+    """
+
+    def __init__(self, keys: DataFrame):
+        wanted, bits = 32 * keys.count(), 1 << 16
+        while bits < min(wanted, FILTER_BITS):
+            bits *= 2
+        spots = keys.select(F.expr(f"pmod(shiftright({keys.columns[0]}, {KIND_BITS}), {bits}L)").alias("at"))
+
+        def fill(part: pa.Table) -> pa.Table:
+            at = part["at"].to_numpy()
+            own = np.zeros(1 << 16, bool)
+            own[at & 0xFFFF] = True
+            return pa.table({"part": pa.array([int(at[0]) >> 16], pa.int64()), "bits": pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())})
+
+        parts = spots.groupBy(F.expr("shiftright(at, 16)")).applyInArrow(lambda part: fill(part), "part long, bits binary").toArrow()
+        filled = np.zeros(bits // 8, np.uint8)
+        for k, own in zip(parts["part"].to_pylist(), parts["bits"].to_pylist(), strict=True):
+            filled[k << 13 : (k + 1) << 13] = np.frombuffer(own, np.uint8)
+        self.bits, self.shared = bits, keys.sparkSession.sparkContext.broadcast(filled)
+
+    def __contains__(self, key: int) -> bool:
+        return bool(self.among(np.array([key]))[0])
 
+    def among(self, keys: np.ndarray) -> np.ndarray:
+        """Which of these keys may be in it; no key of it is ever missed."""
+        at = keys >> KIND_BITS & (self.bits - 1)
+        return self.shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
 
-def _set_in(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys % FILTER_BITS
-    return bits[at >> 5] >> (at & 31).astype(np.uint32) & 1 == 1
+
+def _flat(run: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a batch's rows, and the row of each."""
+    raw, places = text_buffers(run.column("numbers"))
+    return raw.view(np.int64) if len(raw) else np.zeros(0, np.int64), np.repeat(np.arange(run.num_rows), np.diff(places) // 8)
 
 
 def repeated_numbers(prints: DataFrame) -> DataFrame:
-    """Every number that more than one node may emit: all that occur in two batches, or for two nodes of a batch.
+    """Every number that more than one node may emit: all that occur in two runs of rows, or for two nodes of a run.
 
-    Numbers travel in blocks, a block for each batch and bucket and each number once in it, so one that very many nodes emit
-    is as light as any other, and there is no row for each number.
+    Numbers travel in blocks, a block for each run and bucket and each number at most twice in it, so one that very many nodes
+    emit is as light as any other, and there is no row for each number.
     """
-    total = prints.where("node is not null").agg(F.sum(F.size("numbers"))).first()[0] or 0
+    rows = prints.where("node is not null and length(numbers) > 0").select("node", "numbers")
+    total = (rows.agg(F.sum(F.length("numbers"))).first()[0] or 0) // 8
     buckets = max(8, -(-total // BUCKET))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("numbers")
-            numbers, sizes = column.flatten().to_numpy(), np.diff(column.offsets.to_numpy())
-            if not len(numbers):
-                continue
-            nodes = np.repeat(np.unique(np.array(batch.column("node").to_pylist(), object), return_inverse=True)[1], sizes)
-            order = np.lexsort((nodes, numbers % buckets, numbers))
-            order = order[np.argsort((numbers % buckets)[order], kind="stable")]
-            numbers, nodes = numbers[order], nodes[order]
-            fresh = np.append(True, numbers[1:] != numbers[:-1])
-            other = np.append(False, (numbers[1:] == numbers[:-1]) & (nodes[1:] != nodes[:-1]))
-            group = np.cumsum(fresh) - 1
-            twice = np.bincount(group, other) > 0
-            kept = numbers[fresh]
-            # A number of two nodes stands twice, so that it counts as repeated.
-            kept = np.repeat(kept, 1 + twice)
-            bucket = kept % buckets
-            ends = np.flatnonzero(np.append(bucket[1:] != bucket[:-1], True)) + 1
-            starts = np.append(0, ends[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int64)), pa.array([kept[x:y].tobytes() for x, y in zip(starts, ends, strict=True)], pa.binary())], ["bucket", "block"])
+            for run in runs(batch, "numbers", NUMBER_BYTES):
+                first = list({node: i for i, node in enumerate(run.column("node").to_pylist())}.values())
+                numbers, counts = np.unique(_flat(run.take(pa.array(first)))[0], return_counts=True)
+                numbers = np.repeat(numbers, np.minimum(counts, 2))
+                bucket = (numbers >> KIND_BITS) % buckets
+                order = np.argsort(bucket, kind="stable")
+                numbers, bucket = numbers[order], bucket[order]
+                starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+                blocks = [x.tobytes() for x in np.split(numbers, starts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(blocks, pa.binary())], ["bucket", "block"])
 
     def again(group: pa.Table) -> pa.Table:
-        numbers, counts = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in group["block"]]), return_counts=True)
-        return pa.table({"number": pa.array(numbers[counts > 1], pa.int64())})
+        numbers = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in group["block"]]))
+        return pa.table({"number": pa.array(np.unique(numbers[1:][numbers[1:] == numbers[:-1]]), pa.int64())})
 
-    blocks = prints.where("node is not null and size(numbers) > 0").select("node", "numbers").mapInArrow(deal, "bucket long, block binary")
-    return blocks.groupBy("bucket").applyInArrow(again, "number long")
+    return rows.mapInArrow(deal, "bucket long, block binary").groupBy("bucket").applyInArrow(again, "number long")
 
 
-def shared_numbers(prints: DataFrame) -> DataFrame:
+def shared_numbers(prints: DataFrame, scratch: Scratch) -> DataFrame:
     """(number, node) of the numbers that more than one node emits, of nodes that share as many as similar sets must."""
-    repeated = cut(repeated_numbers(prints))
-    shared = bit_map(prints.sparkSession, repeated)
+    repeated = scratch.cut(repeated_numbers(prints))
+    likely = BitMap(repeated)
 
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("numbers")
-            numbers, rows = column.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), np.diff(column.offsets.to_numpy()))
-            keep = _set_in(shared.value, numbers)
-            yield pa.RecordBatch.from_arrays([pa.array(numbers[keep]), batch.column("node").take(pa.array(rows[keep]))], ["number", "node"])
-
-    rows = prints.where("node is not null and size(numbers) > 0").select("node", "numbers").mapInArrow(likely, "number long, node binary")
-    rows = cut(rows.distinct().join(repeated, "number"))
-    kind = F.col("number").bitwiseAND(F.lit((1 << (Classes.NEED_BITS + Classes.CLASS_BITS)) - 1))
+            for run in runs(batch, "numbers", NUMBER_BYTES):
+                numbers, row = _flat(run)
+                found = likely.among(numbers)
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[found]), run.column("node").take(pa.array(row[found]))], ["number", "node"])
+
+    rows = prints.where("node is not null and length(numbers) > 0").select("node", "numbers").mapInArrow(keep, "number long, node binary")
+    rows = scratch.cut(rows.distinct().join(repeated, "number"))
+    scratch.drop(repeated)
+    kind = F.col("number").bitwiseAND(F.lit((1 << KIND_BITS) - 1))
     need = F.col("number").bitwiseAND(F.lit((1 << Classes.NEED_BITS) - 1))
     for _ in range(2):  # what a node shares too little of, no partner of it can have
         several = rows.groupBy("number").agg(F.min("node").alias("l"), F.max("node").alias("m")).where("l <> m").select("number")
-        rows = rows.join(several, "number")
-        enough = rows.groupBy("node", kind.alias("kind"), need.alias("need")).agg(F.count("*").alias("n")).where("n >= need").select("node", "kind")
-        rows = cut(rows.withColumn("kind", kind).join(enough, ["node", "kind"]).select("number", "node"))
+        more = rows.join(several, "number")
+        enough = more.groupBy("node", kind.alias("kind"), need.alias("need")).agg(F.count("*").alias("n")).where("n >= need").select("node", "kind")
+        left = scratch.cut(more.withColumn("kind", kind).join(enough, ["node", "kind"]).select("number", "node"))
+        scratch.drop(rows)
+        rows = left
     return rows
 
 
-def member_sets(docs: DataFrame, prints: DataFrame, members: DataFrame, words: int) -> DataFrame:
-    """node and hashes of each member: the texts of one document for each, read again.
+def member_sets(docs: DataFrame, prints: DataFrame, members: DataFrame, words: int, scratch: Scratch) -> DataFrame:
+    """node, n and hashes of each member: one text for each, read again by its key.
 
     A bit map keeps most other texts out of the join; where it is too small it lets more through.
     """
-    wanted = cut(prints.where("node is not null").groupBy("node").agg(F.min("key").alias("rep"), F.min("doc_id").isNull().alias("none")).join(members, "node"))
-    shared = bit_map(docs.sparkSession, wanted.select(F.xxhash64("rep").alias("key")))
+    wanted = scratch.cut(prints.where("node is not null").groupBy("node").agg(F.min("key").alias("rep")).join(members, "node"))
+    likely = BitMap(wanted.select("rep"))
 
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_set_in(shared.value, batch.column("_key").to_numpy())))
+            yield batch.filter(pa.array(likely.among(batch.column("key").to_numpy())))
+
+    # Aggregated before it is sent, a text that very many rows hold is as light as any other.
+    rows = docs.where("text is not null").select("key", "text")
+    texts = rows.mapInArrow(keep, rows.schema).groupBy("key").agg(F.first("text").alias("text"))
+    sets = scratch.cut(node_sets(texts.join(wanted, texts["key"] == wanted["rep"]).select("text", "node"), words))
+    scratch.drop(wanted)
+    return sets
 
-    def near(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("_key", F.xxhash64("key"))
-        return rows.mapInArrow(likely, rows.schema).drop("_key")
 
-    texts = near(docs)
-    if not wanted.where("none").isEmpty():
-        # Texts without an id have a key in common where they are equal: one of them is enough, picked before texts are sent.
-        texts = near(docs.where("doc_id is not null")).unionByName(near(docs.where("doc_id is null")).dropDuplicates(["key", "text"]))
-    return node_sets(texts.join(wanted, texts["key"] == wanted["rep"]).select("text", "node"), words).dropDuplicates(["node"])
+def _shards(n: str, hashes: str) -> F.Column:
+    """Shards of so many nodes with so many hashes in all."""
+    return F.greatest(F.lit(1), F.ceil(F.col(n) / TILE), F.ceil(F.col(hashes) / TILE_HASHES)).cast("long")
 
 
-def component_labels(docs: DataFrame, prints: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def component_labels(docs: DataFrame, prints: DataFrame, shared: DataFrame, words: int, num: int, den: int, scratch: Scratch) -> DataFrame:
     """node and label of every node that is linked with another."""
-    shared = cut(shared_numbers(prints))
-    sets = cut(member_sets(docs, prints, shared.select("node").distinct(), words))
+    sets = member_sets(docs, prints, shared.select("node").distinct(), words, scratch)
+    sizes = sets.select("node", "n")
     open_, links, labels = shared, None, None
     for _ in range(ROUNDS):
         least = open_.groupBy("number").agg(F.min("node").alias("least"))
-        open_ = cut(open_.join(least, "number"))
-        member = open_.groupBy("node").agg(F.min("least").alias("block"))
-        size = cut(member.groupBy("block").agg(F.ceil(F.count("*") / TILE).cast("long").alias("shards")))
-        dealt = cut(member.join(size, "block").select("block", F.expr(f"pmod(xxhash64(node, {TILE}), shards)").alias("shard"), "node"))
+        headed = scratch.cut(open_.join(least, "number"))
+        scratch.drop(open_)
+        member = headed.groupBy("node").agg(F.min("least").alias("block")).join(sizes, "node")
+        size = scratch.cut(member.groupBy("block").agg(F.count("*").alias("k"), F.sum("n").alias("h")).select("block", _shards("k", "h").alias("shards")))
+        dealt = scratch.cut(member.join(size, "block").select("block", F.expr(f"pmod(xxhash64(node, {TILE}), shards)").alias("shard"), "node"))
         heads = size.select("block", F.explode(F.expr("sequence(0L, shards - 1)")).alias("shard"), F.col("block").alias("node"))
-        blocks = dealt.unionByName(heads).distinct().join(sets, "node")
+        blocks = dealt.unionByName(heads).distinct().join(sets.drop("n"), "node")
         blocks = (blocks.join(labels, "node", "left") if labels else blocks.withColumn("label", F.lit(None).cast("binary"))).withColumn("label", F.coalesce("label", "node"))
-        found = cut(blocks.groupBy("block", "shard").applyInArrow(_links(num, den), LINKS))
+        found = scratch.cut(blocks.groupBy("block", "shard").applyInArrow(_links(num, den), LINKS))
         links = found if links is None else links.unionByName(found)
-        labels = components(links)
-        open_ = cut(unsettled(open_, dealt, labels))
+        labels = scratch.cut(components(links, scratch))
+        open_ = scratch.cut(unsettled(headed, dealt, labels))
+        scratch.drop(headed, dealt, size)
         if open_.isEmpty():
             return labels
     least = open_.groupBy("number").agg(F.min("node").alias("b"))
-    clusters = components(open_.join(least, "number").select(F.col("node").alias("a"), "b")).select("node", F.col("label").alias("cluster"))
-    weight = cut(clusters.join(labels, "node", "left").select("cluster", "node", F.coalesce("label", "node").alias("label")))
-    count = weight.groupBy("cluster", "label").agg(F.count("*").alias("k"))
-    largest = count.groupBy("cluster").agg(F.max_by("label", F.struct("k", "label")).alias("largest"), F.sum("k").alias("n"), F.max("k").alias("top")).where("n > top")
-    tiles = largest.select("cluster", "largest", F.ceil(F.col("n") / TILE).cast("long").alias("shards"), F.ceil((F.col("n") - F.col("top")) / TILE).cast("long").alias("chunks"))
-    group = weight.join(tiles, "cluster")
+    clusters = components(open_.join(least, "number").select(F.col("node").alias("a"), "b"), scratch).select("node", F.col("label").alias("cluster"))
+    weight = scratch.cut(clusters.join(labels, "node", "left").select("cluster", "node", F.coalesce("label", "node").alias("label")).join(sizes, "node"))
+    count = weight.groupBy("cluster", "label").agg(F.count("*").alias("k"), F.sum("n").alias("h"))
+    largest = count.groupBy("cluster").agg(
+        F.max_by("label", F.struct("k", "label")).alias("largest"), F.sum("k").alias("n"), F.sum("h").alias("h"), F.max("k").alias("top"), F.max_by("h", F.struct("k", "label")).alias("top_h"),
+    ).where("n > top")
+    tiles = largest.select("cluster", "largest", _shards("n", "h").alias("shards"), F.expr("n - top").alias("m"), F.expr("h - top_h").alias("g")).select("cluster", "largest", "shards", _shards("m", "g").alias("chunks"))
+    group = weight.drop("n").join(tiles, "cluster")
     every = group.select("cluster", F.expr(f"pmod(xxhash64(node, {TILE}), shards)").alias("shard"), F.explode(F.expr("sequence(0L, chunks - 1)")).alias("chunk"), "node", "label")
     asking = group.where("label <> largest").select("cluster", F.explode(F.expr("sequence(0L, shards - 1)")).alias("shard"), F.expr(f"pmod(xxhash64(node, {TILE + 1}), chunks)").alias("chunk"), "node", "label")
-    more = every.unionByName(asking).distinct().join(sets, "node").groupBy("cluster", "shard", "chunk").applyInArrow(_links(num, den), LINKS)
-    return components(links.unionByName(cut(more)))
+    more = every.unionByName(asking).distinct().join(sets.drop("n"), "node").groupBy("cluster", "shard", "chunk").applyInArrow(_links(num, den), LINKS)
+    labels = scratch.cut(components(links.unionByName(scratch.cut(more)), scratch))
+    scratch.drop(sets, weight, open_)
+    return labels
 
 
 def unsettled(open_: DataFrame, dealt: DataFrame, labels: DataFrame) -> DataFrame:
@@ -286,53 +327,37 @@ def unsettled(open_: DataFrame, dealt: DataFrame, labels: DataFrame) -> DataFram
     return open_.join(alike.groupBy("n", "s0", "s1").agg(F.min("number").alias("number")).select("number"), "number").select("number", "node")
 
 
-def with_nodes(docs: DataFrame, words: int) -> DataFrame:
-    """docs with _node, the node of each text."""
-
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for run in runs(batch, "text"):
-                nodes = [set_digest(x) if len(x) else None for x in shingle_sets(run.column("text"), words)]
-                yield pa.RecordBatch.from_arrays([*run.columns, pa.array(nodes, pa.binary())], [*run.schema.names, "_node"])
-
-    return docs.mapInArrow(take, docs.withColumn("_node", F.lit(None).cast("binary")).schema)
-
-
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """docs' rows, one of each component: one with the least doc_id, null ids last. Rows without words all stay.
 
-    Texts decide, not ids: rows that repeat a doc_id, or have none, stay if their texts are in components of their own.
-    Rows that a bit map shows to be alone in their component, or first in it, pass at once; only the others are joined with
-    the decision, by key and node.
+    Texts decide, not ids: rows that repeat a doc_id, or have none, stay if their texts are in components of their own. Of rows
+    that are alike in id and text, any one stays, the same in each run. Other columns, whatever their names, go along; an empty
+    table gives an empty result. Rows that a bit map shows to be alone in their component, or first in it, pass at once; only
+    the others are joined with the decision, one row for each text.
     """
-    prints, labels = near_nodes(docs, words, num, den)
+    scratch, columns = Scratch(docs.sparkSession), docs.columns
+    prints, labels = near_nodes(docs, words, num, den, scratch)
     prints = prints.where("node is not null").select("key", "node", "doc_id")
-    nodes = prints.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least"))
-    crowd = cut(nodes.join(labels, "node", "left").where("n > 1 or label is not null").withColumn("label", F.coalesce("label", "node")))
-    best = crowd.groupBy("label").agg(F.min(F.struct("least", "node")).alias("best"))
-    verdicts = prints.join(crowd.join(best, "label").select("node", "n", "best"), "node")
-    verdicts = verdicts.select("key", "node", "n", ((F.col("node") == F.col("best.node")) & (F.col("key") == F.col("best.least.key"))).alias("_wins"))
-    open_ = cut(verdicts.where("n > 1 or not _wins").select(F.col("key").alias("_k"), F.col("node").alias("_n"), "_wins").groupBy("_k", "_n", "_wins").agg(F.count("*").alias("_rows")))
-    bits = bit_map(docs.sparkSession, open_.select(F.xxhash64("_k").alias("key")))
-    columns = docs.columns
+    texts = prints.groupBy("key", "node").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least"))
+    named = texts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    best = named.groupBy("label").agg(F.min("least").alias("best"))
+    verdicts = named.join(best, "label").select("key", "n", (F.col("key") == F.col("best.key")).alias("wins"))
+    open_ = scratch.cut(verdicts.where("n > 1 or not wins").select("key", "wins"))
+    decided = BitMap(open_.select("key"))
 
     def part(wanted: bool) -> DataFrame:
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array(_set_in(bits.value, batch.column("_hash").to_numpy()) == wanted))
-
-        rows = docs.withColumn("_hash", F.xxhash64(row_key()))
-        return rows.mapInArrow(keep, rows.schema).drop("_hash")
-
-    some = with_nodes(part(True), words).withColumn("_key", row_key())
-    same = (F.col("_key") == F.col("_k")) & (F.col("_node") == F.col("_n"))
-    kept = part(False).unionByName(some.join(open_, same, "left").where("_wins is null or (_wins and _rows = 1)").select(*columns))
-    repeated = open_.where("_wins and _rows > 1")
-    if repeated.isEmpty():
-        return kept
-    # Aggregated before it is sent, a row that very many rows repeat is as light as any other.
-    first = some.join(repeated, same).groupBy("_k", "_n").agg(F.min_by(F.struct(*columns), F.struct(F.xxhash64("text"), "text")).alias("_row"))
-    return kept.unionByName(first.select("_row.*"))
+                yield batch.filter(pa.array((decided.among(batch.column("key").to_numpy()) & batch.column("worded").to_numpy(zero_copy_only=False)) == wanted))
+
+        worded = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+        rows = docs.select(F.struct(*columns).alias("row"), text_key().alias("key"), worded.alias("worded"))
+        return rows.mapInArrow(keep, rows.schema)
+
+    # Aggregated before it is sent, a text that very many rows hold is as light as any other.
+    order = F.struct(F.col("row.doc_id").isNull(), "row.doc_id", F.xxhash64("row"))
+    some = part(True).groupBy("key").agg(F.min_by("row", order).alias("row")).join(open_, "key", "left").where("wins is null or wins")
+    return part(False).select("row.*").unionByName(some.select("row.*"))
 
 
 #: The rows of near_groups(documents, 3, 90, 100), by joining shingles; for tables whose doc_id is unique.

@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of our own only where the session names none and runs on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"/tmp/checkpoints/{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(folder)
     elif not spark.sparkContext.getCheckpointDir():
@@ -33,21 +35,40 @@ def cut(df: DataFrame) -> DataFrame:
 
     A lost executor costs nothing after this: the rows are in shared storage.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/rows-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).cut(df)
 
 
-def runs(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Cuts a batch where its texts pass RUN_BYTES, so that memory doesn't follow the batch size."""
+class Scratch:
+    """Rows written to the shared folder on the way to a result, and deleted once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders = spark, {}
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        path = f"{shared_folder(self.spark)}/rows-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        rows = self.spark.read.schema(df.schema).parquet(path)
+        self.folders[id(rows)] = (rows, path)  # holds the frame, so that its id stays its own
+        return rows
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Deletes what cut() wrote for these frames, and lets Spark delete the shuffles behind what is gone."""
+        jvm = self.spark.sparkContext._jvm
+        for frame in frames:
+            path = jvm.org.apache.hadoop.fs.Path(self.folders.pop(id(frame))[1])
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        jvm.System.gc()
+
+
+def runs(batch: pa.RecordBatch, column: str, size: int = RUN_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch where its texts pass so many bytes, so that memory doesn't follow the batch size."""
     if not batch.num_rows:
         return
     ends = np.cumsum(text_lengths(batch.column(column)))
     first = 0
     while first < batch.num_rows:
         base = ends[first - 1] if first else 0
-        last = max(first + 1, int(np.searchsorted(ends, base + RUN_BYTES, "right")))
+        last = max(first + 1, int(np.searchsorted(ends, base + size, "right")))
         yield batch.slice(first, last - first)
         first = last
 

@@ -147,7 +147,8 @@ class Search:
 
     The inverted list of a hash names the sets that hold it. A query of n hashes wants the sets on at least T of its n
     lists. Its L longest lists are set aside; merging the short ones keeps the sets that occur T - L times there; those are
-    looked up in the long lists by binary search, and kept where they reach the overlap that both sizes ask for.
+    looked up in the long lists by binary search, and kept where they reach the overlap that both sizes ask for. The short
+    lists are sorted runs, so the merge is one stable sort over them, which counts as a heap of their heads would.
     """
 
     def __init__(self, sets: list[np.ndarray], num: int, den: int):
