@@ -82,7 +82,7 @@ def node_sets(docs: DataFrame, words: int) -> DataFrame:
 
 def _links(num: int, den: int):
     def search(block: pa.Table) -> pa.Table:
-        """A forest of the links in one block; nodes of one label count as linked already."""
+        """What the links in one block join, as stars around the least node; nodes of one label count as linked already."""
         block = block.sort_by([("node", "ascending")])
         nodes = block["node"].to_pylist()
         first = [i for i in range(len(nodes)) if not i or nodes[i] != nodes[i - 1]]
@@ -90,7 +90,18 @@ def _links(num: int, den: int):
         hashes = block["hashes"]
         sets = [np.frombuffer(hashes[i].as_py(), np.uint64) for i in first]
         found = Search(sets, num, den).forest([labels[i] for i in first]) if len(nodes) > 1 else []
-        return pa.table({"a": pa.array([nodes[i] for i, _ in found], pa.binary()), "b": pa.array([nodes[j] for _, j in found], pa.binary())})
+        root = {x: x for link in found for x in link}
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            return i
+
+        for i, j in found:
+            i, j = top(i), top(j)
+            root[max(i, j)] = min(i, j)
+        ends = [(i, top(i)) for i in root if top(i) != i]
+        return pa.table({"a": pa.array([nodes[i] for i, _ in ends], pa.binary()), "b": pa.array([nodes[j] for _, j in ends], pa.binary())})
 
     return search
 
@@ -99,15 +110,14 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """node and label (the least node joined with it) of every node in links (a, b): alternating large and small stars.
 
     Each round joins the links with a minimum for each node, and is cut; the rounds are about the logarithm of the longest
-    chain. Nothing of it comes to the driver but a count and a checksum.
+    chain, and links that are stars already take none. Nothing of it comes to the driver but a yes or no.
     """
     stars = scratch.cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    state = None
     while True:
-        now = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state or not now[0]:
-            return stars.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
-        state, old = now, stars
+        ends = stars.select(F.col("u").alias("x"), F.lit(1).alias("up")).unionByName(stars.select(F.col("v").alias("x"), F.lit(0).alias("up")))
+        if ends.groupBy("x").agg(F.sum("up").alias("n"), F.min("up").alias("low")).where("n > 1 or n > 0 and low = 0").isEmpty():
+            return stars.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+        old = stars
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
         large = both.join(least, both["u"] == least["x"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -304,7 +314,9 @@ def component_labels(docs: DataFrame, prints: DataFrame, shared: DataFrame, word
     every = group.select("cluster", F.expr(f"pmod(xxhash64(node, {TILE}), shards)").alias("shard"), F.explode(F.expr("sequence(0L, chunks - 1)")).alias("chunk"), "node", "label")
     asking = group.where("label <> largest").select("cluster", F.explode(F.expr("sequence(0L, shards - 1)")).alias("shard"), F.expr(f"pmod(xxhash64(node, {TILE + 1}), chunks)").alias("chunk"), "node", "label")
     more = every.unionByName(asking).distinct().join(sets.drop("n"), "node").groupBy("cluster", "shard", "chunk").applyInArrow(_links(num, den), LINKS)
-    labels = scratch.cut(components(links.unionByName(scratch.cut(more)), scratch))
+    more = scratch.cut(more)
+    if not more.isEmpty():
+        labels = scratch.cut(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more), scratch))
     scratch.drop(sets, weight, open_)
     return labels
 
