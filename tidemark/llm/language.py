@@ -5,8 +5,12 @@ probability of a word is the sum over all its segmentations into pieces of the p
 forward algorithm; words are independent, so a text's log-probability is a sum over its words. Expectation maximisation
 (forward and backward over a bounded sample of labelled texts) learns the probabilities.
 
-A word is a run of letters, lower-cased, behind the mark of a word's start. Runs over MAX_WORD letters are scored in
-stretches of that many. Every letter is a piece, a rare one with the least probability, so each word has a segmentation.
+A word is a run of letters, lower-cased, behind the mark of a word's start. The sums of words over MAX_WORD letters are
+rescaled as they go, so they don't underflow. Every letter is a piece, a rare one with the least probability, so each word has
+a segmentation.
+
+A text's score is its language's share of the probability per word (the geometric mean over its words), which does not
+saturate with the length of the text as the probability of all of it does.
 """
 
 from __future__ import annotations
@@ -26,12 +30,15 @@ from pyspark.sql.types import DoubleType, StringType, StructType
 from .shared import runs
 
 MARK = "▁"
-MAX_WORD = 48
-#: Labelled documents learned from: so many of each language, and so many in all.
-SAMPLE_PER_LANGUAGE, SAMPLE_IN_ALL = 400, 20_000
+MAX_WORD = 24
+#: Labelled documents learned from: so many of each language, so many in all, of at most so many characters.
+SAMPLE_PER_LANGUAGE, SAMPLE_IN_ALL, SAMPLE_CHARS = 400, 4_000, 20_000
 #: Words whose scores a worker keeps; past it the cache starts anew.
 CACHE_WORDS = 400_000
 
+#: Share of a piece that a language's sample doesn't hold.
+RARE = 2e-8
+
 _WORDS = re.compile(r"[^\W\d_]+")
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _STEP = np.uint64(0x100000001B3)
@@ -123,7 +130,7 @@ class LanguageModel:
 
     def _forward(self, codes: np.ndarray, p: np.ndarray) -> tuple[list[np.ndarray], list[list[np.ndarray]]]:
         """Sums over the segmentations of each word's first j letters, for all j; p: a row for each piece, the last for a
-        letter that is none and one more of zeros. Words have at most MAX_WORD letters, so nothing underflows."""
+        letter that is none and one more of zeros. For words of at most MAX_WORD letters, so that nothing underflows."""
         n, width = codes.shape
         found, none = self.table.find(codes), len(self.pieces)
         for row in found:
@@ -143,13 +150,36 @@ class LanguageModel:
         return sums, found
 
     def word_scores(self, words: list[str]) -> np.ndarray:
-        """Log-probability of each word (lower-case letters, at most MAX_WORD) in each language."""
+        """Log-probability of each word (lower-case letters) in each language."""
         p = np.vstack([self.probabilities, np.zeros(len(self.languages))])
         out = np.zeros((len(words), len(self.languages)))
-        for at, codes in by_length(words):
-            out[at] = np.log(self._forward(codes, p)[0][-1])
+        short = [i for i, x in enumerate(words) if len(x) <= MAX_WORD]
+        for at, codes in by_length([words[i] for i in short]):
+            out[np.array(short)[at]] = np.log(self._forward(codes, p)[0][-1])
+        for i, word in enumerate(words):
+            if len(word) > MAX_WORD:
+                out[i] = self._long(word, p)
         return out
 
+    def _long(self, word: str, p: np.ndarray) -> np.ndarray:
+        """The same for one long word: sums over its first letters as shares of the last, whose logarithm is kept beside."""
+        codes, longest, none = np.frombuffer((MARK + word).encode("utf-32-le"), np.uint32).astype(np.uint64), self.table.longest, len(self.pieces)
+        pad = np.concatenate([codes, np.zeros(longest, np.uint64)])
+        windows = np.lib.stride_tricks.sliding_window_view(pad, longest)[: len(codes)]
+        log, ring = np.zeros(p.shape[1]), np.zeros((longest, p.shape[1]))
+        ring[0] = 1.0  # [k]: the sum k + 1 letters back, over the newest one
+        recent = np.full((longest, longest), none + 1, np.int64)  # [k]: ids by length - 1 of the pieces that start k letters back
+        for first in range(0, len(codes), 4_096):
+            part = windows[first : first + 4_096]
+            ids = np.stack(self.table.find(part)[0], 1)
+            ids[:, 1:][ids[:, 1:] == none] = none + 1
+            for row in ids:
+                recent = np.concatenate([row[None].astype(np.int64), recent[:-1]])
+                total = (ring * p[recent.diagonal()]).sum(0)
+                log += np.log(total)
+                ring = np.concatenate([np.ones((1, len(total))), ring[:-1] / total])
+        return log
+
     def expected(self, counts: Counter, language: int) -> np.ndarray:
         """How often each piece is expected in the counted words, over all their segmentations."""
         p = np.vstack([self.probabilities[:, [language]], [[0.0]]])
@@ -169,45 +199,43 @@ class LanguageModel:
 
 
 def text_words(text: str | None) -> list[str]:
-    """Lower-cased runs of letters, long ones in stretches; a run with other numerals loses them."""
-    out = []
-    for word in _WORDS.findall((text or "").lower()):
-        if not word.isalpha():
-            word = "".join(filter(str.isalpha, word))
-        out += [word] if len(word) <= MAX_WORD else [word[i : i + MAX_WORD] for i in range(0, len(word), MAX_WORD)]
-    return [x for x in out if x]
+    """Lower-cased runs of letters; a run with other numerals loses them."""
+    words = _WORDS.findall((text or "").lower())
+    return [w for x in words if (w := x if x.isalpha() else "".join(filter(str.isalpha, x)))]
 
 
 def fit(labelled: list[tuple[str, str]], pieces: list[str], rounds: int = 2) -> LanguageModel:
-    """labelled: (language, text). Starts from even probabilities; each round replaces them by expected shares."""
+    """labelled: (language, text). Starts from even probabilities; each round replaces them by expected shares. Words over
+    MAX_WORD letters teach nothing."""
     counts: dict[str, Counter] = {}
     for language, text in labelled:
-        counts.setdefault(language, Counter()).update(text_words(text))
+        counts.setdefault(language, Counter()).update(x for x in text_words(text) if len(x) <= MAX_WORD)
     languages = sorted(counts)
     model = LanguageModel(languages, pieces, np.full((len(pieces) + 1, len(languages)), 1 / len(pieces)))
     for _ in range(rounds):
         made = np.stack([model.expected(counts[x], k) for k, x in enumerate(languages)], 1) if languages else model.probabilities
-        model.probabilities = (made + 0.01) / (made + 0.01).sum(0)
+        shares = made / np.maximum(made.sum(0), 1e-300) + RARE  # alike in all languages, so what none has seen speaks for none
+        model.probabilities = shares / shares.sum(0)
     return model
 
 
 def learned(docs: DataFrame, pieces: list[str]) -> LanguageModel:
-    """Learns from at most SAMPLE_PER_LANGUAGE texts of each label, picked by a hash of doc_id among docs (doc_id, text, lang).
+    """Learns from about SAMPLE_PER_LANGUAGE texts of each label, drawn by a hash among docs (doc_id, text, lang).
 
-    One pass counts the labels, a second takes the texts whose hash is below the share wanted; the sample, not the input,
-    bounds what comes to the driver.
+    One pass counts the labels, a second takes the texts whose hash is below the share wanted, each text once; the draw, not
+    the input, bounds what comes to the driver. Texts over SAMPLE_CHARS are not drawn.
     """
-    labels = docs.where("lang is not null and text is not null").select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    labels = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(f"lang is not null and length(text) <= {SAMPLE_CHARS}")
     sizes = {r["lang"]: r["n"] for r in labels.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_IN_ALL).collect()}
     if not sizes:
         return fit([], pieces)
     most = max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE_IN_ALL // len(sizes)))
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 1.3 * (most + 5) / n))])
-    order = F.xxhash64(F.col("doc_id"), F.lit(7))
-    picked = labels.where(F.pmod(order, F.lit(1 << 32)) < share[F.col("lang")] * (1 << 32)).select("lang", "text", order.alias("o"))
+    order = F.xxhash64("doc_id", "text", F.lit(7))
+    picked = labels.where(F.pmod(order, F.lit(1 << 32)) < share[F.col("lang")] * (1 << 32)).select("lang", "text", order.alias("o")).distinct()
     kept: Counter = Counter()
     chosen = []
-    for r in sorted(picked.limit(2 * SAMPLE_IN_ALL).collect(), key=lambda r: (r["lang"], r["o"], r["text"])):
+    for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["o"], r["text"])):
         kept[r["lang"]] += 1
         if kept[r["lang"]] <= most:
             chosen.append((r["lang"], r["text"]))
@@ -227,7 +255,7 @@ class Scorer(dict):
         return at
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """The likeliest language of each text, and its share of the probability over all languages."""
+        """The likeliest language of each text, and its share of the probability per word over all languages."""
         if len(self) > CACHE_WORDS:
             self.clear()
             self.rows = self.rows[:0]
@@ -242,7 +270,8 @@ class Scorer(dict):
         if len(some) and self.model.languages:
             total = np.add.reduceat(self.rows[at], (np.cumsum(sizes) - sizes)[some])
             best = total.argmax(1)
-            share = 1 / np.exp(total - total[np.arange(len(some)), best][:, None]).sum(1)
+            each = (total - total[np.arange(len(some)), best][:, None]) / sizes[some][:, None]
+            share = 1 / np.exp(each).sum(1)
             for k, i in enumerate(some):
                 names[i], scores[i] = self.model.languages[best[k]], float(share[k])
         return names, scores
