@@ -4,14 +4,19 @@ The nodes of a document's graph are its tokens that hold a digit or an at sign,
 at sign. Neighbouring tokens share chain potentials; a token and the one before it with the same core, the same seven or
 more digits or the same name share a skip potential, so a mention far away draws the label of its twin. Linking each
 occurrence to the one before keeps the edges linear in the tokens. Tokens in a pattern's span have that label as
-evidence; loopy sum-product messages settle the others, for all documents of a run at once. Weights come from a bounded
-sample whose labels are the patterns' own spans, by pseudo-likelihood.
+evidence; loopy sum-product messages settle the others, for all documents of a run at once.
+
+Weights come from a bounded sample, by pseudo-likelihood. Its labels are the patterns' own spans, values that an assignment
+to a telling name gives away (secrets, which no pattern at work looks for), and mentions put in for learning: the name of an
+address without its domain, a number without its punctuation, and likewise of tokens that are no personal data. No pattern
+finds such a mention, so its label has to come over the skip link.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,8 +29,12 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from .shared import runs
 
 KINDS = ("email", "ip", "card", "phone")
-#: Documents drawn for learning; those without a digit or an at sign, and the very long, are left out.
-SAMPLE, SAMPLE_CHARS = 5_000, 200_000
+#: What a token may be besides nothing; a secret is found by the field alone.
+LABELS = (*KINDS, "secret")
+#: Documents drawn for learning; those without a digit or an at sign, and the long, are left out, so 100 MB at most are read.
+SAMPLE, SAMPLE_CHARS = 5_000, 20_000
+#: Characters before a token in which a telling name counts for it.
+NEAR = 24
 #: An added span needs this posterior.
 SURE = 0.9
 ROUNDS = 12
@@ -38,6 +47,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _SEED = re.compile(r"[0-9@]+")
+_TOKEN = re.compile(r"\S+")
+_TELLING = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|(?:api|access|private)[_ -]?key)\W*$")
+_ASSIGNED = re.compile(r"""(?i)(?:token|secret|passw(?:or)?d|(?:api|access|private)[_ -]?key)["']?\s?[:=]\s?["']?([A-Za-z0-9_/+-]{16,})""")
 _EDGE = "()[]{}<>\"'`.,;:!?*#$%&=/\\|~^_-"
 
 
@@ -87,7 +99,7 @@ class Graph:
     edges: list[tuple[int, int, int]] = field(default_factory=list)
 
     def add(self, doc: int, text: str, spans: list[tuple[str, int, int]]) -> None:
-        """Adds a document; labels are 0 outside the spans, else 1 + the kind's place in KINDS."""
+        """Adds a document; labels are 0 outside the spans, else 1 + the kind's place in LABELS. Time linear in the text."""
         tokens, done = [], 0
         for m in _SEED.finditer(text):
             if m.start() >= done:
@@ -97,10 +109,10 @@ class Graph:
                 while done < len(text) and not text[done].isspace():
                     done += 1
                 tokens.append((first, done))
-        for name in {text[a:b].split("@")[0] for kind, a, b in spans if kind == "email"}:
-            if len(name) >= 6:
-                tokens += [m.span() for m in re.finditer(rf"(?<!\S){re.escape(name)}(?=\W?(?:\s|$))", text)]
-        tokens, inside, last, seen = sorted(set(tokens)), sorted((a, b, 1 + KINDS.index(k)) for k, a, b in spans), None, {}
+        names = {name.lower() for kind, a, b in spans if kind == "email" and len(name := text[a:b].split("@")[0]) >= 6}
+        if names:
+            tokens += [m.span() for m in _TOKEN.finditer(text) if m[0].strip(_EDGE).lower() in names]
+        tokens, inside, last, seen = sorted(set(tokens)), sorted((a, b, 1 + LABELS.index(k)) for k, a, b in spans), None, {}
         k = 0
         for first, end in tokens:
             core = text[first:end]
@@ -111,10 +123,13 @@ class Graph:
             node, stop = len(self.where), start + len(core)
             while k < len(inside) and inside[k][1] <= start:
                 k += 1
-            label = next((x for a, b, x in inside[k : k + 4] if a < stop and b > start), 0)
+            at = k
+            while at < len(inside) and inside[at][0] < stop and inside[at][1] <= start:
+                at += 1
+            label = inside[at][2] if at < len(inside) and inside[at][0] < stop else 0
             self.where.append((doc, start, stop))
             self.labels.append(label)
-            self.features.append(_features(core, text[max(0, start - 1) : start]))
+            self.features.append(_features(core, text[max(0, start - NEAR) : start]))
             if last is not None and text[last : first].isspace():
                 self.edges.append((node - 1, node, 0))
             last = end
@@ -126,15 +141,18 @@ class Graph:
 
 
 def _features(core: str, before: str) -> list[float]:
+    """Of a token without the marks around it, and of the characters before it."""
     digits = len(_DIGIT.findall(core))
-    letters = sum(map(str.isalpha, core[:200]))
+    letters = sum(map(str.isalpha, core))
     dots, parts = core.count("."), core.split(".")
     quad = dots == 3 and all(x.isascii() and x.isdigit() for x in parts)
+    mixed = len(core) >= 16 and digits >= 3 and letters >= 3 and not dots and "@" not in core
     return [
         1.0, float("@" in core), float("@" in core and bool(_DOMAIN.fullmatch(core.rpartition("@")[2]))), float(digits == 0), float(1 <= digits <= 3),
         float(4 <= digits <= 7), float(8 <= digits <= 12), float(13 <= digits <= 15), float(16 <= digits <= 19), float(digits > 19), float(letters > 0), float(letters > digits),
-        float(quad), float(quad and all(len(x) <= 3 and int(x) <= 255 for x in parts)), float(core[:1] == "+" or before == "+"), float("-" in core), float(dots > 0),
-        float(digits >= 13 and _luhn("".join(_DIGIT.findall(core))[:19])), float(digits == 4 and len(core) == 4),
+        float(quad), float(quad and all(len(x) <= 3 and int(x) <= 255 for x in parts)), float(core[:1] == "+" or before[-1:] == "+"), float("-" in core), float(dots > 0),
+        float(13 <= digits <= 19 and _luhn("".join(_DIGIT.findall(core)))), float(digits == 4 and len(core) == 4),
+        float(mixed), float(bool(_TELLING.search(before))), float(mixed and bool(_TELLING.search(before))),
     ]
 
 
@@ -151,7 +169,7 @@ class Field:
 
     def posteriors(self, graph: Graph, evidence: np.ndarray) -> np.ndarray:
         """Beliefs of each node after loopy sum-product; evidence: its label where at least 1, else 0 for unknown."""
-        k = len(KINDS) + 1
+        k = len(LABELS) + 1
         own = np.array(graph.features).reshape(-1, WIDTH) @ self.token
         known = evidence > 0
         own[known] = -50.0
@@ -189,11 +207,44 @@ def _soft(x: np.ndarray) -> np.ndarray:
     return x / x.sum(1, keepdims=True)
 
 
+def with_mentions(text: str) -> tuple[str, list[tuple[str, int, int]]]:
+    """The text with mentions of half its spans, and of other numbers, put behind it, and all its spans for learning.
+
+    An address is mentioned by its name, a phone number by its last digits; a number that is none by its digits. Which half
+    depends on the text alone.
+    """
+    spans = base_spans(text)
+    spans += [("secret", *m.span(1)) for m in _ASSIGNED.finditer(text) if not any(a < m.end(1) and b > m.start(1) for _, a, b in spans)]
+    graph, more = Graph(), []
+    graph.add(0, text, spans)
+    for (_, a, b), label in zip(graph.where, graph.labels, strict=True):
+        core = text[a:b]
+        digits = "".join(_DIGIT.findall(core))
+        kind = LABELS[label - 1] if label else None
+        if zlib.crc32(core.encode()) % 2:
+            continue
+        if kind == "email" and len(core.split("@")[0]) >= 6:
+            more.append((kind, core.split("@")[0]))
+        elif kind == "phone" and len(digits) >= 7 or kind is None and len(digits) >= 7 and "@" not in core:
+            more.append((kind, digits))
+        elif kind == "secret":
+            more.append((kind, core))
+    parts = [text]
+    at = len(text)
+    for kind, mention in more:
+        parts.append(f" . {mention}")
+        at += 3
+        if kind:
+            spans.append((kind, at, at + len(mention)))
+        at += len(mention)
+    return "".join(parts), spans
+
+
 def fit(texts: list[str], steps: int = 300, rate: float = 0.5, decay: float = 1e-3) -> Field:
-    """Maximises the pseudo-likelihood of the patterns' labels: each node given its neighbours' labels."""
-    graph, k = Graph(), len(KINDS) + 1
+    """Maximises the pseudo-likelihood of the labels: each node given its neighbours' labels."""
+    graph, k = Graph(), len(LABELS) + 1
     for n, text in enumerate(texts):
-        graph.add(n, text, base_spans(text))
+        graph.add(n, *with_mentions(text))
     x, y = np.array(graph.features).reshape(-1, WIDTH), np.array(graph.labels, int)
     i, j, skip = np.array(graph.edges, int).reshape(-1, 3).T
     hot = np.eye(k)[y]
@@ -218,12 +269,12 @@ def learned(docs: DataFrame) -> Field:
     """Weights from about SAMPLE documents drawn by a hash of doc_id and text: the draw, not the input, bounds what comes here."""
     share = min(1.0, SAMPLE / max(1, docs.count()))
     few = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 32)) < share * (1 << 32))
-    rows = few.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= SAMPLE_CHARS)).select("text").limit(2 * SAMPLE).collect()
+    rows = few.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= SAMPLE_CHARS)).select("text").distinct().collect()
     return fit(sorted(r["text"] for r in rows))
 
 
 def find_spans(texts: list[str | None], field_: Field) -> list[list[tuple[str, int, int, int]]]:
-    """(kind, start, end, 1 if a pattern's own) of each text, by kind as in KINDS, then start."""
+    """(kind, start, end, 1 if a pattern's own) of each text, by kind as in LABELS, then start."""
     graph, out = Graph(), []
     for n, text in enumerate(texts):
         spans = base_spans(text) if text else []
@@ -238,8 +289,8 @@ def find_spans(texts: list[str | None], field_: Field) -> list[list[tuple[str, i
             doc, a, b = graph.where[node]
             mine = out[doc]
             if not any(x < b and y > a for _, x, y, _ in mine):
-                mine.append((KINDS[best[node] - 1], a, b, 0))
-    order = {k: i for i, k in enumerate(KINDS)}
+                mine.append((LABELS[best[node] - 1], a, b, 0))
+    order = {k: i for i, k in enumerate(LABELS)}
     return [sorted(x, key=lambda s: (order[s[0]], s[1])) for x in out]
 
 
@@ -267,15 +318,21 @@ def _joined(spans: F.Column) -> F.Column:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of the patterns' spans by kind, base_sha256 of those spans, spans with the added ones as well."""
+    """doc_id, counts of the patterns' spans by kind, base_sha256 of those spans, spans with the added ones of these kinds.
+
+    Then secrets, the spans of that kind, and n_private, how many spans of any kind there are. Null and empty texts have none;
+    repeated rows and null ids each give a row of their own; other columns are ignored; an empty table gives an empty result.
+    """
     found = detect(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), learned(docs)).drop("text")
     base = F.filter("spans", lambda s: s["base"] == 1)
+    listed, secret = F.filter("spans", lambda s: s["kind"] != "secret"), F.filter("spans", lambda s: s["kind"] == "secret")
 
     def count(kind: str) -> F.Column:
         return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [count(k) for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    sums = [F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(listed).alias("spans"), _joined(secret).alias("secrets"), F.size("spans").cast("long").alias("n_private")]
+    return found.select("doc_id", *counts, *sums)
 
 
 def redact(docs: DataFrame, field_: Field) -> DataFrame:
