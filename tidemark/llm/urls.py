@@ -3,6 +3,9 @@
 Rules label the urls that they fit. Trees learn from a bounded sample of those and judge the urls that no rule fits. Features
 are cut into at most BINS bins, and the sample comes to the driver grouped by them; each split is picked from gradient sums by
 feature and bin. The model is a CASE expression, so all urls are judged within the generated code.
+
+Two features are statistics of the labels: how often the host's suffix, and the path's first segment, was blocked. A row that
+the trees learn from takes them from the hosts of the other folds, so they don't give its own label away.
 """
 
 from __future__ import annotations
@@ -21,7 +24,10 @@ RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 SAMPLE = 10_000
 TREES, DEPTH, BINS, RATE, RIDGE = 10, 3, 12, 0.4, 1.0
 SUFFIXES = 4_096
-FEATURES = ("length", "host_length", "depth", "digit_ratio", "entropy", "parameters", "labels", "longest_word", "suffix_rate")
+#: Hosts are dealt over so many folds for the statistics.
+FOLDS = 4
+STATISTICS = ("suffix", "segment")
+FEATURES = ("length", "host_length", "depth", "digit_ratio", "entropy", "parameters", "labels", "longest_word", "suffix_rate", "segment_rate")
 
 
 def _lower(text: Column) -> Column:
@@ -50,7 +56,8 @@ def ruled(pages: DataFrame, rules=RULES) -> DataFrame:
 
 
 def lexical(pages: DataFrame) -> DataFrame:
-    """Adds the features but the suffix rate, and suffix_no, the hashed place of the last two labels of the host."""
+    """Adds the features but the rates, and suffix_no and segment_no, the hashed places of the host's last two labels and of the
+    path's first segment, and fold, that of the host."""
     pages = pages.withColumn("_u", F.coalesce(F.col("url").cast("string"), F.lit(""))).withColumn("_n", F.greatest(F.lit(1), F.length("_u")))
     pages = pages.withColumn("_plain", F.regexp_replace("_u", r"[^\x00-\x7F]", "~"))  # so there are at most 128 letters
     pages = pages.withColumn("_counts", F.transform(F.array_distinct(F.split("_plain", "")), lambda c: (F.col("_n") - F.length(F.replace(F.col("_plain"), c, F.lit("")))).cast("double")))
@@ -65,6 +72,8 @@ def lexical(pages: DataFrame) -> DataFrame:
         .withColumn("labels", F.size(parts).cast("double"))
         .withColumn("longest_word", F.array_max(F.transform(F.split("_u", "[^A-Za-z]+"), F.length)).cast("double"))
         .withColumn("suffix_no", F.pmod(F.xxhash64(F.array_join(F.slice(F.reverse(parts), 1, 2), ".")), F.lit(SUFFIXES)))
+        .withColumn("segment_no", F.pmod(F.xxhash64(F.coalesce(F.get(F.split("path", "/"), 1), F.lit(""))), F.lit(SUFFIXES)))
+        .withColumn("fold", F.pmod(F.xxhash64("host", F.lit(FOLDS)), F.lit(FOLDS)).cast("int"))
         .drop("_u", "_n", "_plain", "_counts")
     )
 
@@ -126,16 +135,44 @@ def _grow(cells: list[tuple], scores: list[float], depth: int):
     return split(list(range(len(cells))), depth)
 
 
-def fit(labelled: DataFrame) -> tuple[Trees, DataFrame, float]:
-    """Trees, the table (suffix_no, suffix_rate) and the mean of y, from url features and y (1 to block). No labels: no trees, no rates."""
+@dataclass
+class Rates:
+    """table: (place, fold, suffix_rate, segment_rate) for each place and fold, without the fold's own labels; fold -1 has all
+    of them. mean is the rate where none were seen."""
+
+    table: DataFrame
+    mean: float
+
+    def add_to(self, pages: DataFrame, fold: Column) -> DataFrame:
+        """Adds suffix_rate and segment_rate; two joins with a table of at most SUFFIXES x (FOLDS + 1) rows."""
+        for name in STATISTICS:
+            own = self.table.select(F.col("place").alias("_place"), F.col("fold").alias("_fold"), F.col(f"{name}_rate").alias("_rate"))
+            pages = pages.join(F.broadcast(own), (F.col(f"{name}_no") == F.col("_place")) & (fold == F.col("_fold")), "left")
+            pages = pages.withColumn(f"{name}_rate", F.coalesce("_rate", F.lit(self.mean))).drop("_place", "_fold", "_rate")
+        return pages
+
+
+def _rates(sample: DataFrame) -> Rates:
+    mean = sample.agg(F.avg("y")).first()[0] or 0.0
+    sums: dict = {}
+    for name in STATISTICS:
+        for r in sample.groupBy(f"{name}_no", "fold").agg(F.sum("y").alias("y"), F.count("*").alias("n")).collect():  # at most SUFFIXES x FOLDS rows
+            for fold in (-1, *(k for k in range(FOLDS) if k != r["fold"])):
+                x = sums.setdefault((r[0], fold), {}).setdefault(name, [0.0, 0])
+                x[0] += r["y"]
+                x[1] += r["n"]
+    rate = lambda y, n: (y + 8 * mean) / (n + 8)
+    rows = [(place, fold, *(rate(*found.get(name, (0.0, 0))) for name in STATISTICS)) for (place, fold), found in sorted(sums.items())]
+    return Rates(sample.sparkSession.createDataFrame(rows, "place long, fold int, suffix_rate double, segment_rate double"), mean)
+
+
+def fit(labelled: DataFrame) -> tuple[Trees, Rates]:
+    """Trees and rates, from url features and y (1 to block). No labels: no trees, no rates."""
     total = labelled.count()
     share = min(1.0, SAMPLE / max(1, total))
     sample = labelled.where(F.pmod(F.xxhash64("url", "page_id"), F.lit(1 << 32)) < share * (1 << 32)).persist(StorageLevel.MEMORY_AND_DISK)
-    mean = sample.agg(F.avg("y")).first()[0] or 0.0
-    spark = labelled.sparkSession
-    found = sample.groupBy("suffix_no").agg(((F.sum("y") + 8 * mean) / (F.count("*") + 8)).alias("suffix_rate")).collect()  # at most SUFFIXES rows
-    rates = spark.createDataFrame([(r["suffix_no"], r["suffix_rate"]) for r in found], "suffix_no long, suffix_rate double")
-    sample_all = with_rate(sample, rates, mean)
+    rates = _rates(sample)
+    sample_all = rates.add_to(sample, F.col("fold"))
     probabilities = [i / BINS for i in range(1, BINS)]
     cuts = sample_all.agg(*[F.percentile_approx(f, probabilities, 1_000).alias(f) for f in FEATURES]).first()
     model = Trees([sorted(set(cuts[f] or [])) for f in FEATURES], [])
@@ -146,25 +183,35 @@ def fit(labelled: DataFrame) -> tuple[Trees, DataFrame, float]:
     for _ in range(TREES if cells else 0):
         model.trees.append(_grow(cells, scores, DEPTH))
     sample.unpersist()
-    return model, rates, mean
+    return model, rates
+
+
+def scored(rows: DataFrame, model: Trees, rates: Rates) -> DataFrame:
+    """rows of lexical() with block_odds, the trees' log-odds of block (below 0 without labels)."""
+    rows = rates.add_to(rows, F.lit(-1))
+    binned = rows.select("*", *model.bins())
+    return binned.withColumn("block_odds", model.score() if model.trees else F.lit(-1.0)).drop(*[f"b{i}" for i in range(len(FEATURES))])
+
+
+def features(pages: DataFrame, rules=RULES) -> DataFrame:
+    """page_id, url, host, path, rule, rule_verdict and the features of every row of pages."""
+    return lexical(ruled(parsed(pages.select("page_id", "url")), rules))
 
 
-def with_rate(pages: DataFrame, rates: DataFrame, mean: float) -> DataFrame:
-    """Adds suffix_rate: how often the host's suffix was blocked among the labelled, the mean where it wasn't seen."""
-    return pages.join(F.broadcast(rates.withColumnRenamed("suffix_no", "_no")), F.col("suffix_no") == F.col("_no"), "left").withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(mean))).drop("_no")
+def labelled(rows: DataFrame) -> DataFrame:
+    """The rows that a rule fits, with y (1 to block)."""
+    return rows.where("rule_verdict is not null").withColumn("y", (F.col("rule_verdict") == "block").cast("double"))
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and block_odds of every row of pages (page_id, url).
 
     The verdict is the rule's; without one, the trees' (block at even odds or more; allow without labels). Null and
-    malformed urls have an empty host and path. Repeated rows stay; other columns are ignored. No row is shuffled: the only
-    join is with the table of suffix rates, which has at most SUFFIXES rows.
+    malformed urls have an empty host and path, and are judged by the trees. Rules of equal length go by host, then path.
+    Repeated rows and null ids stay; other columns are ignored; an empty table gives an empty result. No row is shuffled: the
+    only joins are with the table of rates, which has at most SUFFIXES x (FOLDS + 1) rows.
     """
-    rows = lexical(ruled(parsed(pages.select("page_id", "url")), rules))
-    labelled = rows.where("rule_verdict is not null").withColumn("y", (F.col("rule_verdict") == "block").cast("double"))
-    model, rates, mean = fit(labelled)
-    scored = with_rate(rows, rates, mean).select("page_id", "host", "path", "rule", "rule_verdict", *model.bins())
-    odds = scored.withColumn("block_odds", model.score() if model.trees else F.lit(-1.0))
+    rows = features(pages, rules)
+    odds = scored(rows, *fit(labelled(rows)))
     verdict = F.coalesce("rule_verdict", F.when(F.col("block_odds") >= 0, "block").otherwise("allow"))
     return odds.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "block_odds")
