@@ -6,15 +6,15 @@ them estimate resemblance and containment; one estimates how many distinct shing
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K = 128
 WORDS = 5
-#: Documents of a bucket of neighbours, on average, and ranges that quantiles of doc_id cut first.
-BUCKET, RANGES = 2_000, 64
+#: Documents of a bucket of neighbours, on average, and into how many parts one level of quantiles cuts at most.
+BUCKET, FAN = 2_000, 64
 
 
 def words(text: Column) -> Column:
@@ -71,22 +71,55 @@ def text_of(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
+def _step(doc_id: Column, u: Column, q: Column) -> tuple[Column, Column]:
+    """The part that a row falls into, given the inner bounds q, and what is left of its share u.
+
+    An id that is several bounds at once is spread over all the parts it fills, in the order of u; so however many rows have
+    one id, parts stay even, and parts ascend with (id, u).
+    """
+    low, high = F.size(F.filter(q, lambda x: x < doc_id)), F.size(F.filter(q, lambda x: x <= doc_id))
+    width = high - low + 1
+    place = F.least(width - 1, F.floor(u * width).cast("int"))
+    return low + place, u * width - place
+
+
+def bounds(docs: DataFrame, n: int) -> list[DataFrame]:
+    """Tables (part, q) of inner bounds, a level for each: quantiles of doc_id, then quantiles within each part, until a part
+    has BUCKET of n rows or so. Reads no texts: rows of one id are spread at random here."""
+    buckets = max(1, -(-n // BUCKET))
+    levels = 1 if buckets <= FAN else 2 if buckets <= FAN**2 else 3
+    fan = max(2, math.ceil(buckets ** (1 / levels)))
+    rows, tables = docs.where("doc_id is not null").select("doc_id", F.rand(7).alias("_u"), F.lit(0).cast("long").alias("_part")), []
+    for level in range(levels):
+        found = rows.groupBy("_part").agg(F.percentile_approx("doc_id", [i / fan for i in range(1, fan)], 1_000).alias("q")).collect()  # at most FAN**2 rows
+        tables.append(docs.sparkSession.createDataFrame([(r["_part"], [int(x) for x in r["q"]]) for r in found], "part long, q array<long>"))
+        if level + 1 < levels:
+            rows = descended(rows, tables[-1:], fan)
+    return [t.withColumn("fan", F.lit(fan)) for t in tables]
+
+
+def descended(rows: DataFrame, tables: list[DataFrame], fan: int | None = None) -> DataFrame:
+    """rows (doc_id, _u, _part) with _part and _u after the levels of these tables."""
+    for t in tables:
+        t = t.select(F.col("part").alias("_t"), F.col("q").alias("_q"), (F.lit(fan) if fan else F.col("fan")).alias("_f"))
+        part, u = _step(F.col("doc_id"), F.col("_u"), F.col("_q"))
+        rows = rows.join(F.broadcast(t), F.col("_part") == F.col("_t"), "left").withColumn("_own", part).withColumn("_u", u)
+        rows = rows.withColumn("_part", F.coalesce(F.col("_part") * F.col("_f") + F.col("_own"), F.lit(0).cast("long"))).drop("_t", "_q", "_f", "_own")
+    return rows
+
+
 def bucketed(docs: DataFrame) -> DataFrame:
     """Adds range_no and bucket, both ascending with the order of rows: by doc_id, null last, then a hash of the text.
 
-    Quantiles cut the ids into RANGES ranges, and each into stretches of equal width with BUCKET documents or so, so neither
-    the number of documents nor gaps between ids make a bucket large. Null ids are spread by hash.
+    Buckets are cut by quantiles, level by level, so neither gaps between ids nor rows that share one make a bucket large. Null
+    ids are spread by hash over buckets behind the others.
     """
-    probabilities = [i / RANGES for i in range(RANGES + 1)]
-    found = docs.agg(F.count("*").alias("n"), F.percentile_approx("doc_id", probabilities, 1_000).alias("q")).first()
-    bounds = [int(x) for x in found["q"] or [0] * (RANGES + 1)]
-    stretches = max(1, -(-found["n"] // (RANGES * BUCKET)))
-    number = reduce(lambda a, b: a + b, [(F.col("doc_id") > x).cast("int") for x in bounds[1:-1]], F.lit(0))
-    low, high = (F.element_at(F.array(*[F.lit(x).cast("long") for x in side]), F.col("range_no") + 1) for side in (bounds[:-1], bounds[1:]))
-    stretch = F.least(F.lit(stretches - 1), F.greatest(F.lit(0), F.floor((F.col("doc_id") - low).cast("double") * stretches / (high - low + 1)).cast("int")))
-    rows = docs.withColumn("_order", F.shiftrightunsigned(F.xxhash64("text"), 1))
-    rows = rows.withColumn("range_no", F.when(F.col("doc_id").isNull(), F.lit(RANGES) + F.shiftright("_order", 59).cast("int")).otherwise(number))
-    return rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.shiftright("_order", 53)).otherwise(stretch.cast("long")) + F.col("range_no").cast("long") * max(1024, stretches))
+    n, nulls = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    rows = docs.withColumn("_order", F.shiftrightunsigned(F.xxhash64("text"), 1)).withColumn("_u", F.col("_order") / F.lit(2.0**63)).withColumn("_part", F.lit(0).cast("long"))
+    most, own = 1 << 31, max(1, -(-nulls // BUCKET))
+    behind = F.lit(most) + F.least(F.lit(own - 1), F.floor(F.col("_order") / F.lit(2.0**63) * own)).cast("long")
+    rows = descended(rows, bounds(docs, n - nulls)).withColumn("bucket", F.when(F.col("doc_id").isNull(), behind).otherwise(F.col("_part"))).drop("_u", "_part")
+    return rows.withColumn("range_no", F.shiftright("bucket", 10))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -100,7 +133,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     heads = rows.groupBy("range_no", "bucket").agg(F.min_by("text", key).alias("head"))
     inside = Window.partitionBy("range_no").orderBy("bucket")
     firsts = heads.groupBy("range_no").agg(F.min_by("head", "bucket").alias("first"))
-    ranges = Window.orderBy("range_no")  # at most RANGES and a few rows
+    ranges = Window.orderBy("range_no")  # a row for 1,024 buckets
     wrapped = F.coalesce(F.lead("first").over(ranges), F.first("first").over(ranges.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     firsts = firsts.select(F.col("range_no").alias("_range"), wrapped.alias("after"))
     ends = heads.withColumn("_lead", F.lead("head").over(inside)).join(firsts, F.col("range_no") == F.col("_range"))
