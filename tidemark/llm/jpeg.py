@@ -3,8 +3,11 @@
 The decoder reads progressive files of one or three components with any sampling and restart intervals. Scans whose codes
 all have one width, and refinements that one end-of-band run covers, are read without a loop over coefficients.
 
-``store`` keeps any bytes losslessly: a payload byte is a quantised coefficient, 64 to a block, and each has the
-same number of bits, so that scans (two spectral bands, then a refinement of each) are written and read as bit arrays.
+``store`` keeps any bytes losslessly as a colour file with chroma at half the resolution: a payload byte is a quantised
+coefficient, 64 to a block, six blocks to a unit of four luma and two chroma blocks. First coefficients are coded by difference
+in codes of one to nine bits; the others are spread so evenly that each has the same number of bits, so their scans (one
+a component, then a refinement of each) are written and read as bit arrays. A payload over PART bytes becomes several files in a
+row, each decoded by itself, so memory doesn't follow the length of a text.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,72 +27,112 @@ from .shared import runs
 
 #: Fixed values of the format: the zigzag order of a block's coefficients.
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8))))
-#: Blocks in a column of a stored payload; the format allows 65535 lines.
-COLUMN = 8_191
+#: Units in a column of a stored payload; the format allows 65535 lines.
+COLUMN = 4_095
+#: Payload bytes of a file.
+PART = 1 << 20
+#: How the size classes of first differences are coded: how many codes have one, two, ... bits, and their classes.
+DIFFERENCES = bytes([0, 3, 1, 1, 1, 1, 1, 1, 1, *[0] * 7]), bytes([5, 6, 4, 7, 3, 2, 0, 1, 8, 9])
 _COS = np.array([[(0.5 if u else 0.125**0.5) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)], np.float32)
 
 
+#: Inverse transform of a block's coefficients, in the order of the file, to its samples, row by row.
+_INVERSE = np.einsum("ux,vy->uvxy", _COS, _COS).reshape(64, 64)[ZIGZAG]
+
+
+class Codes(dict):
+    """(length, code) to symbol; lookup has, for the next ``width`` bits, the length and symbol of the code they begin with."""
+
+    def __init__(self, counts: bytes, symbols: bytes):
+        code, k, self.width = 0, 0, 0
+        for length, n in enumerate(counts, 1):
+            for _ in range(n):
+                self[length, code] = symbols[k]
+                code, k, self.width = code + 1, k + 1, length
+            code <<= 1
+        self.lookup: list[tuple[int, int] | None] = []
+        for (length, _), symbol in self.items():
+            self.lookup += [(length, symbol)] * (1 << (self.width - length))
+        self.lookup += [None] * ((1 << self.width) - len(self.lookup))
+
+
 class Bits:
     """Reads the entropy-coded bits between two markers, with the stuffed zero bytes taken out."""
 
     def __init__(self, data: bytes):
-        self.data = data.replace(b"\xff\x00", b"\xff")
-        self.all = np.unpackbits(np.frombuffer(self.data, np.uint8))
-        self.at = 0
+        data = data.replace(b"\xff\x00", b"\xff")
+        self.raw, self.size = np.frombuffer(data, np.uint8), 8 * len(data)
+        self.data, self.at = data + b"\xff" * 8, 0
+
+    @cached_property
+    def all(self) -> np.ndarray:
+        return np.unpackbits(self.raw)
+
+    def _window(self) -> int:
+        """The next 40 bits or so, as the high bits of 48; past the end, ones."""
+        i = self.at >> 3
+        return int.from_bytes(self.data[i : i + 6].ljust(6, b"\xff"), "big") << (self.at & 7) & 0xFFFFFFFFFFFF
 
     def take(self, n: int) -> int:
-        """The next n bits as a number; past the end, ones."""
-        value = 0
-        for bit in self.all[self.at : self.at + n].tolist():
-            value = value * 2 + bit
-        short = n - max(0, min(n, len(self.all) - self.at))
+        """The next n bits, 16 at most, as a number; past the end, ones."""
+        value = self._window() >> (48 - n)
         self.at += n
-        return (value << short) | ((1 << short) - 1)
+        return value
 
-    def symbol(self, table: dict[tuple[int, int], int]) -> int:
-        code = 0
-        for length in range(1, 17):
-            if self.at >= len(self.all):
-                raise ValueError("the scan ends within a code")
-            code = code * 2 + int(self.all[self.at])
-            self.at += 1
-            if (length, code) in table:
-                return table[length, code]
-        raise ValueError("no such code")
+    def symbol(self, table: Codes) -> int:
+        found = table.lookup[self._window() >> (48 - table.width)] if table else None
+        if found is None:
+            raise ValueError("no such code")
+        if self.at + found[0] > self.size:
+            raise ValueError("the scan ends within a code")
+        self.at += found[0]
+        return found[1]
 
     def signed(self, n: int) -> int:
         value = self.take(n)
         return value if not n or value >> (n - 1) else value - (1 << n) + 1
 
+    def differences(self, tables: list[Codes]) -> list[int]:
+        """A size class and so many bits for each of the tables, one after the other."""
+        out, at, data = [], self.at, self.data
+        for table in tables:
+            i = at >> 3
+            window = int.from_bytes(data[i : i + 6], "big") << (at & 7) & 0xFFFFFFFFFFFF
+            found = table.lookup[window >> (48 - table.width)] if table else None
+            if found is None:
+                raise ValueError("no such code")
+            length, n = found
+            value = window >> (48 - length - n) & (1 << n) - 1
+            out.append(value if not n or value >> (n - 1) else value - (1 << n) + 1)
+            at += length + n
+            if at > self.size:
+                raise ValueError("the scan ends within a code")
+        self.at = at
+        return out
+
     def fields(self, count: int, width: int) -> np.ndarray:
         """count numbers of width bits each."""
+        if width == 8 and not self.at & 7:
+            first = self.at >> 3
+            self.at += 8 * count
+            return self.raw[first : first + count].astype(np.int32)
         bits = self.all[self.at : self.at + count * width].reshape(count, width)
         self.at += count * width
-        return bits @ (1 << np.arange(width - 1, -1, -1))
-
-
-def huffman(counts: bytes, symbols: bytes) -> dict[tuple[int, int], int]:
-    """(length, code) to symbol, from how many codes there are of each length."""
-    table, code, k = {}, 0, 0
-    for length, n in enumerate(counts, 1):
-        for _ in range(n):
-            table[length, code] = symbols[k]
-            code, k = code + 1, k + 1
-        code <<= 1
-    return table
+        return bits[:, 0].astype(np.int32) if width == 1 else bits @ (1 << np.arange(width - 1, -1, -1))
 
 
 class Image:
-    """Coefficient arrays of a file, filled scan by scan."""
+    """Coefficient arrays of a file, filled scan by scan; end is where the file ends in data, from ``first``."""
 
-    def __init__(self, data: bytes):
-        if data[:2] != b"\xff\xd8":
+    def __init__(self, data: bytes, first: int = 0):
+        if data[first : first + 2] != b"\xff\xd8":
             raise ValueError("not a JPEG file")
         self.quants, self.tables, self.interval, self.comments = {}, {}, 0, []
         self.components: list[dict] = []
-        at = 2
+        at = first + 2
         while at < len(data):
             marker, at = data[at + 1], at + 2
+            self.end = at
             if marker == 0xD9:
                 return
             (size,) = struct.unpack(">H", data[at : at + 2])
@@ -101,7 +145,7 @@ class Image:
             elif marker == 0xC4:
                 while body:
                     n = sum(body[1:17])
-                    self.tables[body[0]] = huffman(body[1:17], body[17 : 17 + n])
+                    self.tables[body[0]] = Codes(body[1:17], body[17 : 17 + n])
                     body = body[17 + n :]
             elif marker == 0xDD:
                 (self.interval,) = struct.unpack(">H", body)
@@ -115,12 +159,14 @@ class Image:
                 end = at
                 while not (data[end] == 0xFF and data[end + 1] != 0 and not 0xD0 <= data[end + 1] <= 0xD7):
                     end = data.index(b"\xff", end + 1)
-                self._scan(body, self._parts(data[at:end]))
+                self._scan(body, self._parts(data[at:end], self.interval))
                 at = end
 
     @staticmethod
-    def _parts(data: bytes) -> list[Bits]:
+    def _parts(data: bytes, interval: int) -> list[Bits]:
         """One reader for each stretch between restart markers."""
+        if not interval:
+            return [Bits(data)]
         parts, first, at = [], 0, data.find(b"\xff")
         while at >= 0:
             if at + 1 < len(data) and 0xD0 <= data[at + 1] <= 0xD7:
@@ -149,39 +195,39 @@ class Image:
         if n == 1:
             comp, ids = chosen[0]
             total = comp["own"][0] * comp["own"][1]
-            rows = np.stack(np.divmod(np.arange(total), comp["own"][1]), 1)
+            units = [(comp, ids >> 4, *(np.divmod(np.arange(total), comp["own"][1]) if not first or total != comp["blocks"].shape[0] * comp["blocks"].shape[1] else ()))]
         else:
-            order = [
-                [(c, ids, my * c["v"] + y, mx * c["h"] + x) for c, ids in chosen for y in range(c["v"]) for x in range(c["h"])]
-                for my in range(self.mcus[0]) for mx in range(self.mcus[1])
-            ]
-            total = len(order)
+            my, mx = np.divmod(np.arange(self.mcus[0] * self.mcus[1]), self.mcus[1])
+            units = [(c, ids >> 4, my * c["v"] + y, mx * c["h"] + x) for c, ids in chosen for y in range(c["v"]) for x in range(c["h"])]
+            total = len(my)
         step = self.interval or total
         for bits, k in zip(parts, range(0, total, step), strict=False):
-            if n > 1:
-                self._dc(bits, [u for unit in order[k : k + step] for u in unit], high, low)
+            if first == 0:
+                self._dc(bits, [(c, table, y[k : k + step], x[k : k + step]) for c, table, y, x in units], high, low)
                 continue
-            y, x = rows[k : k + step].T
-            if first == 0 and not high:
-                self._dc(bits, [(comp, ids, *at) for at in rows[k : k + step].tolist()], high, low)
-            elif first == 0:
-                comp["blocks"][y, x, 0] |= bits.fields(len(y), 1) << low
-            else:
-                view = comp["blocks"][y, x, first : last + 1]
-                table = self.tables[16 | ids & 15]
-                (self._ac_refine if high else self._ac_first)(bits, view, table, low)
-                comp["blocks"][y, x, first : last + 1] = view
-
-    def _dc(self, bits: Bits, flat: list, high: int, low: int) -> None:
+            table, read = self.tables[16 | ids & 15], self._ac_refine if high else self._ac_first
+            if total == comp["blocks"].shape[0] * comp["blocks"].shape[1]:
+                read(bits, comp["blocks"].reshape(-1, 64)[k : k + step, first : last + 1], table, low)
+                continue
+            y, x = (at[k : k + step] for at in units[0][2:])
+            view = comp["blocks"][y, x, first : last + 1]
+            read(bits, view, table, low)
+            comp["blocks"][y, x, first : last + 1] = view
+
+    def _dc(self, bits: Bits, units: list, high: int, low: int) -> None:
+        """units: component, table and places of the first, second, ... block of each step."""
+        count = len(units[0][2])
         if high:
-            more = bits.fields(len(flat), 1)
-            for (comp, _, y, x), bit in zip(flat, more.tolist(), strict=True):
-                comp["blocks"][y, x, 0] |= bit << low
+            for (comp, _, y, x), more in zip(units, bits.fields(count * len(units), 1).reshape(count, -1).T, strict=True):
+                comp["blocks"][y, x, 0] |= (more << low).astype(np.int32)
             return
-        past: dict[int, int] = {}
-        for comp, ids, y, x in flat:
-            past[comp["name"]] = past.get(comp["name"], 0) + bits.signed(bits.symbol(self.tables[ids >> 4]))
-            comp["blocks"][y, x, 0] = past[comp["name"]] << low
+        change = np.array(bits.differences([self.tables[table] for _, table, _, _ in units] * count), np.int64).reshape(count, -1)
+        for name in {comp["name"] for comp, _, _, _ in units}:
+            own = [i for i, u in enumerate(units) if u[0]["name"] == name]
+            value = np.cumsum(change[:, own].reshape(-1)).reshape(count, -1) << low
+            for column, i in zip(value.T, own, strict=True):
+                comp, _, y, x = units[i]
+                comp["blocks"][y, x, 0] = column
 
     @staticmethod
     def _ac_first(bits: Bits, view: np.ndarray, table: dict, low: int) -> None:
@@ -256,10 +302,10 @@ class Image:
         """Samples of each component at its own resolution, by inverse transform."""
         out = []
         for c in self.components:
-            plain = np.zeros((*c["blocks"].shape[:2], 64), np.float32)
-            plain[..., ZIGZAG] = c["blocks"] * self.quants[c["quant"]]
-            pixels = np.einsum("ux,bcuv,vy->bxcy", _COS, plain.reshape(*plain.shape[:2], 8, 8), _COS, optimize=True)
-            out.append(np.clip(np.rint(pixels + 128), 0, 255).reshape(plain.shape[0] * 8, plain.shape[1] * 8))
+            down, across = c["blocks"].shape[:2]
+            pixels = (c["blocks"].reshape(-1, 64) * self.quants[c["quant"]]).astype(np.float32) @ _INVERSE
+            pixels = pixels.reshape(down, across, 8, 8).transpose(0, 2, 1, 3).reshape(8 * down, 8 * across)
+            out.append(np.clip(np.rint(pixels + 128), 0, 255))
         return out
 
     def rgb(self) -> np.ndarray:
@@ -279,7 +325,9 @@ def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
 
-def _coded(bits: np.ndarray) -> bytes:
+def _coded(bits: np.ndarray | bytes) -> bytes:
+    if isinstance(bits, bytes):
+        return bits.replace(b"\xff", b"\xff\x00")
     pad = -len(bits) % 8
     return np.packbits(np.concatenate([bits, np.ones(pad, np.uint8)])).tobytes().replace(b"\xff", b"\xff\x00")
 
@@ -288,57 +336,93 @@ def _width_bits(values: np.ndarray, width: int) -> np.ndarray:
     return (values[..., None] >> np.arange(width - 1, -1, -1) & 1).astype(np.uint8)
 
 
+def _coded_differences(change: np.ndarray) -> np.ndarray:
+    """Bits of the size class and value of each difference, by the codes of DIFFERENCES."""
+    lengths, codes = np.zeros(16, np.int64), np.zeros(16, np.int64)
+    for (length, code), symbol in Codes(*DIFFERENCES).items():
+        lengths[symbol], codes[symbol] = length, code
+    classes = np.frexp(np.abs(change).astype(float))[1]
+    wide = np.where(change < 0, change + (1 << classes) - 1, change)
+    long = lengths[classes] + classes
+    both = (codes[classes] << classes | wide) << (18 - long)
+    return (both[:, None] >> np.arange(17, -1, -1) & 1).astype(np.uint8)[np.arange(18)[None, :] < long[:, None]]
+
+
+def _coded_refinement(low: np.ndarray) -> np.ndarray:
+    """Bits of a refinement in which no coefficient is new: runs of whole blocks, each with its blocks' corrections."""
+    bits, at = [], 0
+    while at < len(low):
+        r = min(14, (len(low) - at).bit_length() - 1)
+        run = min(len(low) - at, (1 << (r + 1)) - 1)
+        bits += [_width_bits(np.array([r]), 4)[0], _width_bits(np.array([run - (1 << r)]), r)[0], low[at : at + run].reshape(-1)]
+        at += run
+    return np.concatenate(bits)
+
+
 def store(payload: bytes) -> bytes:
-    """A grey progressive file whose quantised coefficients are the payload, a positive multiple of 64 bytes.
+    """A progressive file, luma and two chroma components of half its resolution, whose quantised coefficients are the payload,
+    a positive multiple of 64 bytes; files in a row, one for each PART bytes.
 
     Byte b becomes the coefficient 128 + b / 2 or its negative (odd b), so each needs eight bits and none is zero; the first of
-    a block, coded by difference, is b itself. The number of blocks is in a comment, as the last lines may be filled up.
+    a block, coded by difference, is b itself. The number of blocks is in a comment, as the last unit and line are filled up.
     """
     if not payload or len(payload) % 64:
         raise ValueError("the payload must be a positive multiple of 64 bytes")
-    blocks = np.frombuffer(payload, np.uint8).reshape(-1, 64).astype(np.int32)
-    count = len(blocks)
-    across = -(-count // COLUMN)
-    down = -(-count // across)
-    blocks = np.vstack([blocks, np.zeros((across * down - count, 64), np.int32)])
-    dc, size = blocks[:, 0], 128 + (blocks[:, 1:] >> 1)
-    negative = blocks[:, 1:] & 1
-    out = [b"\xff\xd8", _segment(0xFE, b"blocks %d" % count), _segment(0xDB, b"\0" + b"\1" * 64), _segment(0xC2, struct.pack(">BHHBBBB", 8, 8 * down, 8 * across, 1, 1, 0x11, 0))]
-
-    def scan(table: tuple[int, bytes, bytes], first: int, last: int, steps: int, bits: np.ndarray) -> None:
-        ids, counts, symbols = table
-        out.extend([_segment(0xC4, bytes([ids]) + counts + symbols), _segment(0xDA, bytes([1, 1, 0, first, last, steps])), _coded(bits)])
-
-    # First scan: differences of the first coefficients without their lowest bit, the size class as four bits.
+    return b"".join(_file(payload[k : k + PART]) for k in range(0, len(payload), PART))
+
+
+def _file(payload: bytes) -> bytes:
+    count = len(payload) // 64
+    steps = -(-count // 6)
+    across = -(-steps // COLUMN)
+    down = -(-steps // across)
+    units = np.frombuffer(payload + bytes(64 * (6 * across * down - count)), np.uint8).reshape(down, across, 6, 64).astype(np.int32)
+    luma = units[:, :, :4].reshape(down, across, 2, 2, 64).transpose(0, 2, 1, 3, 4).reshape(-1, 64)
+    parts = [luma, units[:, :, 4].reshape(-1, 64), units[:, :, 5].reshape(-1, 64)]
+    frame = struct.pack(">BHHB", 8, 16 * down, 16 * across, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])
+    out = [b"\xff\xd8", _segment(0xFE, b"blocks %d" % count), _segment(0xDB, b"\0" + b"\1" * 64), _segment(0xC2, frame)]
+
+    def scan(which: list[int], first: int, last: int, steps: int, bits: np.ndarray | bytes) -> None:
+        out.extend([_segment(0xDA, bytes([len(which), *(x for i in which for x in (i + 1, 0)), first, last, steps])), _coded(bits)])
+
+    def table(ids: int, counts: bytes, symbols: bytes) -> None:
+        out.append(_segment(0xC4, bytes([ids]) + counts + symbols))
+
+    # First coefficients without their lowest bit, as differences to the one before in their component; then those bits.
+    dc = units[..., 0].reshape(-1, 6)
     half = dc >> 1
-    change = np.diff(half, prepend=0)
-    classes = np.frexp(np.abs(change).astype(float))[1]
-    wide = np.where(change < 0, change + (1 << classes) - 1, change)
-    place = np.arange(11, -1, -1)
-    both = (classes << 8) | wide << (8 - classes)
-    used = (11 - place)[None, :] < 4 + classes[:, None]
-    scan((0x00, bytes([0, 0, 0, 10, *[0] * 12]), bytes(range(10))), 0, 0, 0x01, (both[:, None] >> place & 1).astype(np.uint8)[used])
-    ones = bytes([1, *[0] * 15])
-    for first, last in ((1, 5), (6, 63)):
-        part, sign = size[:, first - 1 : last] >> 1, negative[:, first - 1 : last]
-        scan((0x10, ones, b"\x07"), first, last, 0x01, _width_bits(np.where(sign == 1, 127 - part, part), 8).reshape(-1))
-    out.extend([_segment(0xDA, bytes([1, 1, 0, 0, 0, 0x10])), _coded((dc & 1).astype(np.uint8))])
-    ends = (0x10, bytes([0, 0, 0, 15, *[0] * 12]), bytes(r << 4 for r in range(15)))
-    for first, last in ((1, 5), (6, 63)):
-        low, bits, at = (size[:, first - 1 : last] & 1).astype(np.uint8), [], 0
-        while at < len(blocks):
-            r = min(14, (len(blocks) - at).bit_length() - 1)
-            run = min(len(blocks) - at, (1 << (r + 1)) - 1)
-            bits += [_width_bits(np.array([r]), 4)[0], _width_bits(np.array([run - (1 << r)]), r)[0], low[at : at + run].reshape(-1)]
-            at += run
-        scan(ends, first, last, 0x10, np.concatenate(bits))
+    change = np.column_stack([np.diff(half[:, :4].reshape(-1), prepend=0).reshape(-1, 4), np.diff(half[:, 4], prepend=0), np.diff(half[:, 5], prepend=0)])
+    table(0x00, *DIFFERENCES)
+    scan([0, 1, 2], 0, 0, 0x01, _coded_differences(change.reshape(-1)))
+    bands = [(i, 1, 63) for i in range(3)]
+    table(0x10, bytes([1, *[0] * 15]), b"\x07")
+    for i, first, last in bands:
+        own = parts[i][:, first : last + 1]
+        size = 64 + (own >> 2)  # 128 + b / 2 without its lowest bit
+        scan([i], first, last, 0x01, np.where(own & 1, 127 - size, size).astype(np.uint8).tobytes())  # a zero bit and seven more
+    scan([0, 1, 2], 0, 0, 0x10, (dc & 1).astype(np.uint8).reshape(-1))
+    table(0x10, bytes([0, 0, 0, 15, *[0] * 12]), bytes(r << 4 for r in range(15)))
+    for i, first, last in bands:
+        scan([i], first, last, 0x10, _coded_refinement((parts[i][:, first : last + 1] >> 1 & 1).astype(np.uint8)))
     return b"".join([*out, b"\xff\xd9"])
 
 
+def images(media: bytes) -> Iterator[Image]:
+    """The files in a row, one at a time."""
+    at = 0
+    while at < len(media):
+        image = Image(media, at)
+        at = image.end
+        yield image
+
+
 def payload_of(image: Image) -> bytes:
-    """The bytes that ``store`` kept, from the coefficients."""
+    """The bytes that ``store`` kept in one file, from the coefficients."""
     count = next(int(x.split()[1]) for x in image.comments if x.startswith(b"blocks "))
-    blocks = image.components[0]["blocks"].reshape(-1, 64)[:count]
+    down, across = image.mcus
+    luma, *chroma = (c["blocks"] for c in image.components)
+    four = luma.reshape(down, 2, across, 2, 64).transpose(0, 2, 1, 3, 4).reshape(down, across, 4, 64)
+    blocks = np.concatenate([four, *(c[:, :, None] for c in chroma)], 2).reshape(-1, 64)[:count]
     size = np.abs(blocks[:, 1:])
     return np.hstack([blocks[:, :1], (size - 128) << 1 | (blocks[:, 1:] < 0)]).astype(np.uint8).tobytes()
 
@@ -349,15 +433,16 @@ def padded(data: bytes) -> bytes:
 
 def features(rgb: np.ndarray) -> str:
     """Mean and spread of each channel, and which of 8 x 8 cells are lighter than the mean."""
-    grey = rgb.sum(2, dtype=np.int64)
-    rows, columns = (np.arange(8) * n // 8 for n in grey.shape)
-    area = np.outer(*(np.diff(np.append(x, n)) for x, n in zip((rows, columns), grey.shape, strict=True)))
-    cells = np.add.reduceat(np.add.reduceat(grey, rows, 0), columns, 1) / area
-    flat = rgb.reshape(-1, 3).T
-    mean = flat.mean(1)
-    spread = np.sqrt(np.maximum(0, (flat.astype(np.float32) ** 2).mean(1, dtype=np.float64) - mean**2))
-    light = "".join("%x" % int("".join("01"[int(x)] for x in half), 2) for half in (cells > cells.mean()).reshape(16, 4))
-    return "%dx%d;" % (rgb.shape[1], rgb.shape[0]) + ";".join("%.2f/%.2f" % x for x in zip(mean, spread, strict=True)) + ";" + light
+    rows, columns = (np.arange(8) * n // 8 for n in rgb.shape[:2])
+    area = np.outer(*(np.diff(np.append(x, n)) for x, n in zip((rows, columns), rgb.shape[:2], strict=True)))
+    cells = np.add.reduceat(np.add.reduceat(rgb.sum(2, dtype=np.int32), rows, 0, dtype=np.int64), columns, 1) / area
+    levels, told = np.arange(256.0), []
+    for channel in range(3):
+        counts = np.bincount(rgb[..., channel].reshape(-1), minlength=256)
+        mean = counts @ levels / counts.sum()
+        told.append("%.2f/%.2f" % (mean, max(0.0, counts @ levels**2 / counts.sum() - mean**2) ** 0.5))
+    light = "%016x" % int("".join("01"[int(x)] for x in (cells > cells.mean()).reshape(-1)), 2)
+    return "%dx%d;" % (rgb.shape[1], rgb.shape[0]) + ";".join(told) + ";" + light
 
 
 def encode_media(docs: DataFrame) -> DataFrame:
@@ -373,7 +458,12 @@ def encode_media(docs: DataFrame) -> DataFrame:
 
 
 def decode_media(media: DataFrame, tensors: bool = False) -> DataFrame:
-    """Reads stored files back: the payload's and the file's digests and features; with tensors, also shape and rgb bytes."""
+    """Reads stored files back: the payload's and the files' digests and the features of each file, joined by a bar; with
+    tensors, also shape and rgb bytes, files of a payload one below the other.
+
+    A null id stays null, repeated rows give repeated rows, an empty table gives an empty result. A worker holds one text, its
+    files, and the coefficients and samples of one file of PART bytes (without tensors).
+    """
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] + ["height", "width", "rgb"] * tensors
     kinds = dict(zip(names, ["long", "long", "long", "string", "long", "long", "string", "string", "int", "int", "binary"], strict=False))
     arrow = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "binary": pa.binary()}
@@ -383,10 +473,15 @@ def decode_media(media: DataFrame, tensors: bool = False) -> DataFrame:
             for run in runs(batch, "media"):
                 rows = []
                 for doc_id, n_bytes, data in zip(*(run.column(x).to_pylist() for x in ("doc_id", "n_bytes", "media")), strict=True):
-                    image = Image(data)
-                    payload, rgb = payload_of(image), image.rgb()
-                    row = [doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), features(rgb)]
-                    rows.append(row + [rgb.shape[0], rgb.shape[1], rgb.tobytes()] * tensors)
+                    size, digest, told, pictures = 0, hashlib.sha256(), [], []
+                    for image in images(data):
+                        payload, rgb = payload_of(image), image.rgb()
+                        size += len(payload)
+                        digest.update(payload)
+                        told.append(features(rgb))
+                        pictures += [rgb] * tensors
+                    row = [doc_id, n_bytes, size, digest.hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), "|".join(told)]
+                    rows.append(row + [sum(len(x) for x in pictures), pictures[0].shape[1] if pictures else 0, b"".join(x.tobytes() for x in pictures)][: 3 * tensors])
                 yield pa.RecordBatch.from_arrays([pa.array(x, arrow[kinds[n]]) for n, x in zip(names, zip(*rows, strict=True), strict=True)], names)
 
     return media.mapInArrow(read, ", ".join(f"{n} {kinds[n]}" for n in names))
