@@ -2,7 +2,11 @@
 
 A file is a stream of 16-bit ids cut into blocks of fixed size, wherever that falls. Each block is searched by itself, all at
 once: the places of the separators, and how many tokens stand after the last.
-A prefix scan over one line for each block adds the tokens that reach across, and numbers the documents.
+A prefix scan over one line for each block adds the tokens that reach across, and numbers the documents; it runs within groups
+of blocks, and over one line for each group, so a large file is no large task.
+
+Spark has no writer for raw bytes, so a file's blocks are rows of Parquet files in the shared folder, each block numbered;
+nothing tells where a document lies.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ from .tokens import encoder, vocabulary_path
 
 #: Ids in a block.
 BLOCK = 1 << 18
+#: Blocks of a group are 2 to the power of this.
+GROUP = 12
 STREAM = "file long, block long, ids binary, doc_id long, document long"
 
 
@@ -27,12 +33,12 @@ def token_files(docs: DataFrame, end_id: int = 50_256, path: str | None = None)
     """Writes flat files: rows (file, block, ids) of blocks, and beside them (file, doc_id, document) in the order written.
 
     One file for each task; a text's ids, then the end id. Null and empty texts are the end id alone. Texts that hold the
-    separator's own words don't make that id. The vocabulary must fit 16 bits.
+    separator's own words don't make that id. The vocabulary must fit 16 bits; an id that doesn't raises an error.
     """
     path = path or vocabulary_path()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, file, block, document, rest = encoder(path), TaskContext.get().partitionId(), 0, 0, np.zeros(0, np.uint16)
+        code, file, block, document, rest = encoder(path, plain=True), TaskContext.get().partitionId(), 0, 0, np.zeros(0, np.uint16)
         end = np.array([end_id], np.uint16)
 
         def rows(blocks: list[bytes], ids: list) -> pa.RecordBatch:
@@ -49,7 +55,10 @@ def token_files(docs: DataFrame, end_id: int = 50_256, path: str | None = None)
             for run in runs(batch, "text"):
                 parts = [rest]
                 for text in run.column("text").to_pylist():
-                    parts += [np.frombuffer(code.encode(text), "<u4").astype(np.uint16), end]
+                    ids = np.frombuffer(code.encode(text), "<u4")
+                    if len(ids) and int(ids.max()) >= 1 << 16:
+                        raise ValueError("an id doesn't fit 16 bits")
+                    parts += [ids.astype(np.uint16), end]
                 flat = np.concatenate(parts)
                 whole = len(flat) // BLOCK
                 blocks = [flat[k * BLOCK : (k + 1) * BLOCK].astype("<u2").tobytes() for k in range(whole)]
@@ -82,14 +91,21 @@ def scan_blocks(blocks: DataFrame, end_id: int = 50_256) -> DataFrame:
 def stitched(scans: DataFrame) -> DataFrame:
     """file, document (from 0), start and tokens (its end id not counted) of each document that ends in the files.
 
-    The scan runs over one line for each block, by file: how many ends and ids stand before, and how many ids since the last
-    end. Ids after a file's last end are no document.
+    The scan runs over one line for each block: how many ends and ids stand before, and where the last end stood. Ids after a
+    file's last end are no document. The places of ends stay out of the sorts.
     """
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    lines = scans.withColumn("ends_before", F.coalesce(F.sum("ends").over(before), F.lit(0))).withColumn("ids_before", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
-    last_end = F.max(F.when(F.col("ends") > 0, F.col("ids_before") + F.col("tokens") - F.col("tail"))).over(before)
-    lines = lines.withColumn("open_from", F.coalesce(last_end, F.lit(0))).where("ends > 0")
-    found = lines.select("file", "ends_before", "ids_before", "open_from", F.posexplode("places").alias("k", "at"), "places")
+    inside = Window.partitionBy("file", "group").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    lines = scans.drop("places").withColumn("group", F.shiftright("block", GROUP))
+    lines = lines.withColumn("e", F.coalesce(F.sum("ends").over(inside), F.lit(0))).withColumn("i", F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
+    own = F.when(F.col("ends") > 0, F.col("i") + F.col("tokens") - F.col("tail"))
+    lines = lines.withColumn("own", own).withColumn("last", F.max("own").over(inside))
+    groups = lines.groupBy("file", "group").agg(F.sum("ends").alias("ge"), F.sum("tokens").alias("gi"), F.max("own").alias("gl"))
+    before = Window.partitionBy("file").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumn("e0", F.coalesce(F.sum("ge").over(before), F.lit(0))).withColumn("i0", F.coalesce(F.sum("gi").over(before), F.lit(0)))
+    groups = groups.withColumn("l0", F.coalesce(F.max(F.col("i0") + F.col("gl")).over(before), F.lit(0))).select("file", "group", "e0", "i0", "l0")
+    lines = lines.where("ends > 0").join(groups, ["file", "group"]).select("file", "block", (F.col("e0") + F.col("e")).alias("ends_before"), (F.col("i0") + F.col("i")).alias("ids_before"), F.coalesce(F.col("i0") + F.col("last"), "l0").alias("open_from"))
+    found = lines.join(scans.select("file", "block", "places"), ["file", "block"])
+    found = found.select("file", "ends_before", "ids_before", "open_from", F.posexplode("places").alias("k", "at"), "places")
     start = F.when(F.col("k") == 0, F.col("open_from")).otherwise(F.col("ids_before") + F.get("places", F.col("k") - 1) + 1)
     return found.select("file", (F.col("ends_before") + F.col("k")).alias("document"), start.alias("start"), (F.col("ids_before") + F.col("at") - start).alias("tokens"))
 
@@ -97,9 +113,10 @@ def stitched(scans: DataFrame) -> DataFrame:
 def token_counts(docs: DataFrame, end_id: int = 50_256, path: str | None = None) -> DataFrame:
     """doc_id, tokens, file, document and start of every row of docs, counted in the files its text was written to.
 
-    Null and empty texts have 0 tokens. Rows with one doc_id are documents of their own. Other columns are ignored.
+    Null and empty texts have 0 tokens. Rows with one doc_id, null ids and repeated rows are documents of their own. A text is
+    whole in one task, its ids cut into blocks; an empty table gives an empty result. Other columns are ignored.
     """
     stream = token_files(docs, end_id, path)
-    counted = stitched(scan_blocks(stream.where("block is not null"), end_id))
+    counted = stitched(cut(scan_blocks(stream.where("block is not null"), end_id)))
     names = stream.where("block is null").select("file", "document", "doc_id")
     return names.join(counted, ["file", "document"]).select("doc_id", "tokens", "file", "document", "start")

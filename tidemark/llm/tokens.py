@@ -13,7 +13,7 @@ CACHE_WORDS = 1_000_000
 CACHE_CHARS = 48
 
 _OTHER_SPACE = re.compile(r"[^\S\n]")
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -54,13 +54,15 @@ class Encoder(dict):
     one piece.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
         self.ranks = ranked(path)
+        special = [] if plain else [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special)) if special else None
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -78,7 +80,7 @@ class Encoder(dict):
         if not text:
             return b""
         first, *rest = text.split(" ")
-        if not first or _OTHER_SPACE.search(first):
+        if not first or _OTHER_SPACE.search(first) or self.special and self.special.search(text):
             return self.whole(text)
         if len(self) > CACHE_WORDS:
             self.clear()
@@ -89,8 +91,8 @@ class Encoder(dict):
         return self.whole(first) + ids
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, plain: bool = False) -> Encoder:
     """One for each worker process and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, plain) not in _ENCODERS:
+        _ENCODERS[path, plain] = Encoder(path, plain)
+    return _ENCODERS[path, plain]
