@@ -1,9 +1,11 @@
 """The operators for training text against brute force, exact round trips and held-out accuracy, and their edge cases."""
 
 import hashlib
+import itertools
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -14,6 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import jpeg, language, mixing, nearjoin, packing, private, queries, separators, shingles, sketch, tokens, toolcalls, urls
+from tidemark.llm.shared import Scratch
 
 FOLDER = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -488,13 +491,54 @@ def test_private_digest(docs, odd, empty):
 
 def test_repeated_names_draw_their_label(docs):
     weights = private.learned(docs)
-    weights.skip = 3.0
-    text = "write to someone.12@mail3.example.com now\n" + "of the and " * 30 + "ask someone.12 again"
-    found = private.find_spans([text], weights)[0]
-    assert found[0][0] == "email" and found[0][3] == 1
+    text = "write to someone.12@mail3.example.com now\n" + "of the and " * 30 + "ask someone.12 again, or call 5557713 or 9876543, not +1 (017) 555-7713"
+    added = lambda w: [(k, text[a:b]) for k, a, b, base in private.find_spans([text], w)[0] if not base]
+    assert added(weights) == [("email", "someone.12"), ("phone", "5557713")]
+    assert added(private.Field(weights.token, weights.chain, 0.0)) == []
     assert private.find_spans(["plain words only", None, ""], weights) == [[], [], []]
 
 
+def exact_marginals(field, graph, evidence):
+    k = len(private.LABELS) + 1
+    own = np.array(graph.features) @ field.token
+    total = np.zeros((len(own), k))
+    for labels in itertools.product(range(k), repeat=len(own)):
+        if any(e and e != y for e, y in zip(evidence, labels, strict=True)):
+            continue
+        score = sum((own[i, y] if not evidence[i] else 0.0) for i, y in enumerate(labels))
+        score += sum(field.skip * (labels[i] == labels[j]) if skip else field.chain[labels[i], labels[j]] for i, j, skip in graph.edges)
+        for i, y in enumerate(labels):
+            total[i, y] += np.exp(score)
+    return total / total.sum(1, keepdims=True)
+
+
+def test_messages_equal_enumeration():
+    rng = np.random.default_rng(3)
+    k = len(private.LABELS) + 1
+    tree = [(0, 1, 0), (1, 2, 1), (1, 3, 0), (3, 4, 1)]
+    for edges, near in ((tree, 1e-4), ([*tree, (0, 4, 1)], 0.05), ([], 1e-9)):
+        for _ in range(3):
+            field = private.Field(rng.normal(0, 0.7, (private.WIDTH, k)), rng.normal(0, 0.5, (k, k)), 0.8)
+            graph = private.Graph(features=rng.integers(0, 2, (5, private.WIDTH)).astype(float).tolist(), edges=edges)
+            evidence = np.array([0, 0, 2, 0, 0])
+            assert np.abs(field.posteriors(graph, evidence) - exact_marginals(field, graph, evidence)).max() < near
+
+
+def test_secrets_and_long_texts(docs):
+    weights = private.learned(docs)
+    text = 'a token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" there, 1234567890123456 not'
+    assert [(k, text[a:b]) for k, a, b, _ in private.find_spans([text], weights)[0]] == [("secret", "04dbebab91ab85687d33eeaaf9ac699e1188f962")]
+    took = []
+    for n in (4_000, 16_000):
+        long_ = "".join(f"name{i}x@a.bc word " for i in range(n))
+        began = time.perf_counter()
+        assert len(private.find_spans([long_], weights)[0]) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0]
+    row = private.digest(docs.sparkSession.createDataFrame([(1, text), (None, None)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert row[0].n_private is not None and {r.spans for r in row} == {""}
+
+
 def test_token_counts(docs, odd, empty):
     code = tokens.encoder(tokens.vocabulary_path())
     for source in (docs.repartition(3), odd):
@@ -555,3 +599,144 @@ def test_pipeline(spark):
             assert rows.count() == before.count() and not any(brute_spans(r.text) for r in rows.collect())
         before = rows
     check_packing(corpus_pipeline.STAGES[-1][1](spark, rows, FOLDER).collect(), [(r.doc_id, r.text) for r in rows.collect()], 2048)
+
+
+def test_long_words_and_unseen_letters():
+    pieces = ["▁", "▁a", "a", "b", "ab", "ba", "▁ab", "bab"]
+    model = language.LanguageModel(["x", "y"], pieces, np.random.default_rng(1).dirichlet(np.ones(9), 2).T)
+    words = ["ab" * n for n in (3, 12, 13, 40)] + ["q" * 30]
+    p = np.vstack([model.probabilities, np.zeros(2)])
+    for w in words:
+        sums = [np.ones(2)]
+        text, scale = "▁" + w, np.zeros(2)
+        for end in range(1, len(text) + 1):
+            total = sum(sums[k] * p[pieces.index(text[k:end]) if text[k:end] in pieces else 8 if end - k == 1 else 9] for k in range(max(0, end - 4), end))
+            sums.append(total)
+        assert np.allclose(model.word_scores([w])[0], np.log(sums[-1]) + scale)
+    long_ = model.word_scores(["ab" * 20_000, "q" * 20_000])
+    assert np.isfinite(long_).all() and abs(long_[0] / 20_000 - (model.word_scores(["ab" * 200]) - model.word_scores(["ab" * 100]))[0] / 100).max() < 1e-3
+    learned = language.fit([("en", "the cat and the hat " * 30), ("de", "der hund und das haus " * 10)], language.public_pieces())
+    names, scores = language.Scorer(learned).score(["the cat", "und das haus", "ж" * 60, "12"])
+    assert names[:2] == ["en", "de"] and names[3] == "und" and min(scores[:2]) > 0.8 and abs(scores[2] - 0.5) < 0.1 and scores[3] == 0
+
+
+def test_trees_on_other_hosts(spark):
+    rows = urls.labelled(urls.features(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"))).withColumn("kept", F.pmod(F.xxhash64("host", F.lit(99)), F.lit(4)) == 0)
+    found = urls.scored(rows.where("kept"), *urls.fit(rows.where("not kept"))).select("y", (F.col("block_odds") >= 0).alias("block")).collect()
+    base = np.mean([r.y for r in found])
+    assert len(found) > 100 and np.mean([r.block == (r.y == 1) for r in found]) > max(base, 1 - base) + 0.1
+
+
+def test_trees_judge_both_ways_and_ignore_other_columns(spark):
+    pages = spark.read.parquet(f"{FOLDER}/pages.parquet").select("page_id", "url", F.lit(1).alias("fold"), F.lit("x").alias("host"), F.lit(2).alias("y"))
+    rows = urls.judge(pages.unionByName(pages)).collect()
+    assert len(rows) == 2 * pages.count() and {r.verdict for r in rows if r.rule is None} == {"allow", "block"}
+    assert Counter(map(tuple, rows)) == Counter({k: 2 * n for k, n in Counter(map(tuple, urls.judge(pages).collect())).items()})
+
+
+def test_first_split_is_the_best():
+    rng = random.Random(7)
+    for _ in range(20):
+        cells = [(float(rng.random() < 0.4), rng.randint(1, 5), tuple(rng.randrange(urls.BINS) for _ in urls.FEATURES)) for _ in range(60)]
+
+        def gain(f, place, cells=cells):
+            side = lambda own: (sum((0.5 - y) * n for y, n, _ in own), sum(0.25 * n for _, n, _ in own))
+            (a, c), (b, d) = side([x for x in cells if x[2][f] <= place]), side([x for x in cells if x[2][f] > place])
+            return a**2 / (c + urls.RIDGE) + b**2 / (d + urls.RIDGE)
+
+        f, place, *_ = urls._grow(cells, [0.0] * len(cells), 1)
+        assert gain(f, place) > max(gain(g, k) for g in range(len(urls.FEATURES)) for k in range(urls.BINS)) - 1e-6
+
+
+def test_payload_in_several_files(spark, monkeypatch):
+    monkeypatch.setattr(jpeg, "PART", 64 * 7)
+    payload = np.random.default_rng(1).integers(0, 256, 64 * 30).astype(np.uint8).tobytes()
+    files = list(jpeg.images(jpeg.store(payload)))
+    assert len(files) == 5 and b"".join(map(jpeg.payload_of, files)) == payload
+    rgb = files[0].rgb()
+    chroma = files[0].planes()[1]
+    assert rgb.shape == (32, 16, 3) and chroma.shape == (16, 8) and len(files[0].components) == 3
+    lengths = {n for table in files[0].tables.values() for n, _ in table}
+    assert len({n for n, _ in jpeg.Codes(*jpeg.DIFFERENCES)}) > 4 and lengths
+
+
+def test_buckets_are_even_however_ids_lie(spark, monkeypatch):
+    monkeypatch.setattr(sketch, "BUCKET", 20)
+    monkeypatch.setattr(sketch, "FAN", 8)
+    ids = [*range(2_000), *(10**12 + i for i in range(500)), *(k * 10**15 for k in range(60)), *[77] * 900, *[None] * 400]
+    docs = spark.createDataFrame([(d, f"text {i}") for i, d in enumerate(ids)], "doc_id long, text string")
+    sizes = [r["count"] for r in sketch.bucketed(docs).groupBy("bucket").count().collect()]
+    assert max(sizes) <= 4 * sum(sizes) / len(sizes) and len(sizes) > len(ids) / 60
+    rows = sketch.with_next(docs.where("doc_id is not null and doc_id <> 77")).collect()
+    text = {r.doc_id: r.text for r in rows}
+    order = sorted(text)
+    assert all(r.next_text == text[order[(order.index(r.doc_id) + 1) % len(order)]] for r in rows)
+
+
+def test_files_of_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(separators, "GROUP", 1)
+    rng = np.random.default_rng(2)
+    rows, want = [], set()
+    for file in (3, 4):
+        stream = np.where(rng.random(400) < 0.05, 9, 1).astype("<u2")
+        rows += [(file, i, bytearray(stream[k : k + 7].tobytes())) for i, k in enumerate(range(0, len(stream), 7))]
+        ends = np.flatnonzero(stream == 9)
+        want |= {(file, i, int(s), int(e - s)) for i, (s, e) in enumerate(zip(np.concatenate([[0], ends[:-1] + 1]), ends, strict=True))}
+    found = separators.stitched(separators.scan_blocks(spark.createDataFrame(rows, "file long, block long, ids binary"), 9)).collect()
+    assert {(r.file, r.document, r.start, r.tokens) for r in found} == want
+
+
+def test_special_words_in_texts(spark):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(tokens.vocabulary_path())
+    texts = ["a<|endoftext|>b", "one <|endoftext|> two", "plain text"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in packing.pack(df).collect():
+        ids = [*own.encode(texts[r.doc_id], add_special_tokens=False).ids, 1]
+        assert (r.doc_tokens, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert separators.token_counts(df).count() == 3
+
+
+def test_components_and_bit_maps(spark):
+    rng = random.Random(4)
+    edges = [(f"{a:03}".encode(), f"{b:03}".encode()) for a, b in ([(i, i + 1) for i in range(60)] + [(rng.randrange(100, 300), rng.randrange(100, 300)) for _ in range(90)])]
+    root = {x: x for e in edges for x in e}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = top(a), top(b)
+        root[max(a, b)] = min(a, b)
+    found = nearjoin.components(spark.createDataFrame([tuple(map(bytearray, e)) for e in edges if e[0] != e[1]], "a binary, b binary"), Scratch(spark)).collect()
+    assert len(found) == len({r.node for r in found}) and {bytes(r.node): bytes(r.label) for r in found} == {x: top(x) for e in edges if e[0] != e[1] for x in e}
+    keys = spark.range(5_000).select(F.xxhash64("id").alias("k"))
+    bits = nearjoin.BitMap(keys)
+    inside = np.array([r.k for r in keys.collect()])
+    assert bits.among(inside).all() and bits.among(inside + (1 << 20)).mean() < 0.2
+
+
+def test_many_texts_under_one_id_and_clashing_columns(spark):
+    base = [f"w{i}" for i in range(50)]
+    texts = [" ".join([*base[:k], "z", *base[k + 1 :]]) if k % 3 == 0 else " ".join(f"t{k}x{i}" for i in range(30)) for k in range(30)]
+    names = ("key", "row", "wins", "worded", "node", "label", "_hash", "n", "least")
+    df = spark.createDataFrame([(5, t) for t in texts], "doc_id long, text string").select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    _, root = brute_groups(texts, 5, 4, 5)
+    kept = nearjoin.one_of_each(df)
+    assert kept.columns == df.columns and kept.count() == len(set(root))
+    assert {root[texts.index(r.text)] for r in kept.collect()} == set(root)
+
+
+@pytest.mark.parametrize("which", ["odd", "empty"])
+def test_pipeline_on_odd_tables(spark, which, request):
+    import corpus_pipeline
+
+    rows = request.getfixturevalue(which).select(*corpus_pipeline.COLUMNS)
+    for name, stage in corpus_pipeline.STAGES:
+        before = rows
+        rows = stage(spark, before, FOLDER).cache()
+        assert rows.columns == (before.columns if name != "pack" else rows.columns)
+        assert (rows.count() == 0) == (which == "empty" or before.count() == 0), name

@@ -37,7 +37,7 @@ SAMPLE, SAMPLE_CHARS = 5_000, 20_000
 NEAR = 24
 #: An added span needs this posterior.
 SURE = 0.9
-ROUNDS = 12
+ROUNDS = 20
 SPANS = ArrayType(StructType([StructField("kind", StringType()), StructField("first", IntegerType()), StructField("last", IntegerType()), StructField("base", IntegerType())]))
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
