@@ -227,7 +227,6 @@ def test_near_groups(spark, monkeypatch, k, num, den):
                     copy[rng.randrange(len(copy))] = f"v{rng.randrange(40)}"
             texts.append(" ".join(copy))
     monkeypatch.setattr(nearjoin, "TILE", 4)
-    monkeypatch.setattr(nearjoin, "ROUNDS", 1)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     sets, root = brute_groups(texts, k, num, den)
     for r in nearjoin.near_groups(df, k, num, den).collect():

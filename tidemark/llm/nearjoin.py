@@ -3,12 +3,12 @@
 1. Each text becomes its set of shingle hashes; equal sets become one node. Only nodes go on.
 2. A node emits numbers (shingles.Classes) of which any two similar sets share several; numbers of one node alone drop out,
    and nodes that share too few, and with them nearly all documents.
-3. Each node that is left goes, with its set, to the block of the least node it shares a number with. Within a block a
-   T-occurrence search (shingles.Search) links similar sets. A large block is dealt over shards, bounded in nodes and in
-   hashes, that all hold its first node.
-4. A number is settled when its nodes have one component or were searched in one place. The others join nodes to clusters,
-   and each cluster is searched: the nodes outside its largest component as queries against all its nodes, in tiles of
-   bounded size. A cluster of up to TILE nodes is one tile, which holds each set once.
+3. Each node that is left goes, with its set, to the block of a head: of the least nodes of its numbers, the one that it shares
+   most numbers with. Within a block a T-occurrence search (shingles.Search) links similar sets. A large block is dealt over
+   shards, bounded in nodes and in hashes, that all hold its head.
+4. A number is settled when its nodes have one component or were searched in one place. The others join nodes to clusters, a
+   kind of numbers at a time, and each cluster is searched: the nodes outside its largest component as queries against all
+   its nodes, in tiles of bounded size. A cluster of up to TILE nodes is one tile, which holds each set once.
 5. Links become components; a document's component is the least doc_id of its nodes'.
 
 Every link is found: similar sets share a number, and in the end each number's nodes are in one component, or were
@@ -29,8 +29,6 @@ from .shingles import Classes, Search, set_digest, shingle_sets
 
 #: Nodes of a shard or of one side of a tile, and hashes in their sets.
 TILE, TILE_HASHES = 4_096, 2_000_000
-#: Rounds of blocks before what is left is searched cluster by cluster.
-ROUNDS = 1
 #: Bit maps have 32 bits a key, up to so many bits; beyond, they let more rows through to the exact joins behind them.
 FILTER_BITS = 1 << 27
 #: Numbers that meet in one task.
@@ -228,6 +226,16 @@ def repeated_numbers(prints: DataFrame) -> DataFrame:
     return rows.mapInArrow(deal, "bucket long, block binary").groupBy("bucket").applyInArrow(again, "number long")
 
 
+def _kind() -> F.Column:
+    """The class that a number is for, and its need."""
+    return F.col("number").bitwiseAND(F.lit((1 << KIND_BITS) - 1)).alias("kind")
+
+
+def _need() -> F.Column:
+    """How many numbers of a kind similar sets share at least."""
+    return F.col("number").bitwiseAND(F.lit((1 << Classes.NEED_BITS) - 1)).alias("need")
+
+
 def shared_numbers(prints: DataFrame, scratch: Scratch) -> DataFrame:
     """(number, node) of the numbers that more than one node emits, of nodes that share as many as similar sets must."""
     repeated = scratch.cut(repeated_numbers(prints))
@@ -243,13 +251,11 @@ def shared_numbers(prints: DataFrame, scratch: Scratch) -> DataFrame:
     rows = prints.where("node is not null and length(numbers) > 0").select("node", "numbers").mapInArrow(keep, "number long, node binary")
     rows = scratch.cut(rows.distinct().join(repeated, "number"))
     scratch.drop(repeated)
-    kind = F.col("number").bitwiseAND(F.lit((1 << KIND_BITS) - 1))
-    need = F.col("number").bitwiseAND(F.lit((1 << Classes.NEED_BITS) - 1))
     for _ in range(2):  # what a node shares too little of, no partner of it can have
         several = rows.groupBy("number").agg(F.min("node").alias("l"), F.max("node").alias("m")).where("l <> m").select("number")
         more = rows.join(several, "number")
-        enough = more.groupBy("node", kind.alias("kind"), need.alias("need")).agg(F.count("*").alias("n")).where("n >= need").select("node", "kind")
-        left = scratch.cut(more.withColumn("kind", kind).join(enough, ["node", "kind"]).select("number", "node"))
+        enough = more.groupBy("node", _kind(), _need()).agg(F.count("*").alias("n")).where("n >= need").select("node", "kind")
+        left = scratch.cut(more.withColumn("kind", _kind()).join(enough, ["node", "kind"]).select("number", "node"))
         scratch.drop(rows)
         rows = left
     return rows
@@ -284,26 +290,27 @@ def component_labels(docs: DataFrame, prints: DataFrame, shared: DataFrame, word
     """node and label of every node that is linked with another."""
     sets = member_sets(docs, prints, shared.select("node").distinct(), words, scratch)
     sizes = sets.select("node", "n")
-    open_, links, labels = shared, None, None
-    for _ in range(ROUNDS):
-        least = open_.groupBy("number").agg(F.min("node").alias("least"))
-        headed = scratch.cut(open_.join(least, "number"))
-        scratch.drop(open_)
-        member = headed.groupBy("node").agg(F.min("least").alias("block")).join(sizes, "node")
-        size = scratch.cut(member.groupBy("block").agg(F.count("*").alias("k"), F.sum("n").alias("h")).select("block", _shards("k", "h").alias("shards")))
-        dealt = scratch.cut(member.join(size, "block").select("block", F.expr(f"pmod(xxhash64(node, {TILE}), shards)").alias("shard"), "node"))
-        heads = size.select("block", F.explode(F.expr("sequence(0L, shards - 1)")).alias("shard"), F.col("block").alias("node"))
-        blocks = dealt.unionByName(heads).distinct().join(sets.drop("n"), "node")
-        blocks = (blocks.join(labels, "node", "left") if labels else blocks.withColumn("label", F.lit(None).cast("binary"))).withColumn("label", F.coalesce("label", "node"))
-        found = scratch.cut(blocks.groupBy("block", "shard").applyInArrow(_links(num, den), LINKS))
-        links = found if links is None else links.unionByName(found)
-        labels = scratch.cut(components(links, scratch))
-        open_ = scratch.cut(unsettled(headed, dealt, labels))
-        scratch.drop(headed, dealt, size)
-        if open_.isEmpty():
-            return labels
-    least = open_.groupBy("number").agg(F.min("node").alias("b"))
-    clusters = components(open_.join(least, "number").select(F.col("node").alias("a"), "b"), scratch).select("node", F.col("label").alias("cluster"))
+    # First, each node with the head that it shares most numbers with.
+    least = shared.groupBy("number").agg(F.min("node").alias("least"))
+    headed = scratch.cut(shared.join(least, "number"))
+    scratch.drop(shared)
+    plausible = headed.where("node <> least").groupBy("node", "least", _kind(), _need()).agg(F.count("*").alias("c")).where("c >= need")
+    chosen = plausible.groupBy("node").agg(F.max_by("least", F.struct("c", "least")).alias("block"))
+    member = sizes.join(chosen, "node", "left").withColumn("block", F.coalesce("block", "node"))
+    size = scratch.cut(member.groupBy("block").agg(F.count("*").alias("k"), F.sum("n").alias("h"), F.min("node").alias("one")).select("block", _shards("k", "h").alias("shards"), (F.expr("k > 1 or one <> block")).alias("several")))
+    dealt = scratch.cut(member.join(size, "block").select("block", F.expr(f"pmod(xxhash64(node, {TILE}), shards)").alias("shard"), "node", "several"))
+    heads = size.where("several").select("block", F.explode(F.expr("sequence(0L, shards - 1)")).alias("shard"), F.col("block").alias("node"))
+    blocks = dealt.where("several").drop("several").unionByName(heads).distinct().join(sets.drop("n"), "node").withColumn("label", F.col("node"))
+    found = scratch.cut(blocks.groupBy("block", "shard").applyInArrow(_links(num, den), LINKS))
+    labels = scratch.cut(components(found, scratch))
+    open_ = scratch.cut(unsettled(headed, dealt.drop("several"), labels))
+    scratch.drop(headed, dealt, size)
+    if open_.isEmpty():
+        return labels
+    # Then what may still be linked, by clusters of nodes that numbers of one kind join.
+    ends = open_.select("number", "node", F.concat("node", F.encode(F.lpad(F.hex(_kind()), 4, "0"), "US-ASCII")).alias("vertex"))
+    least = ends.groupBy("number").agg(F.min("vertex").alias("b"))
+    clusters = components(ends.join(least, "number").select(F.col("vertex").alias("a"), "b"), scratch).select(F.expr("substring(node, 1, 16)").alias("node"), F.col("label").alias("cluster"))
     weight = scratch.cut(clusters.join(labels, "node", "left").select("cluster", "node", F.coalesce("label", "node").alias("label")).join(sizes, "node"))
     count = weight.groupBy("cluster", "label").agg(F.count("*").alias("k"), F.sum("n").alias("h"))
     largest = count.groupBy("cluster").agg(
@@ -313,8 +320,7 @@ def component_labels(docs: DataFrame, prints: DataFrame, shared: DataFrame, word
     group = weight.drop("n").join(tiles, "cluster")
     every = group.select("cluster", F.expr(f"pmod(xxhash64(node, {TILE}), shards)").alias("shard"), F.explode(F.expr("sequence(0L, chunks - 1)")).alias("chunk"), "node", "label")
     asking = group.where("label <> largest").select("cluster", F.explode(F.expr("sequence(0L, shards - 1)")).alias("shard"), F.expr(f"pmod(xxhash64(node, {TILE + 1}), chunks)").alias("chunk"), "node", "label")
-    more = every.unionByName(asking).distinct().join(sets.drop("n"), "node").groupBy("cluster", "shard", "chunk").applyInArrow(_links(num, den), LINKS)
-    more = scratch.cut(more)
+    more = scratch.cut(every.unionByName(asking).distinct().join(sets.drop("n"), "node").groupBy("cluster", "shard", "chunk").applyInArrow(_links(num, den), LINKS))
     if not more.isEmpty():
         labels = scratch.cut(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more), scratch))
     scratch.drop(sets, weight, open_)

@@ -148,48 +148,63 @@ class Search:
     The inverted list of a hash names the sets that hold it. A query of n hashes wants the sets on at least T of its n
     lists. Its L longest lists are set aside; merging the short ones keeps the sets that occur T - L times there; those are
     looked up in the long lists by binary search, and kept where they reach the overlap that both sizes ask for. The short
-    lists are sorted runs, so the merge is one stable sort over them, which counts as a heap of their heads would.
+    lists are sorted runs, so the merge is one stable sort over them, which counts as a heap of their heads would. Sets are
+    numbered by size, so the ones too small or too large for a query are left out of its lists.
     """
 
+    #: Long lists that are probed at once.
+    PROBES = 64
+
     def __init__(self, sets: list[np.ndarray], num: int, den: int):
         self.sets, self.num, self.den = sets, num, den
-        self.sizes = np.array([len(x) for x in sets], np.int64)
+        lengths = np.array([len(x) for x in sets], np.int64)
+        self.order = np.argsort(lengths, kind="stable")
+        self.sizes = lengths[self.order]
         owners = np.repeat(np.arange(len(sets)), self.sizes)
-        hashes = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        hashes = np.concatenate([sets[i] for i in self.order]) if sets else np.zeros(0, np.uint64)
         order = np.argsort(hashes, kind="stable")
-        self.lists, ranked = owners[order], hashes[order]
-        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, np.int64)
+        ranked = hashes[order]
+        fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, bool)
+        first = np.flatnonzero(fresh)
         self.keys, self.first = ranked[first], np.append(first, len(ranked))
+        self.lists = owners[order].astype(np.uint16 if len(sets) < 1 << 16 else np.int64)
+        # Where a set is in a list, as one ascending number.
+        self.places = (np.cumsum(fresh) - 1) * len(sets) + owners[order]
 
     def similar(self, query: np.ndarray) -> np.ndarray:
         """The sets similar to the query, which may be one of them."""
-        n = len(query)
-        if not n:
-            return np.zeros(0, np.int64)
-        at = np.searchsorted(self.keys, query)
-        at = at[(at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == query)] if len(self.keys) else at[:0]
+        n, none = len(query), np.zeros(0, np.int64)
+        if not n or not len(self.keys):
+            return none
         least = -(-self.num * n // self.den)
-        if len(at) < least:
-            return np.zeros(0, np.int64)
+        low, high = np.searchsorted(self.sizes, [least, self.den * n // self.num + 1])
+        at = np.searchsorted(self.keys, query)
+        at = at[self.keys[np.minimum(at, len(self.keys) - 1)] == query]
+        if len(at) < least or low == high:
+            return none
         lengths = self.first[at + 1] - self.first[at]
-        at = at[np.argsort(lengths, kind="stable")]
-        aside = min(least - 1, int(least / (0.01 * np.log2(lengths.max() + 1) + 1)))
-        short, long = at[: len(at) - aside], at[len(at) - aside :]
-        merged = np.sort(np.concatenate([self.lists[self.first[k] : self.first[k + 1]] for k in short]), kind="stable")
-        found, counts = np.unique(merged, return_counts=True)
-        need = -(-self.num * (n + self.sizes) // (self.num + self.den))
-        keep = counts >= np.maximum(1, need[found] - aside)
-        found, counts = found[keep], counts[keep]
-        for left, k in zip(range(len(long) - 1, -1, -1), long, strict=True):
-            if not len(found):
+        order = np.argsort(lengths, kind="stable")
+        at, lengths = at[order], lengths[order]
+        aside = min(least - 1, int(least / (0.01 * np.log2(lengths[-1] + 1) + 1)))
+        short, long, lengths = at[: len(at) - aside], at[len(at) - aside :], lengths[: len(at) - aside]
+        ends = np.cumsum(lengths)
+        merged = self.lists[np.repeat(self.first[short] - ends + lengths, lengths) + np.arange(ends[-1])]
+        merged = np.sort(merged[(merged >= low) & (merged < high)], kind="stable").astype(np.int64)
+        if not len(merged):
+            return none
+        edges = np.flatnonzero(np.append(True, merged[1:] != merged[:-1]))
+        found, counts = merged[edges], np.diff(np.append(edges, len(merged)))
+        need = -(-self.num * (n + self.sizes[found]) // (self.num + self.den))
+        for k in range(0, aside + 1, self.PROBES):
+            keep = counts + (aside - k) >= need
+            found, counts, need = found[keep], counts[keep], need[keep]
+            probe = long[k : k + self.PROBES]
+            if not len(found) or not len(probe):
                 break
-            own = self.lists[self.first[k] : self.first[k + 1]]
-            place = np.searchsorted(own, found)
-            counts = counts + (own[np.minimum(place, len(own) - 1)] == found)
-            if left % 16 == 0:
-                keep = counts + left >= need[found]
-                found, counts = found[keep], counts[keep]
-        return found[counts >= need[found]]
+            wanted = probe[:, None] * len(self.sets) + found
+            spot = np.minimum(np.searchsorted(self.places, wanted), len(self.places) - 1)
+            counts = counts + (self.places[spot] == wanted).sum(0)
+        return self.order[found[counts >= need]]
 
     def forest(self, labels: list) -> list[tuple[int, int]]:
         """Links that, with sets of one label taken as linked, leave any two sets that a chain of links joins joined.
