@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,11 +74,76 @@ def warp(image: np.ndarray, matrix: np.ndarray, width: int, height: int) -> np.n
     return np.rint(out).astype(image.dtype)
 
 
-def screen_image(image: np.ndarray, corners: np.ndarray) -> np.ndarray:
-    """The quadrangle (tl, tr, bl, br) of a frame's image as a rectangle of its own size."""
+def screen_image(image: np.ndarray, corners: np.ndarray, ratio: float | None = None) -> np.ndarray:
+    """The quadrangle (tl, tr, bl, br) of a frame's image as a rectangle of its own size, or stretched to a ratio."""
+    return warp(image, *screen_map(corners, ratio))
+
+
+def screen_map(corners: np.ndarray, ratio: float | None = None) -> tuple[np.ndarray, int, int]:
+    """The map from a frame to a screen with these corners (tl, tr, bl, br), and the screen's width and height.
+
+    With ``ratio`` the screen is stretched along one side only, so that width / height comes to it and no side shrinks.
+    """
     side = lambda a, b: int(np.hypot(*(corners[a] - corners[b])))
     w, h = max(side(0, 1), side(2, 3)), max(side(0, 2), side(1, 3))
-    return warp(image, homography(corners, np.array([(0, 0), (w - 1, 0), (0, h - 1), (w - 1, h - 1)], float)), w, h)
+    found = homography(corners, np.array([(0, 0), (w - 1, 0), (0, h - 1), (w - 1, h - 1)], float))
+    if ratio is None:
+        return found, w, h
+    if not w or not h or not ratio:
+        raise ValueError("sides and ratio must not be zero")
+    wide, high = (round(h * ratio), h) if h * ratio > w else (w, round(w / ratio))
+    return np.diag([wide / w, high / h, 1.0]) @ found, wide, high
+
+
+def lab(image: np.ndarray) -> np.ndarray:
+    """8-bit RGB as 8-bit CIE Lab under D65: lightness by 255 / 100, and the other two by 128 more."""
+    share = image.astype(np.float64) / 255
+    linear = np.where(share > 0.04045, ((share + 0.055) / 1.055) ** 2.4, share / 12.92)
+    # Fixed values of sRGB: primaries to XYZ, and the white point.
+    xyz = linear @ np.array([[0.412453, 0.357580, 0.180423], [0.212671, 0.715160, 0.072169], [0.019334, 0.119193, 0.950227]]).T / np.array([0.950456, 1.0, 1.088754])
+    f = np.where(xyz > (6 / 29) ** 3, np.cbrt(xyz), xyz * (29 / 6) ** 2 / 3 + 4 / 29)
+    x, y, z = f[..., 0], f[..., 1], f[..., 2]
+    out = np.stack([(116 * y - 16) * 255 / 100, 500 * (x - y) + 128, 200 * (y - z) + 128], -1)
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+
+
+def mask_tensor(mask: np.ndarray) -> np.ndarray:
+    """A mask as three equal channels from 0 to 1, channels first."""
+    return np.repeat((mask.astype(np.float32) / 255)[None], 3, 0)
+
+
+def tensor_mask(tensor: np.ndarray, width: int | None = None, height: int | None = None) -> np.ndarray:
+    """Back to an 8-bit mask, of the first channel, in another size if one is given."""
+    mask = np.clip(np.rint(tensor[0] * 255), 0, 255).astype(np.uint8)
+    return mask if width is None or height is None else resize(mask[..., None], width, height)[..., 0]
+
+
+def shrink(image: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Each pixel the mean of the area that it covers."""
+
+    def weights(n: int, m: int) -> np.ndarray:
+        edges = np.arange(m + 1) * n / m
+        low, high = np.maximum(edges[:-1, None], np.arange(n)), np.minimum(edges[1:, None], np.arange(1, n + 1))
+        return np.maximum(0, high - low) * m / n
+
+    mixed = np.einsum("yi,ijc,xj->yxc", weights(image.shape[0], height), image.astype(float), weights(image.shape[1], width), optimize=True)
+    return np.rint(mixed).astype(image.dtype)
+
+
+def page_image(draw: Callable[[float], np.ndarray], default: tuple[int, int], width: int, height: int) -> np.ndarray:
+    """A page in a box of that size, its aspect ratio kept, between transparent margins.
+
+    draw gives the page as RGBA at a zoom; default is its size at zoom 1. It is drawn so large that nothing has to grow, and
+    shrunk by areas.
+    """
+    zoom = max(width / max(1, default[0] - 1), height / max(1, default[1] - 1))
+    image = draw(zoom)
+    ratio = min(width / image.shape[1], height / image.shape[0])
+    w, h = max(1, round(image.shape[1] * ratio)), max(1, round(image.shape[0] * ratio))
+    out = np.zeros((height, width, image.shape[2]), image.dtype)
+    top, left = (height - h) // 2, (width - w) // 2
+    out[top : top + h, left : left + w] = shrink(image, w, h) if ratio < 1 else resize(image, w, h)
+    return out
 
 
 def resize(image: np.ndarray, width: int, height: int) -> np.ndarray:

@@ -8,12 +8,24 @@ from pyspark.sql import functions as F
 from ..functions.geometry import jaccard
 
 
+#: Frames of a stretch in which frames and intervals meet.
+STRETCH = 64
+
+
 def shown_pages(log: DataFrame, at: DataFrame) -> DataFrame:
-    """at's rows (video, frame_no) with shown: the sorted set of pages on display there, from a table of validity intervals."""
-    keys = at.select("video", "frame_no").distinct()
-    inside = (F.col("shown_from") <= F.col("frame_no")) & (F.col("shown_until").isNull() | (F.col("frame_no") < F.col("shown_until")))
-    hits = keys.join(log.withColumnRenamed("video", "_v"), (F.col("video") == F.col("_v")) & inside, "left")
-    found = hits.groupBy("video", "frame_no").agg(F.array_sort(F.collect_set("page")).alias("shown"))
+    """at's rows (video, frame_no) with shown: the sorted set of pages on display there, from a table of validity intervals.
+
+    Frames and intervals meet by video and stretch of frames, so a long video is not a product of both; an interval without an
+    end goes on to the last frame asked for.
+    """
+    keys = at.select("video", "frame_no").distinct().withColumn("_s", F.expr(f"frame_no div {STRETCH}"))
+    last = keys.groupBy(F.col("video").alias("_v")).agg(F.max("frame_no").alias("_last"))
+    spans = log.select(F.col("video").alias("_v"), "page", "shown_from", (F.col("shown_until") - 1).alias("_until")).join(last, "_v")
+    spans = spans.withColumn("_until", F.least("_last", F.coalesce("_until", "_last"))).where("shown_from <= _until")
+    spans = spans.withColumn("_t", F.explode(F.expr(f"sequence(shown_from div {STRETCH}, _until div {STRETCH})")))
+    hits = keys.join(spans, (F.col("video") == F.col("_v")) & (F.col("_s") == F.col("_t")), "left")
+    inside = (F.col("shown_from") <= F.col("frame_no")) & (F.col("frame_no") <= F.col("_until"))
+    found = hits.groupBy("video", "frame_no").agg(F.array_sort(F.collect_set(F.when(inside, F.col("page")))).alias("shown"))
     return at.join(found, ["video", "frame_no"])
 
 

@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 
 def training_pairs(screens: DataFrame, pages: DataFrame, matches: DataFrame) -> DataFrame:
-    """screen, page, label (0 match, 1 not) and weight.
+    """screen, page, label (0 match, 1 not) and weight of each screen with each page of its video.
 
-    screens: screen; pages: document, page; matches: screen, document, page, similarity (full or incremental). A page of a
-    document with a match weighs 5, one of another document 2; full matches share 1 + the others' sum among all matches, and
-    incremental ones are left out. In the end weights average 1.
+    screens: video, screen; pages: video, document, page; matches: screen, document, page, similarity (full or incremental). A
+    page of a document with a match weighs 5, one of another document 2; full matches share 1 + the others' sum among all
+    matches, and incremental ones are left out. In the end weights average 1. Screens and pages meet by video; without that
+    column all are of one.
     """
+    if "video" not in screens.columns:
+        screens, pages = screens.withColumn("video", F.lit(0)), pages.withColumn("video", F.lit(0))
     hits = matches.groupBy("screen", "document", "page").agg(F.max(F.when(F.col("similarity") == "full", 2).otherwise(1)).alias("hit"))
     near = matches.select("screen", "document").distinct().withColumn("near", F.lit(True))
-    every = screens.crossJoin(F.broadcast(pages)).join(hits, ["screen", "document", "page"], "left").join(near, ["screen", "document"], "left")
+    every = screens.join(pages, "video").drop("video").join(hits, ["screen", "document", "page"], "left").join(near, ["screen", "document"], "left")
     of_screen = Window.partitionBy("screen")
     other = F.when(F.col("hit").isNull(), F.when(F.col("near"), 5.0).otherwise(2.0))
     every = every.withColumn("_sum", F.coalesce(F.sum(other).over(of_screen), F.lit(0.0))).withColumn("_n", F.count("hit").over(of_screen))

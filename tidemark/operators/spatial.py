@@ -27,3 +27,28 @@ def jaccard_join(left: DataFrame, right: DataFrame, keys: list[str], cell: float
     near = a.join(b, [*keys, "_cx", "_cy"]).where((x < right_) & (y < bottom) & (F.floor(x / cell) == F.col("_cx")) & (F.floor(y / cell) == F.col("_cy")))
     found = near.withColumn("inter", overlap("a_quad", "b_quad")).where("inter > 0")
     return found.select(*keys, F.col("a_id").alias("id"), F.col("b_id").alias("other"), "inter", (F.col("inter") / (area(F.col("a_quad")) + area(F.col("b_quad")) - F.col("inter"))).alias("jaccard"))
+
+
+class QuadSet:
+    """A set of quadrangles within keys, as rows (keys, id, quad), and what overlaps in it: an index by grid cells."""
+
+    def __init__(self, rows: DataFrame, keys: list[str]):
+        self.keys = keys
+        self.rows = rows.select(*keys, "id", "quad").dropDuplicates([*keys, "quad"])
+
+    def add(self, rows: DataFrame) -> QuadSet:
+        """With those rows that it doesn't hold yet."""
+        new = rows.select(*self.keys, "id", "quad").join(self.rows.select(*self.keys, "quad"), [*self.keys, "quad"], "left_anti")
+        return QuadSet(self.rows.unionByName(new), self.keys)
+
+    def discard(self, rows: DataFrame) -> QuadSet:
+        """Without the quadrangles of these rows; what it doesn't hold is passed over."""
+        return QuadSet(self.rows.join(rows.select(*self.keys, "quad"), [*self.keys, "quad"], "left_anti"), self.keys)
+
+    def holds(self, rows: DataFrame) -> DataFrame:
+        """The rows whose quadrangle it holds."""
+        return rows.join(self.rows.select(*self.keys, "quad"), [*self.keys, "quad"], "left_semi")
+
+    def overlapping(self, rows: DataFrame) -> DataFrame:
+        """keys, id of a row, other (the id here), inter and jaccard of all that overlap."""
+        return jaccard_join(rows, self.rows, self.keys)

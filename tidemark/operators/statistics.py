@@ -47,4 +47,24 @@ def bootstrap_mean(rows: DataFrame, value: str, key: str, draws: int = 200, seed
 
 def folds(rows: DataFrame, key: str, k: int = 5, seed: int = 123) -> DataFrame:
     """Adds fold from 0 to k - 1; rows of one key share it. The split is a hash's, not another library's shuffle."""
-    return rows.withColumn("fold", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(k)))
+    digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
+    return rows.withColumn("fold", F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), F.lit(k)))
+
+
+def peeking(rows: DataFrame, key: str, order: str, k: int = 5, seed: int = 123) -> DataFrame:
+    """folds, with peek: the one row of each key, first by a hash of order, that may be seen while its fold is tested."""
+    draw = F.struct(F.md5(F.concat_ws(":", F.col(order).cast("string"), F.lit(str(seed))).cast("binary")), F.col(order))
+    first = rows.groupBy(key).agg(F.min_by(order, draw).alias("_first"))
+    return folds(rows, key, k, seed).join(first, key).withColumn("peek", F.col(order) == F.col("_first")).drop("_first")
+
+
+def leave_one_out(rows: DataFrame, key: str) -> DataFrame:
+    """held_out and the rows of every other key, one training set for each key: as many copies as there are keys, less one."""
+    keys = rows.select(F.col(key).alias("held_out")).distinct()
+    return keys.join(rows, F.col("held_out") != F.col(key))
+
+
+def nth(rows: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
+    """The n-th row (from 0) of each group by order."""
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    return rows.withColumn("_at", at).where(F.col("_at") == n + 1).drop("_at")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import events as E
 from ..operators import scenes, tracking
 from ..sources.proxies import FOLD_SQL, FRAMES_SQL, SCREENS_SQL, frames, overlap_sql, shown, two_screens, with_quads
+from ..streaming.detector import detect_batch
 from .registry import query
 
 _CORNERS = ("tlx", "tly", "trx", "try_", "blx", "bly", "brx", "bry")
@@ -104,10 +105,40 @@ def track_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracked(spark, sf_dir).select("video", "frame_no", "track", "new")
 
 
-@query()
-def track_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+_LANES = ", ".join(f"{c} + 400 * lane as {c}" if c in ("tlx", "trx", "blx", "brx") else c for c in _CORNERS)
+TRACKS_MANY_SQL = (
+    SCREENS_SQL
+    + f""", lanes as (select video, frame_no, event_id, lane, 1 - lane as ix, event_id * 2 + lane as shape, {_LANES} from screens, (values (0), (1)) l(lane) where lane = 0 or event_id % 4 = 0),
+pairs as (select b.shape as pair, """
+    + ", ".join(f"a.{c} as a_{c}, b.{c} as b_{c}" for c in _CORNERS)
+    + " from lanes a join lanes b on a.video = b.video and a.lane = b.lane and b.frame_no = a.frame_no + 1), "
+    + overlap_sql("pairs")
+    + """, marked as (select l.*, coalesce(o.inter, 0) <= 1e-9 as new from lanes l left join shared_areas o on o.pair = l.shape),
+begun as (select *, row_number() over (partition by video order by frame_no, ix) as track from marked where new),
+islands as (select *, sum(case when new then 1 else 0 end) over (partition by video, lane order by frame_no) as island from marked),
+named as (select i.*, b.track from islands i join islands s on s.video = i.video and s.lane = i.lane and s.island = i.island and s.new join begun b on b.shape = s.shape),
+ended as (select video, track, max(frame_no) as final from named group by all)
+select video, frame_no, ix, track, case when new then 'appeared' else 'existing' end as state from named
+union all select e.video, final + 1, null, track, 'disappeared' from ended e join (select video, max(frame_no) as last from frames group by 1) v on v.video = e.video where final < last"""
+)
+
+
+def _two_screens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to two screens a frame, and the frames that show none."""
     errors = frames(spark, sf_dir).where("kind = 'error'").select("video", "frame_no")
-    return tracking.track_many(two_screens(spark, sf_dir).unionByName(errors, allowMissingColumns=True))
+    return two_screens(spark, sf_dir).unionByName(errors, allowMissingColumns=True)
+
+
+@query(f"with {TRACKS_MANY_SQL}")
+def track_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracking.track_many(_two_screens(spark, sf_dir))
+
+
+@query()
+def screen_events_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change events with several screens a frame, each with its own page."""
+    found = detect_batch(_two_screens(spark, sf_dir).withColumn("page", F.col("page") + F.when(F.col("ix") == 0, 10).otherwise(0)))
+    return _flat(found)
 
 
 @query(

@@ -125,9 +125,11 @@ _GRID = "g as (select t.t as threshold, b.b as bits, avg(((value > t.t * 10) = (
 
 @query(f"with {_GRID} select threshold, bits, round(accuracy, 6) as accuracy from g order by g.accuracy desc, threshold desc, bits desc limit 1")
 def grid_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = spark.range(50).withColumnRenamed("id", "threshold").crossJoin(spark.createDataFrame([(8,), (16,), (32,)], "bits int"))
-    right = ((F.col("value") > F.col("threshold") * 10) == (F.col("event_id") % 64 < F.col("bits"))).cast("int")
-    by = load(spark, sf_dir, "events").crossJoin(F.broadcast(grid)).groupBy("threshold", "bits").agg(F.avg(right).alias("accuracy"))
+    # All cells of the grid in one pass: a value and a bit class say what each cell makes of a row, so rows are counted by them first.
+    classes = load(spark, sf_dir, "events").groupBy(F.ceil(F.col("value") / 10).cast("long").alias("v"), F.when(F.col("event_id") % 64 < 8, 8).when(F.col("event_id") % 64 < 16, 16).when(F.col("event_id") % 64 < 32, 32).otherwise(64).alias("b")).agg(F.count("*").alias("n"))
+    cells = classes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(49).cast("long"))).alias("threshold")).select("*", F.explode(F.array(*[F.lit(k) for k in (8, 16, 32)])).alias("bits"))
+    right = (F.col("v") > F.col("threshold")) == (F.col("b") <= F.col("bits"))
+    by = cells.groupBy("threshold", "bits").agg((F.sum(F.when(right, F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
     return by.agg(F.max(F.struct("accuracy", "threshold", "bits")).alias("b")).select("b.threshold", "b.bits", F.round("b.accuracy", 6).alias("accuracy"))
 
 
@@ -168,14 +170,14 @@ def pivot_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("detector", *[F.round(k, 6).alias(k.lower()) for k in "ANR"])
 
 
-@query()
+@query("with t as (select i / 64 as threshold from range(1, 64) r(i)), b as (select threshold, avg((value / 500 > threshold * threshold)::int::double) as accuracy from events, t group by threshold) select max(threshold) as threshold, arg_max(accuracy, threshold) as accuracy from b where accuracy >= 0.95 union all select max(threshold), arg_max(accuracy, threshold) from b where accuracy >= 0.5")
 def threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    thresholds = spark.range(1, 64).select((F.col("id") / 64).alias("threshold"))
-    rows = load(spark, sf_dir, "events").crossJoin(F.broadcast(thresholds)).select("threshold", ((F.col("value") / 500) > F.col("threshold") * F.col("threshold")).cast("double").alias("good"))
+    thresholds = F.explode(F.array(*[F.lit(i / 64) for i in range(1, 64)]))
+    rows = load(spark, sf_dir, "events").select("value", thresholds.alias("threshold")).select("threshold", ((F.col("value") / 500) > F.col("threshold") * F.col("threshold")).cast("double").alias("good"))
     return statistics.largest_threshold(rows, 0.95).unionByName(statistics.largest_threshold(rows, 0.5))
 
 
-@query()
+@query("select ('0x' || substr(md5(user_id || ':123'), 1, 12))::bigint % 5 as fold, count(distinct user_id) as videos, count(*) as frames from events group by 1")
 def kfold_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.folds(load(spark, sf_dir, "events"), "user_id").groupBy("fold").agg(F.countDistinct("user_id").alias("videos"), F.count("*").alias("frames"))
 

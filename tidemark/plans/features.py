@@ -98,19 +98,20 @@ def standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""with {VECTORS_SQL}, s as (select id as screen, label from screens_f), p as (select label as document, id as page from pages_f),
     e as (select screen, page, case when label = document and page % 20 = 0 then 2 when label = document and page % 20 = 10 and page % 30 = 0 then 1 end as hit, document,
-      max(case when label = document and (page % 20 = 0 or page % 30 = 0) then 1 else 0 end) over (partition by screen, document) as near from s, p),
+      max(case when label = document and (page % 20 = 0 or page % 30 = 0) then 1 else 0 end) over (partition by screen, document) as near from s join p on s.label % 4 = document % 4),
     f as (select *, sum(case when hit is null then case when near = 1 then 5.0 else 2.0 end end) over (partition by screen) as others, count(hit) over (partition by screen) as n from e),
     g as (select screen, page, case when hit = 2 then 0 else 1 end::bigint as label, case when hit = 2 then (1 + coalesce(others, 0)) / n when near = 1 then 5.0 else 2.0 end::double as weight from f where hit is null or hit = 2)
     select screen, page, label, round(weight * (select count(*) / sum(weight) from g), 6) as weight from g"""
 )
 def training_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     page_rows, screen_rows = features(spark, sf_dir)
-    every = screen_rows.select(F.col("id").alias("screen"), "label")
-    pages = page_rows.select(F.col("label").alias("document"), F.col("id").alias("page"))
-    both = every.join(pages, F.col("label") == F.col("document"))
+    # A document is a label; a video's documents are the labels that leave the same remainder by 4.
+    every = screen_rows.select((F.col("label") % 4).alias("video"), F.col("id").alias("screen"), "label")
+    pages = page_rows.select((F.col("label") % 4).alias("video"), F.col("label").alias("document"), F.col("id").alias("page"))
+    both = every.drop("video").join(pages, F.col("label") == F.col("document"))
     similarity = F.when(F.col("page") % 20 == 0, "full").when(F.col("page") % 30 == 0, "incremental")
     matches = both.select("screen", "document", "page", similarity.alias("similarity")).where("similarity is not null")
-    found = pairs.training_pairs(every.select("screen"), pages, matches)
+    found = pairs.training_pairs(every.select("video", "screen"), pages, matches)
     return found.select("screen", "page", "label", F.round("weight", 6).alias("weight"))
 
 

@@ -51,17 +51,19 @@ def rescale_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").select("p_partkey", box.alias("b")).select("p_partkey", "b.*")
 
 
-_ELAPSED = f"round_even((frame_no - 1) * 1000000.0::double / {FPS}, 0)::bigint"
+ELAPSED_SQL = f"round_even((frame_no - 1) * 1000000.0::double / {FPS}, 0)::bigint"
 _DURATION = "'P' || us // 86400000000 || 'DT' || us % 86400000000 // 1000000 || '.'"
+#: The duration of ``us`` microseconds as the event documents have it.
+DURATION_SQL = f"{_DURATION} || lpad((us % 1000000)::varchar, 6, '0') || 'S'"
 
 
-@query(f"with {FRAMES_SQL}, t as (select video, frame_no, {_ELAPSED} as us from frames) select video, frame_no, {_DURATION} || lpad((us % 1000000)::varchar, 6, '0') || 'S' as duration, {_DURATION} || us % 1000000 || 'S' as unpadded from t")
+@query(f"with {FRAMES_SQL}, t as (select video, frame_no, {ELAPSED_SQL} as us from frames) select video, frame_no, {_DURATION} || lpad((us % 1000000)::varchar, 6, '0') || 'S' as duration, {_DURATION} || us % 1000000 || 'S' as unpadded from t")
 def xsd_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
     us = S.elapsed_micros(F.col("frame_no"), FPS)
     return frames(spark, sf_dir).select("video", "frame_no", S.xsd_duration(us).alias("duration"), S.xsd_duration(us, False).alias("unpadded"))
 
 
-@query(f"with {FRAMES_SQL} select video, frame_no, {_ELAPSED} as micros from frames")
+@query(f"with {FRAMES_SQL} select video, frame_no, {ELAPSED_SQL} as micros from frames")
 def xsd_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     us = S.elapsed_micros(F.col("frame_no"), FPS)
     return frames(spark, sf_dir).select("video", "frame_no", S.duration_micros(S.xsd_duration(us, False)).alias("micros"))

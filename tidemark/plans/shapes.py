@@ -80,14 +80,15 @@ def screen_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered as (select *, row_number() over (partition by video order by tlx, tly, trx, try_, blx, bly, brx, bry) as id from members),
     pairs as (select a.video * 1000000 + a.id * 1000 + b.id as pair, a.video, a.id as aid, b.id as bid, {", ".join(f"a.{c} as a_{c}, b.{c} as b_{c}" for c in ("tlx", "tly", "trx", "try_", "blx", "bly", "brx", "bry"))}
       from numbered a join numbered b on a.video = b.video and a.tlx < b.brx and b.tlx < a.brx and a.tly < b.bry and b.tly < a.bry), {overlap_sql("pairs")}
-    select video, aid as id, bid as other, round(inter, 6) as inter, round(inter / ({_AREA_A} + {_AREA_B} - inter), 6) as jaccard
+    select video, aid as id, bid as other, round(inter + 1e-7, 5) as inter, round(inter / ({_AREA_A} + {_AREA_B} - inter) + 1e-7, 5) as jaccard
     from shared_areas join pairs using (pair) where inter > 0"""
 )
 def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     distinct = screens(spark, sf_dir).select("video", "quad").distinct()
     rows = distinct.withColumn("id", F.row_number().over(Window.partitionBy("video").orderBy("quad.tl", "quad.tr", "quad.bl", "quad.br")).cast("long"))
     found = spatial.jaccard_join(rows, rows, ["video"])
-    return found.select("video", "id", "other", F.round("inter", 6).alias("inter"), F.round("jaccard", 6).alias("jaccard"))
+    # The values are fractions that often end in 5; a little more makes them round alike, whatever their last bit.
+    return found.select("video", "id", "other", F.round(F.col("inter") + 1e-7, 5).alias("inter"), F.round(F.col("jaccard") + 1e-7, 5).alias("jaccard"))
 
 
 @query(

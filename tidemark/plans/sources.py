@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..sources import media, xml_io
 from ..sources.proxies import FPS, FRAMES_SQL, frames, load
-from .alignment import events_log
+from .alignment import EVENTS_SQL, events_log
 from .registry import query
+from .scalars import DURATION_SQL, ELAPSED_SQL
 
 
 @query(f"with {FRAMES_SQL} select 'video-' || video as video_uri, frame_no, kind, value from frames")
@@ -35,12 +36,26 @@ def document_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.routed(load(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("docs/"), F.col("p_name"), end).alias("path"))).select("p_partkey", "reader")
 
 
-@query()
+_ELEMENTS = (
+    EVENTS_SQL
+    + """, lines as (select video, frame_no, phase, screen_id, kind, page, quad,
+  '<screen-' || kind || '-event screen-id="' || screen_id || '" frame-number="' || frame_no || '" frame-duration="' || """
+    + DURATION_SQL
+    + """ || '"' || case when page is not null then ' document-uri="document" page-number="' || page || '"' else '' end
+  || case when kind in ('appeared', 'moved') then """
+    + " || ".join(f"' {k}{i}=\"' || quad[{2 * i + 1 + (k == 'y')}] || '\"'" for i in range(4) for k in "xy")
+    + """ else '' end || '/>' as element from (select *, """
+    + ELAPSED_SQL
+    + """ as us from log))"""
+)
+
+
+@query(f"with {_ELEMENTS} select video, '<events video-uri=\"' || video || '\">' || chr(10) || string_agg(element, chr(10) order by frame_no, phase, screen_id, kind, element) || chr(10) || '</events>' as xml from lines group by video")
 def events_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return xml_io.event_documents(events_log(spark, sf_dir), FPS)
 
 
-@query()
+@query(f"with {EVENTS_SQL} select video, kind, screen_id, frame_no, case when kind in ('appeared', 'moved') then quad[1] end as x0, page from log")
 def xml_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads back, element by element, what the sink writes for every event."""
     elements = xml_io.event_elements(events_log(spark, sf_dir), FPS)
@@ -48,10 +63,10 @@ def xml_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return elements.select("video", "kind", parsed.alias("e")).select("video", "kind", F.col("e.`_screen-id`").alias("screen_id"), F.col("e.`_frame-number`").alias("frame_no"), F.col("e._x0").alias("x0"), F.col("e.`_page-number`").alias("page"))
 
 
-@query()
+@query("select user_id, value as x0, event_id::double as y0, epoch(ts)::bigint as at from (select user_id, value, event_id, date_trunc('second', ts) as ts from events where event_type = 'signup')")
 def xml_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positions as elements with a time, read back by time."""
+    """Positions as elements with a time, read back by time (whole seconds)."""
     rows = load(spark, sf_dir, "events").where("event_type = 'signup'")
     text = F.format_string('<position x0="%s" y0="%s" datetime="%s"/>', F.col("value").cast("string"), F.col("event_id").cast("string"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
     parsed = F.from_xml(text, "_x0 double, _y0 double, _datetime timestamp")
-    return rows.select("user_id", parsed.alias("p")).select("user_id", F.col("p._x0").alias("x0"), F.col("p._y0").alias("y0"), F.col("p._datetime").alias("at"))
+    return rows.select("user_id", parsed.alias("p")).select("user_id", F.col("p._x0").alias("x0"), F.col("p._y0").alias("y0"), F.unix_seconds("p._datetime").alias("at"))

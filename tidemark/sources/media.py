@@ -42,9 +42,18 @@ def documents(spark: SparkSession, folder: str, decode: Callable[[bytes], Iterat
     return _decoded(spark, folder, glob, decode, PAGES)
 
 
-def image_directory(spark: SparkSession, folder: str) -> DataFrame:
-    """document_uri, page_no from 1 by path, path and content of a directory's images: each directory is a document."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+#: Names of files that an image directory takes for pages.
+IMAGES = r"(?i)\.(png|jpe?g|gif|bmp|tiff?|webp)$"
+
+
+def image_directory(spark: SparkSession, folder: str, pattern: str = IMAGES) -> DataFrame:
+    """document_uri, page_no from 1 by path, path and content of a directory's images: each directory is a document.
+
+    Files of other names are passed over; ValueError where no image is left.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(F.col("path").rlike(pattern))
+    if files.select("path").isEmpty():
+        raise ValueError(f"{folder} has no images")
     rows = files.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("document_uri"), "path", "content")
     return numbered(rows, "document_uri", F.col("path"))
 
