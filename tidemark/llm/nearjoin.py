@@ -1,6 +1,6 @@
 """N-gram Jaccard join: components of documents whose shingle sets are similar, without making all pairs of a group.
 
-1. Each text becomes its set of shingle hashes; equal sets become one node. Only nodes go on.
+1. Each text, once, becomes its set of shingle hashes; equal sets become one node. Only nodes go on.
 2. A node emits numbers (shingles.Classes) of which any two similar sets share several; numbers of one node alone drop out,
    and nodes that share too few, and with them nearly all documents.
 3. Each node that is left goes, with its set, to the block of a head: of the least nodes of its numbers, the one that it shares
@@ -35,34 +35,24 @@ FILTER_BITS = 1 << 27
 BUCKET = 1_000_000
 #: Bytes of numbers that are handled at once.
 NUMBER_BYTES = 8_000_000
-#: Nodes a task remembers, so as not to emit the numbers of their copies.
-REMEMBERED = 100_000
 #: A number's low bits tell its kind, so the others deal it out.
 KIND_BITS = Classes.NEED_BITS + Classes.CLASS_BITS
 LINKS = "a binary, b binary"
 
 
-def fingerprints(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """doc_id, key, n_shingles, node (equal for equal sets, null for an empty one) and numbers of each text, eight bytes each.
-
-    A task emits the numbers of equal sets once, as long as it remembers them.
-    """
+def fingerprints(texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """key, n_shingles, node (equal for equal sets, null for an empty one) and numbers, eight bytes each, of rows (key, text)."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, seen = Classes(num, den), set()
+        classes = Classes(num, den)
         for batch in batches:
             for run in runs(batch, "text"):
                 sets = shingle_sets(run.column("text"), words)
-                nodes, numbers = [set_digest(x) if len(x) else None for x in sets], []
-                for node, x in zip(nodes, sets, strict=True):
-                    numbers.append(b"" if node is None or node in seen else classes.numbers(x).tobytes())
-                    if len(seen) >= REMEMBERED:
-                        seen.clear()
-                    seen.add(node)
-                columns = [run.column("doc_id"), run.column("key"), pa.array([len(x) for x in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(numbers, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n_shingles", "node", "numbers"])
+                nodes, numbers = [set_digest(x) if len(x) else None for x in sets], [classes.numbers(x).tobytes() for x in sets]
+                columns = [run.column("key"), pa.array([len(x) for x in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(numbers, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "n_shingles", "node", "numbers"])
 
-    return docs.mapInArrow(take, "doc_id long, key long, n_shingles long, node binary, numbers binary")
+    return texts.select("key", "text").mapInArrow(take, "key long, n_shingles long, node binary, numbers binary")
 
 
 def node_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -130,14 +120,22 @@ def text_key() -> F.Column:
     return F.xxhash64(F.col("text").cast("string"))
 
 
-def near_nodes(docs: DataFrame, words: int, num: int, den: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, key, n_shingles and node of each row of docs; node and label of every node that is linked with another)."""
+def distinct_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """key and text, once for each key. Only texts that a bit map shows to be repeated are sent anywhere, once for each task."""
+    repeated = BitMap(ids.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    alone, several = (docs.select("key", "text").mapInArrow(repeated.filter("key", inside), "key long, text string") for inside in (False, True))
+    return alone.unionByName(several.groupBy("key").agg(F.first("text").alias("text")))
+
+
+def near_nodes(docs: DataFrame, words: int, num: int, den: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id and key of each row of docs; key, n_shingles and node of each text; node and label of every node that is linked)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("key"))
-    prints = scratch.cut(fingerprints(docs, words, num, den))
-    shared = shared_numbers(prints, scratch)
+    ids = scratch.cut(docs.select("doc_id", "key"))
+    prints = scratch.cut(fingerprints(distinct_texts(docs, ids), words, num, den))
+    rows = repeated_rows(prints, scratch)
     slim = scratch.cut(prints.drop("numbers"))
     scratch.drop(prints)
-    return slim, component_labels(docs, slim, shared, words, num, den, scratch)
+    return ids, slim, component_labels(docs, slim, shared_numbers(rows, scratch), words, num, den, scratch)
 
 
 def near_groups(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -149,12 +147,12 @@ def near_groups(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) ->
     of its component if there is one. Rows that repeat a doc_id are documents of their own. An empty table gives an empty
     result. Other columns are ignored.
     """
-    prints, labels = near_nodes(docs, words, num, den, Scratch(docs.sparkSession))
-    nodes = prints.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    reps = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = reps.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = reps.join(least, "label").select("node", "component_id")
-    return prints.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    ids, prints, labels = near_nodes(docs, words, num, den, Scratch(docs.sparkSession))
+    least = ids.groupBy("key").agg(F.min("doc_id").alias("first"))
+    texts = prints.join(least, "key").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = texts.where("label is not null").groupBy("label").agg(F.min("first").alias("component_id"))
+    texts = texts.join(named, "label", "left").select("key", "n_shingles", "component_id")
+    return ids.join(texts, "key").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 class BitMap:
@@ -181,8 +179,20 @@ class BitMap:
             filled[k << 13 : (k + 1) << 13] = np.frombuffer(own, np.uint8)
         self.bits, self.shared = bits, keys.sparkSession.sparkContext.broadcast(filled)
 
-    def __contains__(self, key: int) -> bool:
-        return bool(self.among(np.array([key]))[0])
+    def __getstate__(self):
+        return self.bits, self.shared
+
+    def __setstate__(self, state):
+        self.bits, self.shared = state
+
+    def filter(self, column: str, inside: bool = True):
+        """For mapInArrow: the rows whose key may be in it, or those whose key isn't."""
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(self.among(batch.column(column).to_numpy()) == inside))
+
+        return keep
 
     def among(self, keys: np.ndarray) -> np.ndarray:
         """Which of these keys may be in it; no key of it is ever missed."""
@@ -236,8 +246,8 @@ def _need() -> F.Column:
     return F.col("number").bitwiseAND(F.lit((1 << Classes.NEED_BITS) - 1)).alias("need")
 
 
-def shared_numbers(prints: DataFrame, scratch: Scratch) -> DataFrame:
-    """(number, node) of the numbers that more than one node emits, of nodes that share as many as similar sets must."""
+def repeated_rows(prints: DataFrame, scratch: Scratch) -> DataFrame:
+    """(number, node) of the numbers that more than one node may emit."""
     repeated = scratch.cut(repeated_numbers(prints))
     likely = BitMap(repeated)
 
@@ -249,13 +259,18 @@ def shared_numbers(prints: DataFrame, scratch: Scratch) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(numbers[found]), run.column("node").take(pa.array(row[found]))], ["number", "node"])
 
     rows = prints.where("node is not null and length(numbers) > 0").select("node", "numbers").mapInArrow(keep, "number long, node binary")
-    rows = scratch.cut(rows.distinct().join(repeated, "number"))
+    rows = scratch.cut(rows.join(repeated, "number"))
     scratch.drop(repeated)
+    return rows
+
+
+def shared_numbers(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows (number, node), once each, of numbers that two nodes emit and of nodes that share as many as similar sets must."""
     for _ in range(2):  # what a node shares too little of, no partner of it can have
         several = rows.groupBy("number").agg(F.min("node").alias("l"), F.max("node").alias("m")).where("l <> m").select("number")
         more = rows.join(several, "number")
         enough = more.groupBy("node", _kind(), _need()).agg(F.count("*").alias("n")).where("n >= need").select("node", "kind")
-        left = scratch.cut(more.withColumn("kind", _kind()).join(enough, ["node", "kind"]).select("number", "node"))
+        left = scratch.cut(more.withColumn("kind", _kind()).join(enough, ["node", "kind"]).select("number", "node").distinct())
         scratch.drop(rows)
         rows = left
     return rows
@@ -267,15 +282,9 @@ def member_sets(docs: DataFrame, prints: DataFrame, members: DataFrame, words: i
     A bit map keeps most other texts out of the join; where it is too small it lets more through.
     """
     wanted = scratch.cut(prints.where("node is not null").groupBy("node").agg(F.min("key").alias("rep")).join(members, "node"))
-    likely = BitMap(wanted.select("rep"))
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(likely.among(batch.column("key").to_numpy())))
-
     # Aggregated before it is sent, a text that very many rows hold is as light as any other.
     rows = docs.where("text is not null").select("key", "text")
-    texts = rows.mapInArrow(keep, rows.schema).groupBy("key").agg(F.first("text").alias("text"))
+    texts = rows.mapInArrow(BitMap(wanted.select("rep")).filter("key"), rows.schema).groupBy("key").agg(F.first("text").alias("text"))
     sets = scratch.cut(node_sets(texts.join(wanted, texts["key"] == wanted["rep"]).select("text", "node"), words))
     scratch.drop(wanted)
     return sets
@@ -354,9 +363,9 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) ->
     the others are joined with the decision, one row for each text.
     """
     scratch, columns = Scratch(docs.sparkSession), docs.columns
-    prints, labels = near_nodes(docs, words, num, den, scratch)
-    prints = prints.where("node is not null").select("key", "node", "doc_id")
-    texts = prints.groupBy("key", "node").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least"))
+    ids, prints, labels = near_nodes(docs, words, num, den, scratch)
+    rows = ids.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least"))
+    texts = prints.where("node is not null").select("key", "node").join(rows, "key")
     named = texts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     best = named.groupBy("label").agg(F.min("least").alias("best"))
     verdicts = named.join(best, "label").select("key", "n", (F.col("key") == F.col("best.key")).alias("wins"))

@@ -49,15 +49,19 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         rows = self.spark.read.schema(df.schema).parquet(path)
         self.folders[id(rows)] = (rows, path)  # holds the frame, so that its id stays its own
+        self._collect()
         return rows
 
+    def _collect(self) -> None:
+        """Has the driver collect its garbage, as Spark deletes a shuffle's files once no plan refers to it."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *frames: DataFrame) -> None:
-        """Deletes what cut() wrote for these frames, and lets Spark delete the shuffles behind what is gone."""
+        """Deletes what cut() wrote for these frames."""
         jvm = self.spark.sparkContext._jvm
         for frame in frames:
             path = jvm.org.apache.hadoop.fs.Path(self.folders.pop(id(frame))[1])
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        jvm.System.gc()
 
 
 def runs(batch: pa.RecordBatch, column: str, size: int = RUN_BYTES) -> Iterator[pa.RecordBatch]:
