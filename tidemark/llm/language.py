@@ -16,7 +16,6 @@ saturate with the length of the text as the probability of all of it does.
 from __future__ import annotations
 
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,8 +32,8 @@ MARK = "▁"
 MAX_WORD = 24
 #: Labelled documents learned from: so many of each language, so many in all, of at most so many characters.
 SAMPLE_PER_LANGUAGE, SAMPLE_IN_ALL, SAMPLE_CHARS = 400, 4_000, 20_000
-#: Words whose scores a worker keeps; past it the cache starts anew.
-CACHE_WORDS = 400_000
+#: Words whose scores a task keeps; past it the cache starts anew.
+CACHE_WORDS = 200_000
 
 #: Share of a piece that a language's sample doesn't hold.
 RARE = 2e-8
@@ -277,9 +276,6 @@ class Scorer(dict):
         return names, scores
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """Adds lang_pred and score to every row of docs, reading its column text alone.
 
@@ -288,13 +284,9 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most pieces x languages numbers
     docs = docs.drop("lang_pred", "score")
-    key = uuid.uuid4().hex
 
     def score_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(shared.value)
-        scorer = _SCORERS[key]
+        scorer = Scorer(shared.value)  # one a task: a worker that goes on to other work keeps nothing of it
         for batch in batches:
             for run in runs(batch, "text"):
                 names, scores = scorer.score(run.column("text").to_pylist())

@@ -151,9 +151,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     rows = rows.where(~whole)
     while open_:
         blocks = {i: -(-n // BLOCK) for i, n in open_.items()}
-        number = F.element_at(F.create_map(*[F.lit(x) for i, n in blocks.items() for x in (i, n)]), F.col("source_no"))
-        rows = rows.withColumn("last", number == 1)
-        rows = rows.groupBy("source_no", F.pmod(F.xxhash64("doc_id", "row_key", F.lit(len(done))), number).alias("block")).applyInArrow(settle, OPEN)
+        number = docs.sparkSession.createDataFrame(sorted(blocks.items()), "source_no int, number long")
+        rows = rows.join(F.broadcast(number), "source_no").withColumn("last", F.col("number") == 1)
+        rows = rows.groupBy("source_no", F.pmod(F.xxhash64("doc_id", "row_key", F.lit(len(done))), F.col("number")).alias("block")).applyInArrow(settle, OPEN)
         open_ = {i: 2 * n for i, n in blocks.items() if n > 1}  # a block leaves two open at most
         if open_:
             rows = cut(rows)

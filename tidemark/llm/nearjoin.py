@@ -40,12 +40,13 @@ KIND_BITS = Classes.NEED_BITS + Classes.CLASS_BITS
 LINKS = "a binary, b binary"
 
 
-def fingerprints(texts: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """key, n_shingles, node (equal for equal sets, null for an empty one) and numbers, eight bytes each, of rows (key, text)."""
+def fingerprints(texts: DataFrame, words: int, num: int, den: int, without: BitMap | None = None) -> DataFrame:
+    """key, n_shingles, node (equal for equal sets, null for an empty one) and numbers, eight bytes each, of rows (key, text)
+    whose keys are not in the bit map."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = Classes(num, den)
-        for batch in batches:
+        for batch in without.filter("key", False)(batches) if without else batches:
             for run in runs(batch, "text"):
                 sets = shingle_sets(run.column("text"), words)
                 nodes, numbers = [set_digest(x) if len(x) else None for x in sets], [classes.numbers(x).tobytes() for x in sets]
@@ -120,18 +121,19 @@ def text_key() -> F.Column:
     return F.xxhash64(F.col("text").cast("string"))
 
 
-def distinct_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """key and text, once for each key. Only texts that a bit map shows to be repeated are sent anywhere, once for each task."""
+def text_prints(docs: DataFrame, ids: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """fingerprints of the texts of docs (key, text), once for each key. Only texts that a bit map shows to be repeated are sent
+    anywhere, once for each task."""
     repeated = BitMap(ids.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    alone, several = (docs.select("key", "text").mapInArrow(repeated.filter("key", inside), "key long, text string") for inside in (False, True))
-    return alone.unionByName(several.groupBy("key").agg(F.first("text").alias("text")))
+    several = docs.select("key", "text").mapInArrow(repeated.filter("key"), "key long, text string").groupBy("key").agg(F.first("text").alias("text"))
+    return fingerprints(docs, words, num, den, repeated).unionByName(fingerprints(several, words, num, den))
 
 
 def near_nodes(docs: DataFrame, words: int, num: int, den: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id and key of each row of docs; key, n_shingles and node of each text; node and label of every node that is linked)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("key"))
     ids = scratch.cut(docs.select("doc_id", "key"))
-    prints = scratch.cut(fingerprints(distinct_texts(docs, ids), words, num, den))
+    prints = scratch.cut(text_prints(docs, ids, words, num, den))
     rows = repeated_rows(prints, scratch)
     slim = scratch.cut(prints.drop("numbers"))
     scratch.drop(prints)

@@ -108,6 +108,7 @@ def cut_documents(docs: DataFrame, window: int, end_id: int, path: str) -> DataF
                         rows.append((doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), total, part, ordinal))
                 names = [x.split()[0] for x in PIECES.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names)
+        code.clear()  # the worker may go on to other work
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut_batches, PIECES)
 

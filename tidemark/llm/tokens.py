@@ -8,7 +8,7 @@ import re
 import numpy as np
 
 #: Words kept at once in a worker, some 200 bytes each; past it the cache starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 #: Longer words aren't kept.
 CACHE_CHARS = 48
 

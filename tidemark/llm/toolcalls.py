@@ -81,7 +81,11 @@ def of_turns(chat: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def formatted(chat: DataFrame) -> DataFrame:
-    """Every user turn of conversations as a linked call; null text is a missing argument, so the call is invalid."""
+    """Every user turn of conversations as a linked call; null text is a missing argument, so the call is invalid.
+
+    Of repeated turns the least text counts; long texts stay whole; other columns are ignored; an empty table gives an empty
+    result.
+    """
     return link(*of_turns(chat))
 
 
