@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from .shared import runs
+from .shared import give_back, runs
 
 MARK = "▁"
 MAX_WORD = 24
@@ -291,6 +291,8 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             for run in runs(batch, "text"):
                 names, scores = scorer.score(run.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*run.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*run.schema.names, "lang_pred", "score"])
+        del scorer
+        give_back()
 
     out = StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType())
     return docs.mapInArrow(score_batches, out)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, runs, text_buffers
+from .shared import Scratch, give_back, runs, text_buffers
 from .shingles import Classes, Search, set_digest, shingle_sets
 
 #: Nodes of a shard or of one side of a tile, and hashes in their sets.
@@ -52,6 +52,7 @@ def fingerprints(texts: DataFrame, words: int, num: int, den: int, without: BitM
                 nodes, numbers = [set_digest(x) if len(x) else None for x in sets], [classes.numbers(x).tobytes() for x in sets]
                 columns = [run.column("key"), pa.array([len(x) for x in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(numbers, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "n_shingles", "node", "numbers"])
+        give_back()
 
     return texts.select("key", "text").mapInArrow(take, "key long, n_shingles long, node binary, numbers binary")
 
@@ -65,6 +66,7 @@ def node_sets(docs: DataFrame, words: int) -> DataFrame:
                 pairs = [(n, x.tobytes()) for n, x in zip(run.column("node").to_pylist(), shingle_sets(run.column("text"), words), strict=True) if len(x) and set_digest(x) == n]
                 columns = [pa.array([n for n, _ in pairs], pa.binary()), pa.array([len(x) // 8 for _, x in pairs], pa.int64()), pa.array([x for _, x in pairs], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["node", "n", "hashes"])
+        give_back()
 
     return docs.mapInArrow(take, "node binary, n long, hashes binary")
 
@@ -90,6 +92,9 @@ def _links(num: int, den: int):
             i, j = top(i), top(j)
             root[max(i, j)] = min(i, j)
         ends = [(i, top(i)) for i in root if top(i) != i]
+        if block.nbytes > 1 << 20:
+            del sets, hashes
+            give_back()
         return pa.table({"a": pa.array([nodes[i] for i, _ in ends], pa.binary()), "b": pa.array([nodes[j] for _, j in ends], pa.binary())})
 
     return search
@@ -193,6 +198,7 @@ class BitMap:
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield batch.filter(pa.array(self.among(batch.column(column).to_numpy()) == inside))
+            give_back()
 
         return keep
 
@@ -230,9 +236,11 @@ def repeated_numbers(prints: DataFrame) -> DataFrame:
                 starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
                 blocks = [x.tobytes() for x in np.split(numbers, starts[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(blocks, pa.binary())], ["bucket", "block"])
+        give_back()
 
     def again(group: pa.Table) -> pa.Table:
         numbers = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in group["block"]]))
+        give_back()
         return pa.table({"number": pa.array(np.unique(numbers[1:][numbers[1:] == numbers[:-1]]), pa.int64())})
 
     return rows.mapInArrow(deal, "bucket long, block binary").groupBy("bucket").applyInArrow(again, "number long")
@@ -259,6 +267,7 @@ def repeated_rows(prints: DataFrame, scratch: Scratch) -> DataFrame:
                 numbers, row = _flat(run)
                 found = likely.among(numbers)
                 yield pa.RecordBatch.from_arrays([pa.array(numbers[found]), run.column("node").take(pa.array(row[found]))], ["number", "node"])
+        give_back()
 
     rows = prints.where("node is not null and length(numbers) > 0").select("node", "numbers").mapInArrow(keep, "number long, node binary")
     rows = scratch.cut(rows.join(repeated, "number"))
@@ -378,6 +387,7 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) ->
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield batch.filter(pa.array((decided.among(batch.column("key").to_numpy()) & batch.column("worded").to_numpy(zero_copy_only=False)) == wanted))
+            give_back()
 
         worded = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
         rows = docs.select(F.struct(*columns).alias("row"), text_key().alias("key"), worded.alias("worded"))

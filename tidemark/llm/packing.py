@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, runs
+from .shared import cut, give_back, runs
 from .tokens import encoder, vocabulary_path
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, ordinal long"
@@ -109,6 +109,7 @@ def cut_documents(docs: DataFrame, window: int, end_id: int, path: str) -> DataF
                 names = [x.split()[0] for x in PIECES.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names)
         code.clear()  # the worker may go on to other work
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut_batches, PIECES)
 

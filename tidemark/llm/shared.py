@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -64,6 +65,14 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Returns what this worker has freed to the machine: workers wait between tasks, and others need the memory."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):  # glibc
+        libc.malloc_trim(0)
+
+
 def runs(batch: pa.RecordBatch, column: str, size: int = RUN_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch where its texts pass so many bytes, so that memory doesn't follow the batch size."""
     if not batch.num_rows:
