@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import pathlib
 import random
 import re
 import struct
@@ -740,3 +741,25 @@ def test_pipeline_on_odd_tables(spark, which, request):
         rows = stage(spark, before, FOLDER).cache()
         assert rows.columns == (before.columns if name != "pack" else rows.columns)
         assert (rows.count() == 0) == (which == "empty" or before.count() == 0), name
+
+
+def test_near_gives_up_common_numbers(spark):
+    kind = 2  # of class 0, of which similar sets share three
+    number = lambda n: n << nearjoin.KIND_BITS | kind
+    rows = [(number(n), node) for node in range(40) for n in (1, 2, 100 + node // 2, 200 + node // 2)] + [(number(300 + node), node) for node in range(40)]
+    scratch = Scratch(spark)
+    kept = nearjoin.shared_numbers(scratch.cut(spark.createDataFrame(rows, "number long, node long")), scratch)
+    assert {(r.number, r.node) for r in kept.collect()} == {(number(n + node // 2), node) for node in range(40) for n in (100, 200)}
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    folder = pathlib.Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath())
+    there = lambda: {p.name for p in folder.rglob("shuffle_*.data")}
+    before = there()
+    df = spark.range(1000).repartition(7).groupBy(F.col("id") % 10).count()
+    assert len(Scratch(spark).cut(df).collect()) == 10
+    for _ in range(50):
+        if not there() - before:
+            break
+        time.sleep(0.1)
+    assert not there() - before

@@ -2,7 +2,7 @@
 
 1. Each text, once, becomes its set of shingle hashes; equal sets become one node. Only nodes go on.
 2. A node emits numbers (shingles.Classes) of which any two similar sets share several; numbers of one node alone drop out,
-   and nodes that share too few, and with them nearly all documents.
+   and of the others the commonest of each node, as many as similar sets can spare, and with them nearly all documents.
 3. Each node that is left goes, with its set, to the block of a head: of the least nodes of its numbers, the one that it shares
    most numbers with. Within a block a T-occurrence search (shingles.Search) links similar sets. A large block is dealt over
    shards, bounded in nodes and in hashes, that all hold its head.
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch, give_back, runs, text_buffers
@@ -33,15 +33,17 @@ TILE, TILE_HASHES = 4_096, 2_000_000
 FILTER_BITS = 1 << 27
 #: Numbers that meet in one task.
 BUCKET = 1_000_000
+#: Bits of a spot that are sent; the others tell its bucket.
+SPOT_BITS = 32
 #: Bytes of numbers that are handled at once.
 NUMBER_BYTES = 8_000_000
 #: A number's low bits tell its kind, so the others deal it out.
 KIND_BITS = Classes.NEED_BITS + Classes.CLASS_BITS
-LINKS = "a binary, b binary"
+LINKS = "a long, b long"
 
 
 def fingerprints(texts: DataFrame, words: int, num: int, den: int, without: BitMap | None = None) -> DataFrame:
-    """key, n_shingles, node (equal for equal sets, null for an empty one) and numbers, eight bytes each, of rows (key, text)
+    """key, n_shingles, node (equal for equal sets, null for an empty one) and numbers (see _packed) of rows (key, text)
     whose keys are not in the bit map."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,38 +51,29 @@ def fingerprints(texts: DataFrame, words: int, num: int, den: int, without: BitM
         for batch in without.filter("key", False)(batches) if without else batches:
             for run in runs(batch, "text"):
                 sets = shingle_sets(run.column("text"), words)
-                nodes, numbers = [set_digest(x) if len(x) else None for x in sets], [classes.numbers(x).tobytes() for x in sets]
-                columns = [run.column("key"), pa.array([len(x) for x in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.array(numbers, pa.binary())]
+                nodes, numbers = [set_digest(x) if len(x) else None for x in sets], [_packed(classes.numbers(x)) for x in sets]
+                columns = [run.column("key"), pa.array([len(x) for x in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(numbers, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "n_shingles", "node", "numbers"])
         give_back()
 
-    return texts.select("key", "text").mapInArrow(take, "key long, n_shingles long, node binary, numbers binary")
+    return texts.select("key", "text").mapInArrow(take, "key long, n_shingles long, node long, numbers binary")
 
 
-def node_sets(docs: DataFrame, words: int) -> DataFrame:
-    """node, size and bytes of its set for rows (text, node); a row whose text has another node drops out."""
+def _links(words: int, num: int, den: int):
+    def search(block: pa.Table) -> pa.Table:
+        """What the links in one block join, as stars around the least node; nodes of one label count as linked already.
 
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        A row whose text has another node drops out: of texts with one key, the one that was read again need not be the node's.
+        """
+        size, own = block.nbytes, {}
+        for batch in block.to_batches():
             for run in runs(batch, "text"):
-                pairs = [(n, x.tobytes()) for n, x in zip(run.column("node").to_pylist(), shingle_sets(run.column("text"), words), strict=True) if len(x) and set_digest(x) == n]
-                columns = [pa.array([n for n, _ in pairs], pa.binary()), pa.array([len(x) // 8 for _, x in pairs], pa.int64()), pa.array([x for _, x in pairs], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "n", "hashes"])
-        give_back()
-
-    return docs.mapInArrow(take, "node binary, n long, hashes binary")
-
-
-def _links(num: int, den: int):
-    def search(block: pa.Table) -> pa.Table:
-        """What the links in one block join, as stars around the least node; nodes of one label count as linked already."""
-        block = block.sort_by([("node", "ascending")])
-        nodes = block["node"].to_pylist()
-        first = [i for i in range(len(nodes)) if not i or nodes[i] != nodes[i - 1]]
-        nodes, labels = [nodes[i] for i in first], block["label"].to_pylist()
-        hashes = block["hashes"]
-        sets = [np.frombuffer(hashes[i].as_py(), np.uint64) for i in first]
-        found = Search(sets, num, den).forest([labels[i] for i in first]) if len(nodes) > 1 else []
+                for node, label, x in zip(run.column("node").to_pylist(), run.column("label").to_pylist(), shingle_sets(run.column("text"), words), strict=True):
+                    if node not in own and len(x) and set_digest(x) == node:
+                        own[node] = label, x
+        del block
+        nodes = sorted(own)
+        found = Search([own[n][1] for n in nodes], num, den).forest([own[n][0] for n in nodes]) if len(nodes) > 1 else []
         root = {x: x for link in found for x in link}
 
         def top(i: int) -> int:
@@ -92,10 +85,10 @@ def _links(num: int, den: int):
             i, j = top(i), top(j)
             root[max(i, j)] = min(i, j)
         ends = [(i, top(i)) for i in root if top(i) != i]
-        if block.nbytes > 1 << 20:
-            del sets, hashes
+        if size > 1 << 20:
+            own.clear()
             give_back()
-        return pa.table({"a": pa.array([nodes[i] for i, _ in ends], pa.binary()), "b": pa.array([nodes[j] for _, j in ends], pa.binary())})
+        return pa.table({"a": pa.array([nodes[i] for i, _ in ends], pa.int64()), "b": pa.array([nodes[j] for _, j in ends], pa.int64())})
 
     return search
 
@@ -163,16 +156,16 @@ def near_groups(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) ->
 
 
 class BitMap:
-    """A broadcast bit map in which the places of all keys (one column of long numbers, mixed above KIND_BITS) are set.
+    """A broadcast bit map in which the places of all keys (one column of long numbers, mixed above so many bits) are set.
 
     Its size follows their number up to FILTER_BITS, so it is bounded whatever the input.
     """
 
-    def __init__(self, keys: DataFrame):
+    def __init__(self, keys: DataFrame, above: int = KIND_BITS):
         wanted, bits = 32 * keys.count(), 1 << 16
         while bits < min(wanted, FILTER_BITS):
             bits *= 2
-        spots = keys.select(F.expr(f"pmod(shiftright({keys.columns[0]}, {KIND_BITS}), {bits}L)").alias("at"))
+        spots = keys.select(F.expr(f"pmod(shiftright({keys.columns[0]}, {above}), {bits}L)").alias("at"))
 
         def fill(part: pa.Table) -> pa.Table:
             at = part["at"].to_numpy()
@@ -184,13 +177,13 @@ class BitMap:
         filled = np.zeros(bits // 8, np.uint8)
         for k, own in zip(parts["part"].to_pylist(), parts["bits"].to_pylist(), strict=True):
             filled[k << 13 : (k + 1) << 13] = np.frombuffer(own, np.uint8)
-        self.bits, self.shared = bits, keys.sparkSession.sparkContext.broadcast(filled)
+        self.above, self.bits, self.shared = above, bits, keys.sparkSession.sparkContext.broadcast(filled)
 
     def __getstate__(self):
-        return self.bits, self.shared
+        return self.above, self.bits, self.shared
 
     def __setstate__(self, state):
-        self.bits, self.shared = state
+        self.above, self.bits, self.shared = state
 
     def filter(self, column: str, inside: bool = True):
         """For mapInArrow: the rows whose key may be in it, or those whose key isn't."""
@@ -204,46 +197,62 @@ class BitMap:
 
     def among(self, keys: np.ndarray) -> np.ndarray:
         """Which of these keys may be in it; no key of it is ever missed."""
-        at = keys >> KIND_BITS & (self.bits - 1)
+        at = keys >> self.above & (self.bits - 1)
         return self.shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones, and so on, so that those which hardly differ compress."""
+    return numbers.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
 def _flat(run: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of a batch's rows, and the row of each."""
     raw, places = text_buffers(run.column("numbers"))
-    return raw.view(np.int64) if len(raw) else np.zeros(0, np.int64), np.repeat(np.arange(run.num_rows), np.diff(places) // 8)
+    out = np.empty((len(raw) // 8, 8), np.uint8)
+    for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True):
+        out[a // 8 : b // 8] = raw[a:b].reshape(8, -1).T
+    return out.view(np.int64).reshape(-1), np.repeat(np.arange(run.num_rows), np.diff(places) // 8)
 
 
-def repeated_numbers(prints: DataFrame) -> DataFrame:
-    """Every number that more than one node may emit: all that occur in two runs of rows, or for two nodes of a run.
+def repeated_spots(prints: DataFrame) -> tuple[DataFrame, int]:
+    """spot, the SPOT_BITS and more low bits above a number's kind, of every number that more than one node may emit, and how
+    many bits it has: all that occur in two runs of rows, or for two nodes of a run.
 
-    Numbers travel in blocks, a block for each run and bucket and each number at most twice in it, so one that very many nodes
-    emit is as light as any other, and there is no row for each number.
+    Spots travel in blocks, a block for each run and bucket and each spot at most twice in it, so one that very many nodes
+    emit is as light as any other, and there is no row for each number. The bucket holds a spot's low bits, so four bytes of
+    it are sent; so many buckets that of numbers that differ few share a spot, and those only go on to the next step.
     """
     rows = prints.where("node is not null and length(numbers) > 0").select("node", "numbers")
     total = (rows.agg(F.sum(F.length("numbers"))).first()[0] or 0) // 8
-    buckets = max(8, -(-total // BUCKET))
+    low = max(3, (total // BUCKET).bit_length())
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for run in runs(batch, "numbers", NUMBER_BYTES):
                 first = list({node: i for i, node in enumerate(run.column("node").to_pylist())}.values())
-                numbers, counts = np.unique(_flat(run.take(pa.array(first)))[0], return_counts=True)
-                numbers = np.repeat(numbers, np.minimum(counts, 2))
-                bucket = (numbers >> KIND_BITS) % buckets
+                spots, counts = np.unique(_spots(_flat(run.take(pa.array(first)))[0], low + SPOT_BITS), return_counts=True)
+                spots = np.repeat(spots, np.minimum(counts, 2))
+                bucket = spots & (1 << low) - 1
                 order = np.argsort(bucket, kind="stable")
-                numbers, bucket = numbers[order], bucket[order]
+                spots, bucket = (spots[order] >> low).astype(np.uint32), bucket[order]
                 starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-                blocks = [x.tobytes() for x in np.split(numbers, starts[1:])]
+                blocks = [x.tobytes() for x in np.split(spots, starts[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(blocks, pa.binary())], ["bucket", "block"])
         give_back()
 
     def again(group: pa.Table) -> pa.Table:
-        numbers = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in group["block"]]))
+        bucket = group["bucket"][0].as_py()
+        spots = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in group["block"]]))
+        spots = np.unique(spots[1:][spots[1:] == spots[:-1]])
         give_back()
-        return pa.table({"number": pa.array(np.unique(numbers[1:][numbers[1:] == numbers[:-1]]), pa.int64())})
+        return pa.table({"spot": pa.array(spots.astype(np.int64) << low | bucket, pa.int64())})
+
+    return rows.mapInArrow(deal, "bucket long, block binary").groupBy("bucket").applyInArrow(again, "spot long"), low + SPOT_BITS
+
 
-    return rows.mapInArrow(deal, "bucket long, block binary").groupBy("bucket").applyInArrow(again, "number long")
+def _spots(numbers: np.ndarray, bits: int) -> np.ndarray:
+    return numbers >> KIND_BITS & (1 << bits) - 1
 
 
 def _kind() -> F.Column:
@@ -253,52 +262,60 @@ def _kind() -> F.Column:
 
 def _need() -> F.Column:
     """How many numbers of a kind similar sets share at least."""
-    return F.col("number").bitwiseAND(F.lit((1 << Classes.NEED_BITS) - 1)).alias("need")
+    return (F.col("number").bitwiseAND(F.lit((1 << Classes.NEED_BITS) - 1)) * 2 - 1).alias("need")
 
 
 def repeated_rows(prints: DataFrame, scratch: Scratch) -> DataFrame:
     """(number, node) of the numbers that more than one node may emit."""
-    repeated = scratch.cut(repeated_numbers(prints))
-    likely = BitMap(repeated)
+    found, bits = repeated_spots(prints)
+    repeated = scratch.cut(found)
+    likely = BitMap(repeated, 0)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for run in runs(batch, "numbers", NUMBER_BYTES):
                 numbers, row = _flat(run)
-                found = likely.among(numbers)
-                yield pa.RecordBatch.from_arrays([pa.array(numbers[found]), run.column("node").take(pa.array(row[found]))], ["number", "node"])
+                spots = _spots(numbers, bits)
+                found = likely.among(spots)
+                yield pa.RecordBatch.from_arrays([pa.array(spots[found]), pa.array(numbers[found]), run.column("node").take(pa.array(row[found]))], ["spot", "number", "node"])
         give_back()
 
-    rows = prints.where("node is not null and length(numbers) > 0").select("node", "numbers").mapInArrow(keep, "number long, node binary")
-    rows = scratch.cut(rows.join(repeated, "number"))
+    rows = prints.where("node is not null and length(numbers) > 0").select("node", "numbers").mapInArrow(keep, "spot long, number long, node long")
+    rows = scratch.cut(rows.join(repeated, "spot").select("number", "node"))
     scratch.drop(repeated)
     return rows
 
 
 def shared_numbers(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows (number, node), once each, of numbers that two nodes emit and of nodes that share as many as similar sets must."""
-    for _ in range(2):  # what a node shares too little of, no partner of it can have
-        several = rows.groupBy("number").agg(F.min("node").alias("l"), F.max("node").alias("m")).where("l <> m").select("number")
-        more = rows.join(several, "number")
-        enough = more.groupBy("node", _kind(), _need()).agg(F.count("*").alias("n")).where("n >= need").select("node", "kind")
-        left = scratch.cut(more.withColumn("kind", _kind()).join(enough, ["node", "kind"]).select("number", "node").distinct())
-        scratch.drop(rows)
-        rows = left
-    return rows
+    """The rows (number, node), once each, of numbers that two nodes emit, without those that a node can do without.
+
+    Similar sets share ``need`` numbers of a kind. The rarest of these comes before the others in both, so each node gives up
+    the need - 1 commonest of its numbers of a kind, and similar sets still share one. What many sets hold goes that way.
+    """
+    several = rows.groupBy("number").agg(F.min("node").alias("l"), F.max("node").alias("m"), F.count("*").alias("holders")).where("l <> m").select("number", "holders")
+    common = F.dense_rank().over(Window.partitionBy("node", "kind").orderBy(F.desc("holders"), "number"))
+    left = scratch.cut(rows.join(several, "number").withColumn("kind", _kind()).withColumn("rank", common).where(F.col("rank") >= _need()).select("number", "node").distinct())
+    scratch.drop(rows)
+    several = left.groupBy("number").agg(F.min("node").alias("l"), F.max("node").alias("m")).where("l <> m").select("number")
+    kept = scratch.cut(left.join(several, "number"))
+    scratch.drop(left)
+    return kept
 
 
-def member_sets(docs: DataFrame, prints: DataFrame, members: DataFrame, words: int, scratch: Scratch) -> DataFrame:
-    """node, n and hashes of each member: one text for each, read again by its key.
+def member_texts(docs: DataFrame, prints: DataFrame, members: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, n (hashes in its set) and text of each member: one text for each, read again by its key.
 
-    A bit map keeps most other texts out of the join; where it is too small it lets more through.
+    A bit map keeps most other texts out of the join; where it is too small it lets more through. A text takes less room than
+    its set, which is made again where it is searched.
     """
-    wanted = scratch.cut(prints.where("node is not null").groupBy("node").agg(F.min("key").alias("rep")).join(members, "node"))
+    reps = prints.where("node is not null").groupBy("node").agg(F.min("key").alias("rep"), F.first("n_shingles").alias("n"))
+    wanted = scratch.cut(reps.join(members, "node"))
     # Aggregated before it is sent, a text that very many rows hold is as light as any other.
     rows = docs.where("text is not null").select("key", "text")
     texts = rows.mapInArrow(BitMap(wanted.select("rep")).filter("key"), rows.schema).groupBy("key").agg(F.first("text").alias("text"))
-    sets = scratch.cut(node_sets(texts.join(wanted, texts["key"] == wanted["rep"]).select("text", "node"), words))
+    found = scratch.cut(texts.join(wanted, texts["key"] == wanted["rep"]).select("node", "n", "text"))
     scratch.drop(wanted)
-    return sets
+    return found
 
 
 def _shards(n: str, hashes: str) -> F.Column:
@@ -308,29 +325,30 @@ def _shards(n: str, hashes: str) -> F.Column:
 
 def component_labels(docs: DataFrame, prints: DataFrame, shared: DataFrame, words: int, num: int, den: int, scratch: Scratch) -> DataFrame:
     """node and label of every node that is linked with another."""
-    sets = member_sets(docs, prints, shared.select("node").distinct(), words, scratch)
+    sets = member_texts(docs, prints, shared.select("node").distinct(), scratch)
     sizes = sets.select("node", "n")
     # First, each node with the head that it shares most numbers with.
     least = shared.groupBy("number").agg(F.min("node").alias("least"))
     headed = scratch.cut(shared.join(least, "number"))
     scratch.drop(shared)
-    plausible = headed.where("node <> least").groupBy("node", "least", _kind(), _need()).agg(F.count("*").alias("c")).where("c >= need")
+    plausible = headed.where("node <> least").groupBy("node", "least", _kind(), _need()).agg(F.count("*").alias("c")).where("2 * c >= need")
     chosen = plausible.groupBy("node").agg(F.max_by("least", F.struct("c", "least")).alias("block"))
     member = sizes.join(chosen, "node", "left").withColumn("block", F.coalesce("block", "node"))
     size = scratch.cut(member.groupBy("block").agg(F.count("*").alias("k"), F.sum("n").alias("h"), F.min("node").alias("one")).select("block", _shards("k", "h").alias("shards"), (F.expr("k > 1 or one <> block")).alias("several")))
     dealt = scratch.cut(member.join(size, "block").select("block", F.expr(f"pmod(xxhash64(node, {TILE}), shards)").alias("shard"), "node", "several"))
     heads = size.where("several").select("block", F.explode(F.expr("sequence(0L, shards - 1)")).alias("shard"), F.col("block").alias("node"))
     blocks = dealt.where("several").drop("several").unionByName(heads).distinct().join(sets.drop("n"), "node").withColumn("label", F.col("node"))
-    found = scratch.cut(blocks.groupBy("block", "shard").applyInArrow(_links(num, den), LINKS))
+    found = scratch.cut(blocks.groupBy("block", "shard").applyInArrow(_links(words, num, den), LINKS))
     labels = scratch.cut(components(found, scratch))
     open_ = scratch.cut(unsettled(headed, dealt.drop("several"), labels))
     scratch.drop(headed, dealt, size)
     if open_.isEmpty():
         return labels
     # Then what may still be linked, by clusters of nodes that numbers of one kind join.
-    ends = open_.select("number", "node", F.concat("node", F.encode(F.lpad(F.hex(_kind()), 4, "0"), "US-ASCII")).alias("vertex"))
+    ends = open_.select("number", "node", F.xxhash64("node", _kind()).alias("vertex"))
     least = ends.groupBy("number").agg(F.min("vertex").alias("b"))
-    clusters = components(ends.join(least, "number").select(F.col("vertex").alias("a"), "b"), scratch).select(F.expr("substring(node, 1, 16)").alias("node"), F.col("label").alias("cluster"))
+    clusters = components(ends.join(least, "number").select(F.col("vertex").alias("a"), "b"), scratch).select(F.col("node").alias("vertex"), F.col("label").alias("cluster"))
+    clusters = clusters.join(ends.select("vertex", "node").distinct(), "vertex")
     weight = scratch.cut(clusters.join(labels, "node", "left").select("cluster", "node", F.coalesce("label", "node").alias("label")).join(sizes, "node"))
     count = weight.groupBy("cluster", "label").agg(F.count("*").alias("k"), F.sum("n").alias("h"))
     largest = count.groupBy("cluster").agg(
@@ -340,7 +358,7 @@ def component_labels(docs: DataFrame, prints: DataFrame, shared: DataFrame, word
     group = weight.drop("n").join(tiles, "cluster")
     every = group.select("cluster", F.expr(f"pmod(xxhash64(node, {TILE}), shards)").alias("shard"), F.explode(F.expr("sequence(0L, chunks - 1)")).alias("chunk"), "node", "label")
     asking = group.where("label <> largest").select("cluster", F.explode(F.expr("sequence(0L, shards - 1)")).alias("shard"), F.expr(f"pmod(xxhash64(node, {TILE + 1}), chunks)").alias("chunk"), "node", "label")
-    more = scratch.cut(every.unionByName(asking).distinct().join(sets.drop("n"), "node").groupBy("cluster", "shard", "chunk").applyInArrow(_links(num, den), LINKS))
+    more = scratch.cut(every.unionByName(asking).distinct().join(sets.drop("n"), "node").groupBy("cluster", "shard", "chunk").applyInArrow(_links(words, num, den), LINKS))
     if not more.isEmpty():
         labels = scratch.cut(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more), scratch))
     scratch.drop(sets, weight, open_)

@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Texts are handed to the vectorised kernels in runs of about so many bytes.
 RUN_BYTES = 2_000_000
+#: Settings of a query that is cut: its shuffle files go when it ends, not when the driver's garbage happens to be collected,
+#: and small shuffle partitions are read together up to the advisory size, so fewer files are written.
+CUT_CONF = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +50,14 @@ class Scratch:
 
     def cut(self, df: DataFrame) -> DataFrame:
         path = f"{shared_folder(self.spark)}/rows-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(path)
+        before = {k: self.spark.conf.get(k, None) for k in CUT_CONF}
+        try:
+            for k, v in CUT_CONF.items():
+                self.spark.conf.set(k, v)
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
         rows = self.spark.read.schema(df.schema).parquet(path)
         self.folders[id(rows)] = (rows, path)  # holds the frame, so that its id stays its own
         self._collect()

@@ -76,10 +76,10 @@ def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     return out
 
 
-def set_digest(hashes: np.ndarray) -> bytes:
-    """16 bytes that equal sets share."""
+def set_digest(hashes: np.ndarray) -> int:
+    """A signed 64-bit number that equal sets share."""
     a, b = _spread(hashes + np.uint64(0x51)).sum(dtype=np.uint64), _spread(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
-    return int(a).to_bytes(8, "big") + int(b).to_bytes(8, "big")
+    return int(_spread(np.array([a], np.uint64) + _spread(np.array([b], np.uint64))).view(np.int64)[0])
 
 
 class Classes:
@@ -88,10 +88,11 @@ class Classes:
     similar: den x intersection >= num x union. Sets of one class differ from partners in it, or in the class below, by at
     most D elements; the hash range is cut into D + need + spare parts, so at least need + spare parts are equal in both. A
     set emits a number for each part that isn't empty, and for its empty parts only if it has more than ``spare``: then two
-    similar sets have at least ``need`` numbers of one class in common. The low bits of a number tell its class and need.
+    similar sets have at least ``need`` numbers of one class in common. The low bits of a number tell its class and half its need, which is odd, rounded up;
+    HASH_BITS above them are mixed: numbers that are equal by chance cost work, and no link.
     """
 
-    NEED_BITS, CLASS_BITS = 4, 10
+    NEED_BITS, CLASS_BITS, HASH_BITS = 4, 10, 44
 
     def __init__(self, num: int, den: int):
         self.num, self.den, self.starts = num, den, [1]
@@ -110,7 +111,7 @@ class Classes:
                 self.of(self.starts[-1])
             least, most = self.starts[of], self.starts[of + 1] - 1
             apart = (self.den - self.num) * 2 * most // (self.num + self.den)
-            need = 1 + min(8, least // 40)
+            need = 1 + 2 * min(14, least // 40)
             empty = lambda spare: (apart + need + spare) * np.exp(-least / (apart + need + spare))
             spare = next((x for x in range(least) if x >= empty(x) + 2 * np.sqrt(empty(x))), 0)  # any value is exact
             self.known[of] = (apart + need + spare, spare, need) if apart else (1, 0, 1)
@@ -124,7 +125,7 @@ class Classes:
         sums = np.zeros(len(hashes) + 1, np.uint64)
         np.cumsum(_spread(hashes + np.uint64(0x2545F4914F6CDD1D)), out=sums[1:])
         high = hashes >> np.uint64(32)
-        low = np.uint64((1 << (self.NEED_BITS + self.CLASS_BITS)) - 1)
+        mixed = np.uint64((1 << self.HASH_BITS) - 1 << self.NEED_BITS + self.CLASS_BITS)
         for k in (own, own + 1):
             parts, spare, need = self.parts(k)
             if parts == 1:
@@ -132,7 +133,7 @@ class Classes:
             places = np.searchsorted(high, -(-(np.arange(parts + 1) << 32) // parts).astype(np.uint64))
             empty = places[1:] == places[:-1]
             value = _spread(sums[places[1:]] - sums[places[:-1]] + np.arange(parts, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25) + np.uint64(k * 0xD6E8FEB86659FD93 % (1 << 64)))
-            value = value & ~low | np.uint64((k % (1 << self.CLASS_BITS)) << self.NEED_BITS | need)
+            value = value & mixed | np.uint64((k % (1 << self.CLASS_BITS)) << self.NEED_BITS | need // 2 + 1)
             out.append(value if empty.sum() > spare else value[~empty])
         return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
@@ -160,16 +161,21 @@ class Search:
         lengths = np.array([len(x) for x in sets], np.int64)
         self.order = np.argsort(lengths, kind="stable")
         self.sizes = lengths[self.order]
-        owners = np.repeat(np.arange(len(sets)), self.sizes)
+        # Arrays as long as all sets together go as soon as they have served.
+        owners = np.repeat(np.arange(len(sets), dtype=np.uint16 if len(sets) < 1 << 16 else np.int64), self.sizes)
         hashes = np.concatenate([sets[i] for i in self.order]) if sets else np.zeros(0, np.uint64)
         order = np.argsort(hashes, kind="stable")
-        ranked = hashes[order]
-        fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, bool)
+        self.lists, hashes = owners[order], hashes[order]
+        del owners, order
+        fresh = np.concatenate([[True], hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, bool)
         first = np.flatnonzero(fresh)
-        self.keys, self.first = ranked[first], np.append(first, len(ranked))
-        self.lists = owners[order].astype(np.uint16 if len(sets) < 1 << 16 else np.int64)
+        self.keys, self.first = hashes[first], np.append(first, len(hashes))
+        del hashes, first
         # Where a set is in a list, as one ascending number.
-        self.places = (np.cumsum(fresh) - 1) * len(sets) + owners[order]
+        self.places = np.cumsum(fresh)
+        self.places -= 1
+        self.places *= len(sets)
+        self.places += self.lists
 
     def similar(self, query: np.ndarray) -> np.ndarray:
         """The sets similar to the query, which may be one of them."""
