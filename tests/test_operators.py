@@ -289,3 +289,18 @@ def test_registries_views_and_configuration(spark, tmp_path):
     told = []
     Progress(10.0, told.append).onQueryTerminated(None)
     assert told == ["0 frames"]
+
+
+def test_jaccard_join_measures_chunks(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "CHUNK", 3)
+    monkeypatch.setattr(spatial, "PAIRS", 5)
+    rng = np.random.default_rng(4)
+    corners = [[(x, y), (x + w, y + s), (x, y + h), (x + w, y + h)] for x, y, w, h, s in rng.integers([-20, -20, 0, 1, -2], [40, 40, 30, 20, 5], (40, 5)).tolist()]
+    rows = spark.createDataFrame([(f"v{n % 2}", n, [float(v) for p in q for v in p]) for n, q in enumerate(corners)], "video string, id int, v array<double>")
+    rows = rows.select("video", "id", G.quad(*[(F.col("v")[2 * i], F.col("v")[2 * i + 1]) for i in range(4)]).alias("quad"))
+    found = spatial.jaccard_join(rows, rows, ["video"], 16.0)
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()  # no expression is interpreted for each pair
+    a, b = rows.toDF("video", "id", "qa"), rows.toDF("video", "other", "qb")
+    want = a.join(b, "video").select("video", "id", "other", G.overlap("qa", "qb").alias("inter"), G.jaccard("qa", "qb").alias("jaccard")).where("inter > 0")
+    key = lambda r: (r.video, r.id, r.other)
+    assert sorted(found.collect(), key=key) == sorted(want.collect(), key=key)
